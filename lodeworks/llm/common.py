@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 
 #: Text bytes that Python code takes from an Arrow batch at a time, so memory does not follow the batch's row count.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
