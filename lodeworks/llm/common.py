@@ -45,12 +45,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunks(batch: pa.RecordBatch, text: str = "text"):
-    """Slices of a batch with at most CHUNK_BYTES of text each (one row at least)."""
+def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES):
+    """Slices of a batch with at most ``limit`` bytes of text each (one row at least)."""
     sizes = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
     begin = total = 0
     for i, n in enumerate(sizes):
-        if total and total + n > CHUNK_BYTES:
+        if total and total + n > limit:
             yield batch.slice(begin, i - begin)
             begin, total = i, 0
         total += n

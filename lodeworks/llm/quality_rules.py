@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, labelled_sample, text_bytes
-from .words import hashed, window_hashes, window_starts
+from .words import numbered, window_hashes, window_starts
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
 PER_CLASS, MAX_CHARS, PRECISION, MOST_RULES, MOST_TESTS = 10_000, 100_000, 0.97, 12, 4
@@ -51,16 +51,17 @@ def _repeated_words(words: list[bytes], n: int = WINDOW) -> int:
 
 def measure(texts: list[bytes]) -> dict[str, list[int]]:
     """COUNTS of each text."""
-    words, values, begins = hashed(texts)
+    found = numbered(texts)
+    begins = found.begins
     starts = window_starts(begins, WINDOW)
     repeated = np.zeros(len(texts), np.int64)
     if len(starts):
         text = np.searchsorted(begins, starts, side="right") - 1
-        keys = window_hashes(values, WINDOW)[starts]
+        keys = window_hashes(found.values, WINDOW)[starts]
         order = np.lexsort((keys, text))
         same = (keys[order][1:] == keys[order][:-1]) & (text[order][1:] == text[order][:-1])
         for i in np.unique(text[order][1:][same]).tolist():  # equal windows have equal hashes; the count itself compares words
-            repeated[i] = _repeated_words(words[i])
+            repeated[i] = _repeated_words(texts[i].split())
     lost = lambda x, chars: len(x) - len(x.translate(None, chars))
     lines = [[y for y in x.split(b"\n") if y.strip()] for x in texts]
     return {

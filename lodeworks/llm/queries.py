@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, packing, quality_rules, rank_bpe, sharding, token_files, toxicity
+from . import exact_dedup, license_scan, packing, quality_rules, rank_bpe, sharding, substring_dedup, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +28,11 @@ def op2_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.learn(docs, labels(spark, sf_dir)))
 
 
+def op3_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.strip_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
@@ -48,7 +54,13 @@ def op9_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_rank_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_bpe.encoded_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = rank_bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,6 @@ repeated rows, empty tables and other columns change nothing.
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
@@ -237,17 +236,3 @@ def encode_texts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, decoded string")
-
-
-def encoded_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids and texts stay in the worker."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = rank_bpe(tokenizer_path)
-        for batch in batches:
-            for part in chunks(batch):
-                ids = bpe.encode(text_bytes(part.column("text")))
-                hexed = [[hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids]]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), *map(pa.array, hexed)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

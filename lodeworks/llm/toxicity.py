@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import chunks, id_as_text_crc, labelled_sample, text_bytes
 
 PER_CLASS, MAX_CHARS, MIN_DOCS, MOST_FEATURES = 3000, 20_000, 4, 3000
-STEPS, RATE, DECAY, START = 250, 0.1, 4e-4, -6.0
+STEPS, RATE, DECAY, START = 250, 0.1, 1e-4, -6.0
 REMEMBERED = 300_000
 
 _ENDS = b".!?\n"

@@ -2,44 +2,63 @@
 
 from __future__ import annotations
 
+from array import array
+from dataclasses import dataclass
+
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker remembers; a full table starts over.
+#: Words that a worker remembers; a full table starts over.
 REMEMBERED = 400_000
 
 
-class WordHashes(dict):
-    """word bytes -> 64-bit hash, filled on demand."""
+class WordTable(dict):
+    """word bytes -> its number in ``words`` and ``hashes``, filled on demand."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+        self.hashes = array("Q")
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        number = self[word] = len(self.words)
+        self.words.append(word)
+        self.hashes.append(xxhash.xxh3_64_intdigest(word))
+        return number
+
+
+_table = WordTable()
 
 
-_hashes = WordHashes()
+@dataclass
+class Numbered:
+    """The words of some texts: each word's number, where each text begins (and the end), and the numbers' words and hashes."""
 
+    ids: np.ndarray
+    begins: np.ndarray
+    words: list[bytes]
+    hashes: np.ndarray
 
-def lower_ascii(text: bytes) -> bytes:
-    """A-Z in lower case, nothing else changed."""
-    return text.lower()  # bytes.lower() knows ASCII only
+    @property
+    def values(self) -> np.ndarray:
+        return self.hashes[self.ids]
 
 
-def hashed(texts: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each text, all words' hashes in one array, and where each text's words begin in it (with the end).
+def numbered(texts: list[bytes]) -> Numbered:
+    """Number the words of texts.
 
     ``bytes.split`` parts words at space and the controls from tab to carriage return, and nowhere else.
     """
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    words = [x.split() for x in texts]
-    begins = np.zeros(len(texts) + 1, np.int64)
-    np.cumsum([len(w) for w in words], out=begins[1:])
-    values = np.empty(begins[-1], np.uint64)
-    get = _hashes.__getitem__
-    for w, a, b in zip(words, begins.tolist(), begins[1:].tolist()):
-        values[a:b] = np.fromiter(map(get, w), np.uint64, b - a)
-    return words, values, begins
+    global _table
+    if len(_table) > REMEMBERED:
+        _table = WordTable()
+    get, parts, begins = _table.__getitem__, [], np.zeros(len(texts) + 1, np.int64)
+    for i, text in enumerate(texts):
+        words = text.split()
+        parts.append(np.fromiter(map(get, words), np.int64, len(words)))
+        begins[i + 1] = begins[i] + len(words)
+    ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return Numbered(ids, begins, _table.words, np.array(_table.hashes, np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
