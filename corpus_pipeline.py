@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, substring dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; ``run`` writes it as
+Parquet into the shared folder and reads it back for the next one. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeworks.llm import exact_dedup, ngram_join, packing, quality_rules, substring_dedup
+from lodeworks.llm.common import materialize
+
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base check or that a learned rule rejects go."""
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the document with the smallest id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents, the one with the smallest id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in windows of an earlier document go; the others stay, joined by one space, and n_chars follows."""
+    found = substring_dedup.strip_repeats(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeated_passages),
+    ("packing", pack_sequences),
+]
+
+#: The quality verdict is learned and the last stage tokenizes, which SQL cannot express: tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for number, (_, stage) in enumerate(STAGES):
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{number}")
+    return docs

@@ -34,10 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and executors may be lost."""
+    """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and executors may be lost.
+
+    A collection on the driver then lets Spark's cleaner delete the shuffle files that only led to this table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -74,9 +74,10 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents that stay, with the columns of ``docs``: of rows with the kept id and equal text, one."""
     groups = text_groups(docs, salts)
-    kept = docs.withColumn("_content", normalised(F.col("text"))).withColumn("_digest", F.unhex(F.sha2("_content", 256)))
     winners = materialize(groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep")), "winners")
-    joined = kept.join(
-        winners, kept["_digest"].eqNullSafe(winners["_digest"]) & kept["doc_id"].eqNullSafe(winners["_keep"]), "left_semi"
-    )
-    return joined.dropDuplicates(["doc_id", "_digest"]).select(docs.columns)
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    same = (keyed["_digest"] == winners["_digest"]) & keyed["doc_id"].eqNullSafe(winners["_keep"])
+    kept = keyed.join(winners, same, "left_semi")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids that repeat, if any, may repeat a kept text
+        kept = kept.dropDuplicates(["doc_id", "_digest"])
+    return kept.select(docs.columns)
