@@ -5,9 +5,10 @@ pieces. A document's ids are cut into full sequences and a rest; the rest is cut
 piece that fills its class's share exactly (the largest share that fits), unless the rest as a whole wastes at most ``WASTE``
 of its share. Classes have k <= ``MOST``; shorter pieces join the class MOST.
 
-Workers fill bins independently: a class is dealt by hash over groups of about ``GROUP`` pieces, each group numbers its
-pieces and closes a bin after every k. What a group leaves over (under k pieces) meets in one group for its class, and what that
-leaves (under k pieces for each class, so under MOST**2 in all, whatever the corpus) is packed by first fit decreasing.
+Workers fill bins independently: a class is dealt by hash into groups of about ``GROUP`` pieces, and each group closes a bin after
+every k of its pieces. What the groups leave over (under k pieces each) is dealt and packed the same way again, a level whose input
+is under a thirtieth of the one before, until no more than MOST**2 pieces or so are left, whatever the corpus; those are packed by first
+fit decreasing.
 
 Defined results: a null text is empty and is one end token; a null id is one id like any other for its own row; repeated
 rows are packed once each; an empty table gives an empty result; other columns are not looked at.
@@ -18,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import chunks, materialize, text_bytes
 from .wordtok import word_encoder
 
-CAPACITY, MOST, WASTE, GROUP = 2048, 64, 0.04, 100_000
+#: What a sequence holds, the largest class, the waste that a piece may leave of its share, pieces of a group, levels of groups.
+CAPACITY, MOST, WASTE, GROUP, LEVELS = 2048, 64, 0.04, 2000, 6
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int"
 
 
@@ -89,37 +92,37 @@ def _first_fit(capacity: int):
 
 def harmonic_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` (doc_id, start, length, class and any more) with sequence_id and offset."""
-    table = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
-    counts = table.groupBy("class").count().collect()  # MOST rows at most
-    salts = F.create_map(*[F.lit(x) for r in counts for x in (r["class"], 1 + r["count"] // GROUP)]) if counts else F.lit(None).cast("map<int,bigint>")
-    dealt = table.withColumn("group", F.pmod(F.xxhash64("row"), salts[F.col("class")]).cast("int"))
-
-    def filled(df: DataFrame, keys: list[str], of_bin: list[str]) -> DataFrame:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("row")) - 1
-        size = F.count("*").over(Window.partitionBy(*keys))
-        df = df.withColumn("place", place).withColumn("full", F.col("place") < size - size % F.col("class"))
-        df = df.withColumn("bin", F.floor(F.col("place") / F.col("class")).cast("long"))
-        before = Window.partitionBy(*keys, "bin").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("offset", F.when(F.col("full"), F.coalesce(F.sum("length").over(before), F.lit(0))))
-
-    first = materialize(filled(dealt, ["class", "group"], []).drop("place"), "filled")
-    second = materialize(filled(first.where(~F.col("full")).drop("full", "bin", "offset"), ["class"], []).drop("place"), "refilled")
-    last = second.where(~F.col("full")).drop("full", "bin", "offset").withColumn("one", F.lit(0))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in last.schema.fields)
-    tail = last.groupBy("one").applyInPandas(_first_fit(capacity), schema + ", bin long, offset long")  # under MOST**2 pieces
-
-    def named(df: DataFrame, level: int, group) -> DataFrame:
-        """The sequence's id: 2 bits of the level, 8 of the class, 22 of the group, 31 of the bin."""
-        high = F.lit(level) * 2**8 + F.when(F.lit(level == 2), 0).otherwise(F.col("class"))
-        number = F.shiftleft(F.shiftleft(high.cast("long"), 22) + group, 31) + F.col("bin")
-        return df.withColumn("sequence_id", number).select(*pieces.columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
-
-    whole = lambda df: df.where("full")
-    return (
-        named(whole(first), 0, F.col("group"))
-        .unionByName(named(whole(second), 1, F.lit(0)))
-        .unionByName(named(tail, 2, F.lit(0)))
-    )
+    left = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    done = []
+    for level in range(LEVELS):
+        counts = left.groupBy("class").count().collect()  # MOST rows at most
+        if sum(r["count"] for r in counts) <= MOST**2 or level == LEVELS - 1:
+            break
+        salts = F.create_map(*[F.lit(x) for r in counts for x in (r["class"], 1 + r["count"] // GROUP)])
+        dealt = left.withColumn("group", F.pmod(F.xxhash64("row", F.lit(level)), salts[F.col("class")]).cast("int"))
+        keys = Window.partitionBy("class", "group")
+        size = F.count("*").over(keys)
+        placed = dealt.withColumn("place", F.row_number().over(keys.orderBy("row")) - 1)
+        placed = placed.withColumn("full", F.col("place") < size - size % F.col("class"))
+        placed = placed.withColumn("bin", F.floor(F.col("place") / F.col("class")).cast("long"))
+        before = keys.orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+        sums = placed.withColumn("before", F.coalesce(F.sum("length").over(before), F.lit(0)))
+        starts = Window.partitionBy("class", "group", "bin")
+        placed = materialize(sums.withColumn("offset", F.col("before") - F.min("before").over(starts)).drop("place", "before"), f"level-{level}")
+        done.append(_named(placed.where("full"), level, F.col("group"), pieces.columns))
+        left = placed.where("NOT full").drop("full", "bin", "offset", "group")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
+    tail = left.groupBy().applyInPandas(_first_fit(capacity), schema + ", bin long, offset long")  # MOST**2 pieces or so
+    done.append(_named(tail, LEVELS, F.lit(0), pieces.columns))
+    return reduce(DataFrame.unionByName, done)
+
+
+def _named(df: DataFrame, level: int, group, columns: list[str]) -> DataFrame:
+    """With the sequence's id: 3 bits of the level, 7 of the class, 31 of the group, 22 of the bin."""
+    kind = F.lit(0) if level == LEVELS else F.col("class")
+    high = F.lit(level).cast("long") * 2**7 + kind
+    number = F.shiftleft(F.shiftleft(high, 31) + group, 22) + F.col("bin")
+    return df.withColumn("sequence_id", number).select(*columns, "sequence_id", F.col("offset").cast("long").alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
