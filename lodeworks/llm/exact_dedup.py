@@ -74,10 +74,11 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     """The documents that stay, with the columns of ``docs``: of rows with the kept id and equal text, one."""
     groups = text_groups(docs, salts)
-    winners = materialize(groups.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep")), "winners")
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(normalised(F.col("text")), 256)))
-    same = (keyed["_digest"] == winners["_digest"]) & keyed["doc_id"].eqNullSafe(winners["_keep"])
+    winners = materialize(groups.select("digest", "keep_id"), "winners")
+    name = "_" * max(map(len, docs.columns)) + "digest"  # longer than any column's name
+    keyed = docs.withColumn(name, F.unhex(F.sha2(normalised(F.col("text")), 256)))
+    same = (keyed[name] == winners["digest"]) & keyed["doc_id"].eqNullSafe(winners["keep_id"])
     kept = keyed.join(winners, same, "left_semi")
     if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # ids that repeat, if any, may repeat a kept text
-        kept = kept.dropDuplicates(["doc_id", "_digest"])
+        kept = kept.dropDuplicates(["doc_id", name])
     return kept.select(docs.columns)

@@ -392,4 +392,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose component holds a smaller id."""
     found = near_components(docs)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce("doc_id", F.lit(LAST)) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(LAST)) == gone["_gone"], "left_anti")

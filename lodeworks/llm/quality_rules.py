@@ -82,12 +82,12 @@ def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
-                stats = measure(text_bytes(part.column("_text")))
-                yield pa.RecordBatch.from_arrays([*(part.column(f"_{c}") for c in keep), *(pa.array(stats[c], pa.int64()) for c in COUNTS)], [*keep, *COUNTS])
+            for part in chunks(batch, "whole"):
+                stats = measure(text_bytes(part.column("whole")))
+                yield pa.RecordBatch.from_arrays([*(part.column(f"in_{c}") for c in keep), *(pa.array(stats[c], pa.int64()) for c in COUNTS)], [*keep, *COUNTS])
 
     kinds = dict(docs.dtypes)
-    picked = docs.select(F.col("text").alias("_text"), *(F.col(c).alias(f"_{c}") for c in keep))
+    picked = docs.select(F.col("text").alias("whole"), *(F.col(c).alias(f"in_{c}") for c in keep))
     return picked.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), *(f"{c} long" for c in COUNTS)]))
 
 
@@ -224,4 +224,6 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that base check and decision list keep, with the columns of ``docs``."""
     keeps, _ = verdict(learn_rules(docs, labels))
-    return text_statistics(docs, tuple(docs.columns)).where(~base_failed() & keeps).select(docs.columns)
+    hidden = docs.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(docs.columns)), "text")  # columns may be named like the counts
+    kept = text_statistics(hidden, tuple(f"_{i}" for i in range(len(docs.columns)))).where(~base_failed() & keeps)
+    return kept.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)))
