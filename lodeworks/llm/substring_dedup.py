@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, shuffle_partitions, text_bytes
+from .common import chunks, materialize, shuffle_partitions, text_bytes
 from .words import mixed, numbered, window_hashes, window_starts
 
 WINDOW, SEED = 13, 4
@@ -224,10 +224,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def strip_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the words left in ``text``, joined by one space, and n_words and n_removed."""
-    columns = [c for c in docs.columns if c != "text"]
-    spans = repeated_spans(docs)
-    keyed = docs.withColumns({"_doc": F.coalesce("doc_id", F.lit(LAST)), "_key": F.xxhash64("text")})
+    """``docs`` with the words left in ``text``, joined by one space, and with n_words and n_removed (in place of columns of that name)."""
+    names = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
+    columns = [f"_{i}" for i in range(len(names))]  # columns may be named like the operator's own
+    spans = materialize(repeated_spans(docs), "spans")  # the super-k-mers' shuffle files can go before texts are shuffled
+    picked = docs.select(*(F.col(c).alias(x) for c, x in zip(names, columns)), "text")
+    keyed = picked.withColumns({"_doc": F.coalesce(F.col(columns[names.index("doc_id")]), F.lit(LAST)), "_key": F.xxhash64("text")})
     joined = keyed.join(spans, (F.col("_doc") == F.col("doc")) & (F.col("_key") == F.col("key")), "left")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,5 +256,6 @@ def strip_repeats(docs: DataFrame) -> DataFrame:
                 )
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "text string", "n_words long", "n_removed long"])
-    return joined.select(*columns, "text", "spans").mapInArrow(strip, schema)
+    schema = ", ".join([*(f"{x} {kinds[c]}" for c, x in zip(names, columns)), "text string", "n_words long", "n_removed long"])
+    out = joined.select(*columns, "text", "spans").mapInArrow(strip, schema)
+    return out.select(*(F.col(x).alias(c) for c, x in zip(names, columns)), "text", "n_words", "n_removed")
