@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.filters import FilterError, compile_filter, fields_of
+from ..plans.filters import FilterError, certain, compile_filter, fields_of
 
 
 class WriteError(ValueError):
@@ -73,7 +73,7 @@ def delete_by_filter(base: DataFrame, tree: dict) -> DataFrame:
     """What stays; a filter that is empty is refused."""
     if not tree or tree.get("op") in ("and", "or") and not tree.get("filters"):
         raise FilterError("an empty filter would delete everything")
-    return base.where(~compile_filter(tree, fields_of(base)))
+    return base.where(~certain(compile_filter(tree, fields_of(base))))
 
 
 def merge_payload(payload: Column, patch: Column) -> Column:

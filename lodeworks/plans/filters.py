@@ -38,6 +38,7 @@ class Field:
     value: Column
     kind: str  # string int float bool strings ints floats geo
     present: Column
+    filled: bool = True  # present implies that the value is not null
 
 
 _KINDS = {T.StringType: "string", T.BooleanType: "bool", T.DoubleType: "float", T.FloatType: "float", T.DecimalType: "float"}
@@ -62,7 +63,7 @@ def fields_of(df: DataFrame, nulls: str = "absent") -> dict[str, Field]:
         column, kind = F.col(f"`{f.name}`"), kind_of(f.dataType)
         if kind == "time":  # datetimes are unix milliseconds
             column, kind = F.unix_millis(column.cast("timestamp")), "int"
-        out[f.name] = Field(column, kind, F.lit(True) if nulls == "present" else column.isNotNull())
+        out[f.name] = Field(column, kind, F.lit(True) if nulls == "present" else column.isNotNull(), nulls != "present")
     return out
 
 
@@ -78,7 +79,8 @@ def _literal_kind(value) -> str:
     raise FilterError(f"no scalar: {value!r}")
 
 
-def _sure(x: Column) -> Column:
+def certain(x: Column) -> Column:
+    """False for null: what a negation needs. Elsewhere null counts as false anyway, and plain predicates reach the scan."""
     return F.coalesce(x, F.lit(False))
 
 
@@ -90,7 +92,7 @@ def _equal(f: Field, value) -> Column:
     """Present, of the same kind and equal; NaN equals nothing."""
     if f.kind != _literal_kind(value) or isinstance(value, float) and math.isnan(value):
         return F.lit(False)
-    return _sure(f.present & (f.value == F.lit(value)) & ~_is_nan(f))
+    return f.present & (f.value == F.lit(value))  # the value is no NaN, so a NaN field differs from it
 
 
 def _ordered(f: Field, op: str, value) -> Column:
@@ -98,9 +100,12 @@ def _ordered(f: Field, op: str, value) -> Column:
     numeric = f.kind in ("int", "float") and kind in ("int", "float")
     if not numeric and not (f.kind == kind == "string") or isinstance(value, float) and math.isnan(value):
         return F.lit(False)
-    left, right = (f.value.cast("double"), F.lit(float(value))) if numeric else (f.value, F.lit(value))
+    plain = f.kind == kind or f.kind == "float"  # else a whole number meets a fraction, both as doubles
+    left, right = (f.value, F.lit(value)) if plain else (f.value.cast("double"), F.lit(float(value)))
     test = {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
-    return _sure(f.present & test & ~_is_nan(f))
+    if op in ("gt", "gte") and f.kind == "float":
+        test = test & ~_is_nan(f)  # NaN is largest in Spark's order
+    return f.present & test
 
 
 def words_of(text: Column) -> Column:
@@ -111,12 +116,12 @@ def _match(f: Field, query: str) -> Column:
     wanted = F.array_distinct(words_of(F.lit(query)))
     holds = lambda text: F.size(F.array_except(wanted, words_of(text))) == 0
     if f.kind == "string":
-        return _sure(f.present & holds(f.value))
-    return _sure(f.present & F.exists(f.value, holds)) if f.kind == "strings" else F.lit(False)
+        return f.present & holds(f.value)
+    return f.present & F.exists(f.value, holds) if f.kind == "strings" else F.lit(False)
 
 
 def _regex(f: Field, pattern: str) -> Column:
-    if re.search(r"\(\?[=!<][=!]?(?![a-zA-Z])|\\[1-9]", pattern):
+    if re.search(r"\(\?<?[=!]|\\[1-9]", pattern):
         raise FilterError("look-around and back references are not part of the language")
     pattern = pattern.replace("(?P<", "(?<")
     try:
@@ -124,8 +129,8 @@ def _regex(f: Field, pattern: str) -> Column:
     except re.error as e:
         raise FilterError(str(e)) from e
     if f.kind == "string":
-        return _sure(f.present & f.value.rlike(pattern))
-    return _sure(f.present & F.exists(f.value, lambda x: x.rlike(pattern))) if f.kind == "strings" else F.lit(False)
+        return f.present & f.value.rlike(pattern)
+    return f.present & F.exists(f.value, lambda x: x.rlike(pattern)) if f.kind == "strings" else F.lit(False)
 
 
 def _millis(text: str) -> int:
@@ -150,16 +155,16 @@ def _geo(op: str, f: Field, spec: dict) -> Column:
         near = V.haversine_m(lat, lon, F.lit(y), F.lit(x)) <= r
         if box := V.radius_box(y, x, r):  # a cheap test that a scan can use, before the trigonometry
             near = lat.between(box[0], box[2]) & lon.between(box[1], box[3]) & near
-        return _sure(f.present & near)
+        return f.present & near
     if op == "geo_bounding_box":
         a, b, c, d = (float(spec[k]) for k in ("min_lat", "min_lon", "max_lat", "max_lon"))
         if a > c or b > d:
             raise FilterError("an empty box, or one across the antimeridian")
-        return _sure(f.present & lat.between(a, c) & lon.between(b, d))
+        return f.present & lat.between(a, c) & lon.between(b, d)
     flat = [float(x) for x in spec["polygon"]]
     if len(flat) % 2 or len(flat) < 6:
         raise FilterError("a polygon has three corners at least")
-    return _sure(f.present & V.in_polygon(lat, lon, list(zip(flat[::2], flat[1::2]))))
+    return f.present & V.in_polygon(lat, lon, list(zip(flat[::2], flat[1::2])))
 
 
 def _leaf(node: dict, fields: dict[str, Field]) -> Column:
@@ -179,22 +184,23 @@ def _leaf(node: dict, fields: dict[str, Field]) -> Column:
     if op == "eq":
         return _equal(f, value)
     if op == "ne":
-        return _sure(f.present & ~_equal(f, value))
+        same = _equal(f, value)
+        return f.present & ~(same if f.filled else certain(same))
     if op in ("gt", "gte", "lt", "lte"):
         return _ordered(f, op, value)
     if op == "in":
         same = [x for x in value if _literal_kind(x) == f.kind and not (isinstance(x, float) and math.isnan(x))]
-        return _sure(f.present & f.value.isin(*same) & ~_is_nan(f)) if same else F.lit(False)
+        return f.present & f.value.isin(*same) if same else F.lit(False)
     if op == "contains":
         if f.kind != _literal_kind(value) + "s" or isinstance(value, float) and math.isnan(value):
             return F.lit(False)
-        return _sure(f.present & F.array_contains(f.value, F.lit(value)))
+        return f.present & F.array_contains(f.value, F.lit(value))
     if op == "match":
         return _match(f, value)
     if op == "regex":
         return _regex(f, value)
     if op == "is_null":
-        return _sure(f.present & f.value.isNull())
+        return f.present & f.value.isNull()
     if op == "is_empty":
         hollow = f.value.isNull()
         if f.kind == "string":
@@ -208,7 +214,7 @@ def _leaf(node: dict, fields: dict[str, Field]) -> Column:
 
 
 def compile_filter(tree: dict | str | None, fields: dict[str, Field]) -> Column:
-    """The predicate of a filter tree; an empty tree matches all."""
+    """The predicate of a filter tree, for use in ``where``; an empty tree matches all."""
     node = json.loads(tree) if isinstance(tree, str) else tree
     if not node:
         return F.lit(True)
@@ -221,7 +227,7 @@ def compile_filter(tree: dict | str | None, fields: dict[str, Field]) -> Column:
             return reduce(lambda a, b: a | b, parts, F.lit(False))
         if len(parts) != 1:
             raise FilterError("not needs one filter")
-        return ~parts[0]
+        return ~certain(parts[0])
     if op not in LEAVES:
         raise FilterError(f"unknown operator {op!r}")
     return _leaf(node, fields)

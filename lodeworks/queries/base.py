@@ -77,7 +77,7 @@ def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 KV = """(SELECT event_id AS seq, user_id AS key, CASE event_type WHEN 'purchase' THEN 'del' WHEN 'click' THEN 'expire' ELSE 'put' END AS op,
- value, epoch_ms(ts) AS ts_ms, CASE WHEN event_type = 'click' THEN epoch_ms(ts) + 3600000 ELSE 0 END AS expires_at_ms FROM events)"""
+ value, (epoch_us(ts) // 1000) AS ts_ms, CASE WHEN event_type = 'click' THEN (epoch_us(ts) // 1000) + 3600000 ELSE 0 END AS expires_at_ms FROM events)"""
 
 
 def vector(spark: SparkSession, sf_dir: str, point: int) -> list[float]:

@@ -121,7 +121,7 @@ def f18_json_tree(spark, d):
 NOW = 1_705_000_000_000
 
 
-@query(f"SELECT event_id AS id FROM events WHERE event_type <> 'click' OR epoch_ms(ts) + 3600000 > {NOW}")
+@query(f"SELECT event_id AS id FROM events WHERE event_type <> 'click' OR (epoch_us(ts) // 1000) + 3600000 > {NOW}")
 def f19_live_view(spark, d):
     return points.live(kv_log(spark, d), NOW).select(F.col("seq").alias("id"))
 

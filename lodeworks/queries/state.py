@@ -1 +1,289 @@
-"""Queries."""
+"""Writes, key-value state, change logs, streaming and application queries."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import apps, kv, points
+from ..plans import filters as L
+from ..sources.catalog import Catalog, Config
+from ..streaming import changes
+from .base import KV, docs, kv_log, query, rated, table
+
+NOW = 1_706_000_000_000
+LAST = f"(SELECT * FROM {KV} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+
+
+def scratch(spark) -> str:
+    """A folder that driver and executors share; a temporary one where a local session has none."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="lodeworks-")
+    return f"{shared.rstrip('/')}/lodeworks/{uuid.uuid4().hex}"
+
+
+# key-value
+
+
+@query(f"SELECT key, op, value, seq FROM {LAST} WHERE key = 8 AND op <> 'del'")
+def s9_kv_get(spark, d):
+    return kv.get(kv_log(spark, d), 8).select("key", "op", "value", "seq")
+
+
+@query(f"SELECT key, value, expires_at_ms FROM {LAST} WHERE op <> 'del' AND (expires_at_ms = 0 OR expires_at_ms > {NOW})")
+def s10_kv_iterate(spark, d):
+    return kv.state(kv_log(spark, d), NOW).select("key", "value", "expires_at_ms")
+
+
+@query(f"SELECT key, value FROM (SELECT * FROM {KV} WHERE ts_ms <= {NOW} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'del' AND (expires_at_ms = 0 OR expires_at_ms > {NOW})")
+def s11_kv_point_in_time(spark, d):
+    return kv.state(kv_log(spark, d).where(F.col("ts_ms") <= NOW), NOW).select("key", "value")
+
+
+@query(f"SELECT key, seq, op FROM {LAST}")
+def s18_log_replay(spark, d):
+    return points.latest(kv_log(spark, d), "key", "seq").select("key", "seq", "op")
+
+
+@query(f"SELECT count(*) AS keys, sum(seq)::BIGINT AS seqs FROM {LAST} WHERE op = 'put'")
+def w12_kv_put(spark, d):
+    return kv.state(kv_log(spark, d)).where("op = 'put'").agg(F.count("*").alias("keys"), F.sum("seq").alias("seqs"))
+
+
+@query(f"SELECT seq, key, existed FROM (SELECT seq, key, op, coalesce(lag(op) OVER (PARTITION BY key ORDER BY seq) <> 'del', FALSE) AS existed FROM {KV}) WHERE op = 'del'")
+def w13_kv_delete(spark, d):
+    return kv.existed(kv_log(spark, d))
+
+
+@query(f"SELECT key, expires_at_ms FROM {LAST} WHERE op = 'expire'")
+def w14_kv_expire(spark, d):
+    return kv.state(kv_log(spark, d)).where("op = 'expire'").select("key", "expires_at_ms")
+
+
+@query(f"""SELECT seq, key, sum(CASE WHEN op = 'del' THEN 0 ELSE 1 END) OVER (PARTITION BY key, era ORDER BY seq)::BIGINT AS counter
+ FROM (SELECT *, sum(CASE WHEN op = 'del' THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY seq) AS era FROM {KV})""")
+def w15_kv_incr(spark, d):
+    return kv.increments(kv_log(spark, d), F.lit(1)).select("seq", "key", F.col("counter").cast("long").alias("counter"))
+
+
+@query(f"SELECT seq, key FROM {KV} ORDER BY seq DESC LIMIT 100")
+def x5_kv_evict(spark, d):
+    return kv.evict(kv_log(spark, d), 100).select("seq", "key")
+
+
+@query(f"SELECT key, seq, value FROM {LAST} WHERE op <> 'del'")
+def x6_kv_compaction(spark, d):
+    return kv.compact(kv_log(spark, d)).select("key", "seq", "value")
+
+
+@query(f"SELECT key, seq, value FROM {LAST} WHERE op <> 'del'")
+def x8_stream_apply(spark, d):
+    """The same state as x6, by a stream that takes the log as files."""
+    root = scratch(spark)
+    log = kv_log(spark, d)
+    log.repartitionByRange(4, "seq").write.parquet(f"{root}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/log")
+    running = changes.apply_changes(stream, f"{root}/state", f"{root}/checkpoint")
+    running.awaitTermination()
+    last = running.lastProgress["batchId"] if running.lastProgress["numInputRows"] else max(p["batchId"] for p in running.recentProgress if p["numInputRows"])
+    return changes.read_state(spark, f"{root}/state", last, log.schema).select("key", "seq", "value")
+
+
+@query(f"SELECT to_timestamp(hour * 3600)::TIMESTAMP AS start, op, n FROM (SELECT ts_ms // 3600000 AS hour, op, count(*) AS n FROM {KV} GROUP BY ALL)")
+def x8_windowed_counts(spark, d):
+    timed = kv_log(spark, d).withColumn("ts", F.timestamp_millis("ts_ms"))
+    return changes.windowed_counts(timed, "ts", "1 hour", "2 hours", "op").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT count(*) AS live, count(*) FILTER (expires_at_ms <> 0) AS with_deadline FROM {LAST} WHERE op <> 'del' AND (expires_at_ms = 0 OR expires_at_ms > {NOW})")
+def x4_kv_ttl(spark, d):
+    return kv.state(kv_log(spark, d), NOW).agg(F.count("*").alias("live"), F.count_if(F.col("expires_at_ms") != 0).alias("with_deadline"))
+
+
+# points
+
+
+def base_and_rows(spark, d):
+    """Points with versions, and rows of which half are new."""
+    every = docs(spark, d).select("id", "lang", F.lit(1).cast("long").alias("version"))
+    base = every.where("id % 2 = 0")
+    rows = every.where("id < 200").withColumn("lang", F.upper("lang"))
+    return base, rows
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE upper(lang) END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id < 200")
+def w1_insert(spark, d):
+    return points.insert(*base_and_rows(spark, d))[0].select("id", "lang")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id < 200")
+def w1_insert_conflicts(spark, d):
+    return points.insert(*base_and_rows(spark, d))[1]
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id < 200 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id < 200")
+def w2_upsert(spark, d):
+    return points.upsert(*base_and_rows(spark, d)).select("id", "lang")
+
+
+@query("SELECT doc_id AS id, doc_id % 2 <> 0 AS inserted FROM documents WHERE doc_id < 200")
+def w3_insert_if_absent(spark, d):
+    base, rows = base_and_rows(spark, d)
+    there = base.select("id", F.lit(True).alias("there"))
+    return rows.join(there, "id", "left").select("id", F.col("there").isNull().alias("inserted"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id < 200 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 2 = 0 OR (doc_id < 200 AND doc_id % 3 <> 0)")
+def w4_compare_and_set(spark, d):
+    base, rows = base_and_rows(spark, d)
+    return points.compare_and_set(base, rows.withColumn("expected", F.when(F.col("id") % 3 == 0, 1).otherwise(0).cast("long")))[0].select("id", "version")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0")
+def w5_delete(spark, d):
+    every = docs(spark, d)
+    return points.delete(every, every.where("id % 5 = 0")).select("id")
+
+
+@query("SELECT count(*) AS left_over, count(*) FILTER (lang = 'en') AS english FROM documents WHERE NOT (lang = 'de' OR n_chars < 300)")
+def w6_delete_by_filter(spark, d):
+    kept = points.delete_by_filter(docs(spark, d), L.or_(L.eq("lang", "de"), L.lt("n_chars", 300)))
+    return kept.agg(F.count("*").alias("left_over"), F.count_if(F.col("lang") == "en").alias("english"))
+
+
+def payloads(spark, d):
+    return rated(spark, d).select("id", F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("payload"), "n_chars")
+
+
+def flat(df):
+    return df.select("id", *(F.col("payload")[k].alias(k) for k in ("lang", "source", "mark")))
+
+
+@query("SELECT doc_id AS id, 'xx' AS lang, source, 'm' AS mark FROM documents")
+def w7_set_payload(spark, d):
+    patch = F.create_map(F.lit("lang"), F.lit("xx"), F.lit("mark"), F.lit("m"))
+    return flat(payloads(spark, d).withColumn("payload", points.merge_payload(F.col("payload"), patch)))
+
+
+@query("SELECT doc_id AS id, NULL::VARCHAR AS lang, NULL::VARCHAR AS source, 'm' AS mark FROM documents")
+def w8_overwrite_payload(spark, d):
+    return flat(payloads(spark, d).withColumn("payload", F.create_map(F.lit("mark"), F.lit("m"))))
+
+
+@query("SELECT doc_id AS id, NULL::VARCHAR AS lang, source, NULL::VARCHAR AS mark FROM documents")
+def w9_delete_payload_keys(spark, d):
+    return flat(payloads(spark, d).withColumn("payload", points.without_keys(F.col("payload"), ["lang"])))
+
+
+@query("SELECT count(*) AS points, 0::BIGINT AS with_payload FROM documents")
+def w10_clear_payload(spark, d):
+    cleared = payloads(spark, d).withColumn("payload", F.lit(None).cast("map<string,string>"))
+    return cleared.agg(F.count("*").alias("points"), F.count("payload").alias("with_payload"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN n_chars > 1500 OR n_chars % 2 = 1 THEN lang END AS lang, source, NULL::VARCHAR AS mark FROM documents")
+def x2_key_ttl(spark, d):
+    deadline = F.create_map(F.lit("lang"), F.when(F.col("n_chars") % 2 == 0, F.col("n_chars")).otherwise(F.lit(0)))
+    return flat(payloads(spark, d).withColumn("payload", points.live_keys(F.col("payload"), deadline, 1500)))
+
+
+@query(f"SELECT seq, key FROM {KV} WHERE expires_at_ms = 0 OR expires_at_ms > {NOW}")
+def x3_sweep(spark, d):
+    return points.live(kv_log(spark, d), NOW).select("seq", "key")
+
+
+@query("SELECT id, collection FROM (SELECT doc_id AS id, source AS collection, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 7")
+def w23_quota(spark, d):
+    return points.within_quota(docs(spark, d).select("id", F.col("source").alias("collection")), "id", 7)
+
+
+@query()
+def x15_token_bucket(spark, d):
+    events = kv_log(spark, d).where("key < 20").select("seq", "key", "ts_ms")
+    return points.token_bucket(events, 1.0, "key", "ts_ms", "seq")
+
+
+# catalog, partitions and applications
+
+
+@query("SELECT count(*) AS n, 64::BIGINT AS dim, 'live' AS alias FROM embeddings")
+def x14_alias_and_snapshot(spark, d):
+    catalog = Catalog(spark, scratch(spark))
+    catalog.create(Config("first", 64))
+    catalog.write("first", table(spark, d, "embeddings").where("vec_id < 0"))
+    catalog.create(Config("second", 64))
+    catalog.swap_aliases([("live", "first")])
+    catalog.write("second", table(spark, d, "embeddings"))
+    catalog.swap_aliases([("live", "second")])
+    dim = catalog.config("live").dim
+    return catalog.read("live").agg(F.count("*").alias("n")).select("n", F.lit(dim).cast("long").alias("dim"), F.lit("live").alias("alias"))
+
+
+@query("SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings")
+def s17_snapshot_restore(spark, d):
+    catalog, at = Catalog(spark, scratch(spark)), scratch(spark)
+    catalog.create(Config("points", 64))
+    catalog.write("points", table(spark, d, "embeddings"))
+    catalog.snapshot(at)
+    return Catalog(spark, at).read("points").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def x9_resplit(spark, d):
+    """Partitions 8 then 4 hold each point once; the counts by partition are checked in tests."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+    again = apps.partitioned(apps.partitioned(rows, 8).drop("part"), 4)
+    return again.groupBy("part").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"))
+
+
+@query()
+def c9_partition_of(spark, d):
+    return apps.partitioned(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 16)
+
+
+@query("SELECT conv_id AS request_id, string_agg(text, '' ORDER BY turn) AS answer FROM conversations GROUP BY conv_id")
+def x16_streamed_answers(spark, d):
+    deltas = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("index"), F.col("text").alias("delta"))
+    return apps.streamed_answers(deltas)
+
+
+@query("SELECT count(*) FILTER (turn > 0) AS hits, count(*) FILTER (turn = 0) AS misses, coalesce(sum(length(text)) FILTER (turn > 0), 0)::BIGINT AS tokens_saved FROM conversations")
+def a10_proxy_savings(spark, d):
+    log = table(spark, d, "conversations").select((F.col("turn") > 0).alias("hit"), F.length("text").cast("long").alias("tokens"))
+    return apps.savings(log)
+
+
+@query("SELECT conv_id, turn, role, 'm' AS model, turn / 10.0::DOUBLE AS temperature FROM conversations WHERE turn <= 5")
+def s19_chat_requests(spark, d):
+    """Logged requests parsed; only those with a temperature of 0.5 at most may be cached."""
+    message = F.array(F.struct("role", F.col("text").alias("content")))
+    body = F.to_json(F.struct(F.lit("m").alias("model"), (F.col("turn") / 10.0).alias("temperature"), message.alias("messages")))
+    parsed = apps.chat_requests(table(spark, d, "conversations").select("conv_id", "turn", body.alias("body")), "body")
+    return parsed.where("temperature <= 0.5").select("conv_id", "turn", F.col("messages")[0]["role"].alias("role"), "model", "temperature")
+
+
+@query("SELECT source AS namespace, count(DISTINCT lang) AS memories FROM documents GROUP BY source")
+def x17_memories(spark, d):
+    """Remembering (namespace, key) twice keeps the later one."""
+    rows = docs(spark, d).select(apps.memory_id(F.col("source"), F.col("lang")).alias("id"), F.col("source").alias("namespace"), F.col("id").alias("seq"))
+    return points.latest(rows, "id", "seq").groupBy("namespace").agg(F.count("*").alias("memories"))
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
+def d2_call_by_name(spark, d):
+    name = f"by_language_{uuid.uuid4().hex}"
+    apps.register(name, "RO", lambda df: df.groupBy("lang").agg(F.count("*").alias("n")))
+    return apps.call(name, docs(spark, d))
+
+
+@query("SELECT 'points' AS name, 64::BIGINT AS dim, 'l2' AS metric")
+def s14_get_config(spark, d):
+    catalog = Catalog(spark, scratch(spark))
+    catalog.create(Config("points", 64, "l2"))
+    found = catalog.config("points")
+    return spark.createDataFrame([(found.name, found.dim, found.metric)], "name string, dim long, metric string")

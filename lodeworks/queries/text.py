@@ -1 +1,138 @@
-"""Queries."""
+"""Text analysis, BM25 and ingestion queries."""
+
+from __future__ import annotations
+
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import apps, points, search, text_search
+from ..plans import filters as L
+from ..sources import files
+from .base import POSTS, docs, query, table, tidy, words
+
+
+@query(f"SELECT doc_id AS id, len({words('text')})::INTEGER AS n, coalesce({words('text')}[1], '') AS first_token FROM documents")
+def t1_tokenize(spark, d):
+    found = docs(spark, d).withColumn("w", T.tokens(F.col("content")))
+    return found.select("id", F.size("w").alias("n"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first_token"))
+
+
+STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS if "'" not in w) + "]"
+
+
+@query(f"SELECT doc_id AS id, len(list_filter({words('text')}, lambda w: NOT list_contains({STOPS}, w)))::INTEGER AS n FROM documents")
+def t2_stopwords(spark, d):
+    return docs(spark, d).select("id", F.size(T.without_stopwords(T.tokens(F.col("content")))).alias("n"))
+
+
+@query()
+def t3_stems(spark, d):
+    terms = docs(spark, d).select(F.explode(T.tokens(F.col("content"))).alias("term")).distinct()
+    return T.stems(terms)
+
+
+@query()
+def t4_term_ids(spark, d):
+    return docs(spark, d).select("id", T.term_ids(F.slice(T.tokens(F.col("content")), 1, 8)).alias("ids"))
+
+
+@query(f"SELECT id, term, tf, dl::BIGINT AS dl FROM {POSTS}")
+def t5_postings(spark, d):
+    return text_search.postings(docs(spark, d), "simple")
+
+
+@query(f"SELECT count(DISTINCT id) AS n, sum(tf)::BIGINT AS token_total, count(DISTINCT term) AS terms FROM {POSTS}")
+def t7_index_stats(spark, d):
+    return text_search.postings(docs(spark, d), "simple").agg(F.countDistinct("id").alias("n"), F.sum("tf").alias("token_total"), F.countDistinct("term").alias("terms"))
+
+
+ASKED = "license from restin"
+
+
+def bm25(posts: str, where: str = "TRUE", by: str = "") -> str:
+    """id, score over postings with query terms ``license from restin``; ``by`` names a partition column."""
+    group = f"GROUP BY {by}" if by else ""
+    using = f"USING ({by})" if by else "ON TRUE"
+    term = f"term, {by}" if by else "term"
+    return f"""(WITH p AS MATERIALIZED (SELECT * FROM {posts}),
+ s AS (SELECT {by + ',' if by else ''} count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT id, dl {',' + by if by else ''} FROM p) {group}),
+ f AS (SELECT {term}, count(*) AS df FROM p WHERE term IN ('license', 'from', 'restin') GROUP BY {term})
+ SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
+ FROM p JOIN f USING ({term}) JOIN s {using} WHERE {where} GROUP BY id)"""
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS rank, id, round(score, 6) AS score FROM {bm25(POSTS)} ORDER BY rank LIMIT 20")
+def t8_bm25(spark, d):
+    found = text_search.search(text_search.postings(docs(spark, d), "simple"), ASKED.split(), 20)
+    return tidy(search.ranked(found, -F.col("score")), "rank", "id", "score")
+
+
+@query(f"""SELECT b.id, round(b.score, 6) AS score, d.lang FROM (SELECT * FROM {bm25(POSTS, "id IN (SELECT doc_id FROM documents WHERE n_chars < 1500)")} ORDER BY score DESC, id LIMIT 15) b
+ JOIN documents d ON d.doc_id = b.id""")
+def t9_search_text_filtered(spark, d):
+    every = docs(spark, d)
+    found = text_search.search(text_search.postings(every, "simple"), ASKED.split(), 15, admitted=L.where(every, L.lt("n_chars", 1500)))
+    return tidy(every.join(F.broadcast(found), "id"), "id", "score", "lang")  # fifteen hits
+
+
+@query()
+def t9_search_text_english(spark, d):
+    terms = text_search.query_terms("the licensed works of others", "english", spark)
+    return tidy(text_search.search(text_search.postings(docs(spark, d), "english"), terms, 20), "id", "score")
+
+
+@query(f"""SELECT w.term, coalesce(df, 0) AS df, n, token_total::BIGINT AS token_total FROM (VALUES ('license'), ('from'), ('nosuchword')) w(term)
+ LEFT JOIN (SELECT term, count(*) AS df FROM {POSTS} GROUP BY term) USING (term), (SELECT count(DISTINCT id) AS n, sum(tf) AS token_total FROM {POSTS})""")
+def t10_corpus_stats(spark, d):
+    return text_search.corpus_stats(text_search.postings(docs(spark, d), "simple"), ["license", "from", "nosuchword"])
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {bm25(f'(SELECT *, id % 4 AS part FROM {POSTS})', by='part')} ORDER BY score DESC, id LIMIT 20")
+def t11_partition_idf(spark, d):
+    posts = text_search.postings(docs(spark, d), "simple").withColumn("part", F.col("id") % 4)
+    return tidy(text_search.search(posts, ASKED.split(), 20, partition="part"), "id", "score")
+
+
+@query(r"""SELECT doc_id AS id, len(p)::INTEGER AS n, coalesce(p[1], '') AS first_paragraph FROM (SELECT doc_id,
+ list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents)""")
+def c13_paragraphs(spark, d):
+    spaced = F.replace(F.col("content"), F.lit(".\n"), F.lit(".\n\n"))
+    found = docs(spark, d).withColumn("p", T.paragraphs(spaced))
+    return found.select("id", F.size("p").alias("n"), F.coalesce(F.get("p", F.lit(0)), F.lit("")).alias("first_paragraph"))
+
+
+@query()
+def c12_chunks(spark, d):
+    return T.chunks(docs(spark, d), "id", "content", 128, 16)
+
+
+@query("""SELECT '[1] (0) ' || (SELECT left(text, 40) FROM documents WHERE doc_id = 0) || chr(10) || '[2] (3) ' || (SELECT left(text, 40) FROM documents WHERE doc_id = 3) || chr(10) || chr(10) || 'Question: why?' AS prompt""")
+def c14_prompt(spark, d):
+    rows = docs(spark, d).where("id IN (0, 3)").select((F.col("id") / 3).cast("int").alias("rank"), F.col("id").cast("string").alias("source"), F.left("content", F.lit(40)).alias("content"))
+    return apps.prompt(rows, "why?")
+
+
+@query()
+def s15_ingest_text(spark, d):
+    pages = table(spark, d, "pages").select("page_id", files.strip_tags(F.col("html")).alias("content"))
+    return T.chunks(pages, "page_id", "content", 256, 32)
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source <> 'src3' GROUP BY source UNION ALL SELECT 'src3' AS source, count(*) AS n FROM documents WHERE doc_id < 10")
+def w22_replace_source(spark, d):
+    every = docs(spark, d).select("id", "source", "content")
+    new = every.where("id < 10").withColumn("source", F.lit("src3"))
+    return points.replace_source(every, new.select("source", "id", "content")).groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(DISTINCT (lang, source)) AS scopes FROM documents")
+def c15_scope_keys(spark, d):
+    return docs(spark, d).select(apps.scope_key(F.col("lang"), F.col("source")).alias("k")).agg(F.countDistinct("k").alias("scopes"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'default' END AS tenant, source AS collection FROM documents")
+def c19_tenant_split(spark, d):
+    name = F.when(F.col("id") % 2 == 0, F.concat_ws("/", "lang", "source")).otherwise(F.col("source"))
+    tenant, collection = apps.tenant(F.col("name"))
+    return docs(spark, d).withColumn("name", name).select("id", tenant.alias("tenant"), collection.alias("collection"))
