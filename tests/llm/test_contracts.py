@@ -83,7 +83,7 @@ def test_exact_groups_with_null_and_repeated_ids(spark, empty):
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
 
 
-def test_exact_dedup_equals_sql(spark):
+def test_queries_equal_sql(spark):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
     for name, text in sql.oracle_sql().items():
