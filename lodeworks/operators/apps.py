@@ -68,6 +68,26 @@ def streamed_answers(deltas: DataFrame, request: str = "request_id", order: str
     return pieces.select(request, F.array_join(F.col(f"pieces.{text}"), "").alias("answer"))
 
 
+def procedure(rows: DataFrame, key: str, handler: Callable, schema: str) -> DataFrame:
+    """A stored procedure: ``handler`` gets the rows of one key as pandas and returns change rows."""
+    return rows.groupBy(key).applyInPandas(handler, schema)
+
+
+def prometheus(stats: DataFrame, prefix: str, label: str) -> DataFrame:
+    """Counters of a small statistics table as exposition lines."""
+    names = [c for c in stats.columns if c != label]
+    line = lambda c: F.format_string(f'{prefix}_{c}{{{label}="%s"}} %s', F.col(label).cast("string"), F.col(c).cast("string"))
+    return stats.select(F.explode(F.array(*map(line, names))).alias("line"))
+
+
+def pooled(tokens: Column, mask: Column) -> Column:
+    """Mean of the token vectors whose mask is 1."""
+    kept = F.transform(F.filter(F.arrays_zip(tokens.alias("t"), mask.alias("m")), lambda x: x["m"] == 1), lambda x: x["t"])
+    width = F.size(kept[0])
+    total = F.aggregate(kept, F.array_repeat(F.lit(0.0), width), lambda s, t: F.zip_with(s, t, lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.size(kept))
+
+
 def savings(log: DataFrame) -> DataFrame:
     """Hits, misses and saved tokens of a cache log (hit boolean, tokens)."""
     return log.agg(

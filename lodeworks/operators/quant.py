@@ -115,3 +115,64 @@ def ivf_search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float],
     """Exact kNN within the nearest cells."""
     cells = np.argsort(V.distances("l2", centres, np.asarray(query, float)[None])[:, 0], kind="stable")[:probes]
     return search.knn(assigned.where(F.col("cell").isin(*cells.tolist())), query, k, metric)
+
+
+def train_rotation(x: np.ndarray, parts: int, centroids: int = 16, rounds: int = 4, seed: int = 5) -> np.ndarray:
+    """An orthogonal rotation that lowers product-quantization error: codebooks and Procrustes steps in turn, from a random one."""
+    rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1])))
+    width = x.shape[1] // parts
+    for number in range(rounds):
+        turned = x @ rotation
+        coded = np.empty_like(turned)
+        for i in range(parts):
+            part = turned[:, i * width : (i + 1) * width]
+            book = kmeans(part, centroids, rounds=4, seed=number)
+            coded[:, i * width : (i + 1) * width] = book[V.distances("l2", part, book).argmin(1)]
+        u, _, v = np.linalg.svd(x.T @ coded)
+        rotation = u @ v
+    return rotation
+
+
+def rotated(points: DataFrame, rotation: np.ndarray) -> DataFrame:
+    """Points with their vectors rotated, by one matrix product per Arrow batch."""
+    held = points.sparkSession.sparkContext.broadcast(rotation)
+
+    @F.pandas_udf("array<double>")
+    def turn(vectors: pd.Series) -> pd.Series:
+        return pd.Series(list(np.stack(vectors.to_numpy()).astype(float) @ held.value))
+
+    return points.withColumn("vector", turn("vector"))
+
+
+def train_residual(points: DataFrame, parts: int, layers: int = 2, centroids: int = 16) -> list[np.ndarray]:
+    """Codebooks of product quantization of what the layers before left over."""
+    x, out = training_matrix(points), []
+    width = x.shape[1] // parts
+    for layer in range(layers):
+        books = []
+        for i in range(parts):
+            part = x[:, i * width : (i + 1) * width]
+            book = kmeans(part, centroids, seed=31 * layer + i)
+            book = np.vstack([book, np.repeat(book[-1:], centroids - len(book), 0)])
+            x[:, i * width : (i + 1) * width] = part - book[V.distances("l2", part, book).argmin(1)]
+            books.append(book)
+        out.append(np.stack(books))
+    return out
+
+
+def residual_decode(points: DataFrame, layers: list[np.ndarray]) -> DataFrame:
+    """(id, vector) as the layers' codes restore it."""
+    held = points.sparkSession.sparkContext.broadcast(layers)
+
+    @F.pandas_udf("array<double>")
+    def restore(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        out = np.zeros_like(x)
+        for books in held.value:
+            width = books.shape[2]
+            for i, book in enumerate(books):
+                part = slice(i * width, (i + 1) * width)
+                out[:, part] += book[V.distances("l2", x[:, part] - out[:, part], book).argmin(1)]
+        return pd.Series(list(out))
+
+    return points.select("id", restore("vector").alias("vector"))
