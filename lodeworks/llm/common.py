@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -33,15 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a driver with little to do may put off for long. A finished query
+    takes two collections: the first only frees what its listeners and Python still hold.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and executors may be lost.
 
-    A collection on the driver then lets Spark's cleaner delete the shuffle files that only led to this table.
+    Shuffle files that only led to the table may go then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
