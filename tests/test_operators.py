@@ -198,6 +198,20 @@ def test_counter_restarts_after_delete(spark):
     assert [r["counter"] for r in kv.increments(log, F.lit(2)).orderBy("seq").collect()] == [2, 4, 0, 2]
 
 
+def test_counters_across_spans(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    rows = [(i, "ab"[int(rng.integers(2))], "del" if rng.random() < 0.06 else "put", int(rng.integers(-3, 9))) for i in range(300)]
+    now, expected = {"a": 0, "b": 0}, []
+    for _, key, op, n in rows:
+        now[key] = 0 if op == "del" else now[key] + n
+        expected.append(now[key])
+    log = spark.createDataFrame(rows, "seq long, key string, op string, n long")
+    for span in (7, 50, 10_000):
+        assert [r["counter"] for r in kv.increments(log, F.col("n"), span).orderBy("seq").collect()] == expected
+
+
 def test_catalog(spark, tmp_path):
     catalog = Catalog(spark, str(tmp_path))
     catalog.create(Config("a", 2))
