@@ -38,7 +38,7 @@ from .words import mixed, numbered, window_hashes, window_starts
 
 NGRAM, SIMILARITY = 4, 85
 #: Text bytes a task takes at a time; shingles ordered by frequency at most; from which document frequency; list blocks; group blocks.
-SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 12 << 20, 1 << 18, 8, 64, 2048
+SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 8 << 20, 1 << 18, 8, 64, 2048
 LAST = 2**63 - 1
 _SCAN = "doc long, n long, d1 long, d2 long, bucket int, data binary"
 _POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("size", "<i4"), ("pos", "<i4")])

@@ -30,7 +30,7 @@ from .words import mixed, numbered, window_hashes, window_starts
 
 WINDOW, SEED = 13, 4
 #: Text bytes that a task splits at a time; buckets for each shuffle partition.
-SPLIT_BYTES, BUCKETS = 12 << 20, 2
+SPLIT_BYTES, BUCKETS = 10 << 20, 2
 LAST = 2**63 - 1  # stands for a null id
 _PACKED = "bucket int, marks boolean, data binary"
 _MARK = np.dtype([("doc", "<i8"), ("key", "<i8"), ("begin", "<i4"), ("end", "<i4")])

@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers; a full table starts over.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 
 class WordTable(dict):
