@@ -1,10 +1,13 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text; its set is its distinct words. A block matches a template when it holds at least
-``THRESHOLD`` of the template's distinct words. The join is exact: template words are ordered by ascending frequency over all
+A block is a line of a text, a paragraph (lines up to one without words), or, since statements are wrapped anywhere, a run: the words
+from any template word on, line breaks or not, as many as the template has words divided by ``THRESHOLD``. Its set is its distinct
+words. A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct words. The join is exact: template words are ordered by ascending frequency over all
 documents (counted over all of them first); a match must hold one of the first |T| - need + 1 words of a template (prefix filter),
 must have need words at all (length filter), and at the first common word enough words must be left on both sides
-(positional filter); what passes is counted in full. The templates are a fixed table, so its broadcast is bounded.
+(positional filter); what passes is counted in full. A text's words as a whole pass the same filters first, for no block holds more.
+Of runs that overlap, the last of the best counts; a paragraph counts where no line or run that begins in it matches; a
+match is shown with the line where its block begins, once for each template and line, with the highest containment. The templates are a fixed table, so its broadcast is bounded.
 
 Defined results: null texts are empty and have no words, no labels and score 0; null and repeated ids keep a row each;
 empty tables give empty results; other columns are not looked at.
@@ -13,7 +16,9 @@ empty tables give empty results; other columns are not looked at.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,6 +97,7 @@ class TemplateIndex:
         self.rank = {w: i for i, w in enumerate(everything)}
         self.sorted = {name: sorted(t, key=self.rank.__getitem__) for name, t in texts.items()}
         self.sets, self.need = texts, {name: -(-round(1000 * threshold) * len(t) // 1000) for name, t in texts.items()}
+        self.run = {name: -(-1000 * len(text.split()) // round(1000 * threshold)) for name, (_, text) in templates.items()}
         self.prefix: dict[bytes, list[tuple[str, int]]] = {}
         for name, words in self.sorted.items():
             for i, w in enumerate(words[: len(words) - self.need[name] + 1]):
@@ -116,6 +122,61 @@ class TemplateIndex:
                     out[name] = common / size
         return out
 
+    def runs(self, words: list[bytes], name: str) -> list[tuple[int, float]]:
+        """First word and containment of the runs that match a template; of those that overlap, the last of the best."""
+        mine, need, width = self.sets[name], self.need[name], self.run[name]
+        places = [i for i, w in enumerate(words) if w in mine]
+        held: dict[bytes, int] = {}
+        out: list[tuple[int, float]] = []
+        reach = end = 0
+        for at in places:
+            while end < len(places) and places[end] < at + width:
+                held[words[places[end]]] = held.get(words[places[end]], 0) + 1
+                end += 1
+            if len(held) >= need:
+                found = (at, len(held) / len(mine))
+                if at >= reach:
+                    out.append(found)
+                elif found[1] >= out[-1][1]:
+                    out[-1] = found
+                reach = at + width
+            held[words[at]] -= 1
+            if not held[words[at]]:
+                del held[words[at]]
+        return out
+
+    def blocks(self, flat: bytes) -> list[tuple[int, str, float]]:
+        """(line, template, containment) of the lines, runs and paragraphs of a folded text that match."""
+        words = flat.split()
+        if self.probes.isdisjoint(words) or not (near := self.matches(words)):
+            return []
+        lines = [x.split() for x in flat.split(b"\n")]
+        begins = [0, *accumulate(map(len, lines))]
+        out: dict[tuple[int, str], float] = {}
+
+        def add(line: int, name: str, share: float) -> None:
+            out[line, name] = max(share, out.get((line, name), 0.0))
+
+        for number, line in enumerate(lines):
+            if not self.probes.isdisjoint(line):
+                for name, share in self.matches(line).items():
+                    add(number, name, share)
+        for name in near:
+            for at, share in self.runs(words, name):
+                add(bisect_right(begins, at) - 1, name, share)
+        taken = {name: sorted(line for line, n in out if n == name) for name in near}
+        first = None
+        for number, line in enumerate([*lines, []]):
+            if line:
+                first = number if first is None else first
+                continue
+            if first is not None and number - first > 1:
+                for name, share in self.matches(words[begins[first] : begins[number]]).items():
+                    if bisect_right(taken[name], number - 1) == bisect_right(taken[name], first - 1):
+                        add(first, name, share)
+            first = None
+        return sorted((line, name, share) for (line, name), share in out.items())
+
 
 _RESULT = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<line:int,template:string,containment:double>>"
 
@@ -142,12 +203,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, str]] = TEMPL
                             if at := phrase_places(words, phrase):
                                 places += at
                                 base.add(label)
-                    blocks = []
-                    if not index.probes.isdisjoint(words):
-                        for number, line in enumerate(flat.split(b"\n")):
-                            block = line.split()
-                            if not index.probes.isdisjoint(block):
-                                blocks += [(number, name, c) for name, c in sorted(index.matches(block).items())]
+                    blocks = index.blocks(flat)
                     labels = base | {index.labels[name] for _, name, _ in blocks}
                     score = max([1.0 if base else 0.0, *(c for _, _, c in blocks)])
                     rows.append((doc, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, [dict(zip(("line", "template", "containment"), b)) for b in blocks]))

@@ -281,6 +281,45 @@ def test_containment_join_is_exact():
         assert index.matches([w.encode() for w in block]) == expected
 
 
+def test_wrapped_license_statements_are_found(spark):
+    import textwrap
+
+    rows, names = [], list(license_scan.TEMPLATES)
+    for width in (20, 45, 72):
+        for name in names:
+            lines = textwrap.wrap("Some code. " + license_scan.TEMPLATES[name][1] + ". More of it", width)
+            rows.append((len(rows), "int x;\n\n * " + "\n * ".join(lines) + "\n\nint y;"))
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, _ in rows:
+        name = names[i % len(names)]
+        assert ("1.0", name) in {(str(b["containment"]), b["template"]) for b in got[i]["blocks"]} and got[i]["score"] == 1.0
+        assert license_scan.TEMPLATES[name][0] in got[i]["labels"].split(",")
+        assert all(b["line"] >= 2 for b in got[i]["blocks"])
+
+
+def test_license_runs_equal_brute_force():
+    rng = np.random.default_rng(3)
+    vocabulary = sorted({w.encode() for _, t in license_scan.TEMPLATES.values() for w in t.split()})
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, {w: int(n) for w, n in zip(vocabulary, rng.integers(0, 50, len(vocabulary)))})
+    found = 0
+    for _ in range(200):
+        name = str(rng.choice(list(license_scan.TEMPLATES)))
+        words = [w.encode() for w in license_scan.TEMPLATES[name][1].split() if rng.random() > 0.03]
+        words = [*rng.choice(vocabulary, 30).tolist(), *words, b"zzz", *rng.choice(vocabulary, 10).tolist(), *words]
+        lines = [words[i : i + 7] for i in range(0, len(words), 7)]
+        got = index.blocks(b"\n".join(map(b" ".join, lines)))
+        for n, mine in index.sets.items():
+            shares = {i: len(mine & set(words[i : i + index.run[n]])) / len(mine) for i, w in enumerate(words) if w in mine}
+            good = {i: c for i, c in shares.items() if c * len(mine) >= index.need[n] - 1e-9}
+            whole = len(mine & set(words)) >= index.need[n]
+            assert {b[1] for b in got} >= {n} if whole else n not in {b[1] for b in got}  # one paragraph
+            if good:
+                found += 1
+                assert max(b[2] for b in got if b[1] == n) >= max(good.values())
+                assert {b[0] for b in got if b[1] == n} <= {i // 7 for i in good}
+    assert found > 100
+
+
 # 6
 
 
