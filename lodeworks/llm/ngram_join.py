@@ -261,12 +261,13 @@ def _lists(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of class representatives -> their sets."""
+    """Texts -> their classes' keys and sets; an id may have texts of several classes, so the key is the text's own."""
     for batch in batches:
         for part in chunks(batch, limit=SPLIT_BYTES):
             tokens, begins = shingle_sets(text_bytes(part.column("text")))
+            key, _ = signatures(tokens, begins)
             data = [tokens[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(data, pa.binary())], ["key", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], ["key", "data"])
 
 
 def _overlaps(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -364,8 +365,8 @@ def near_components(docs: DataFrame) -> DataFrame:
     leads = counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "blocks", F.col("leader").alias("key"))
     groups = members.unionByName(leads)
     keys = pairs.select(F.explode(F.array("leader", "member")).alias("key")).distinct()
-    reps = classes.select(F.col("d1").alias("key"), F.col("rep").alias("doc")).join(keys, "key").dropDuplicates(["doc"])
-    sets = texts.join(reps, "doc").select("key", "text").mapInArrow(_sets, "key long, data binary").dropDuplicates(["key"])
+    reps = classes.select(F.col("d1").alias("key"), F.col("rep").alias("doc")).join(keys, "key").select("doc").distinct()
+    sets = texts.join(reps, "doc").select("text").mapInArrow(_sets, "key long, data binary").dropDuplicates(["key"])
     found = materialize(_linked(groups, sets, parts), "found")
     links = found.where("NOT visits").select("a", "b")
     visitors = found.where("visits").select(F.col("a").alias("leader"), F.col("b").alias("key")).distinct()

@@ -249,6 +249,23 @@ def test_near_components_with_null_and_repeated_ids(spark):
     assert got == sorted([(None, 17, 4), (4, 17, 4), (4, 1, 4), (9, 0, 9)], key=repr)
 
 
+def near_copies(name, n=60):
+    """A text and a near copy."""
+    text = [f"{name}{i}" for i in range(n)]
+    return " ".join(text), " ".join([*text[:-1], "end"])
+
+
+def test_near_copies_among_null_and_repeated_ids(spark):
+    pairs = {name: near_copies(name) for name in "abcdef"}
+    rows = [(None, pairs["a"][0]), (None, pairs["a"][1]), (None, pairs["b"][0]), (None, pairs["b"][1])]
+    rows += [(3, pairs["c"][0]), (3, pairs["d"][0]), (8, pairs["c"][1]), (9, pairs["d"][1])]
+    rows += [(5, pairs["e"][0]), (5, pairs["e"][1]), (5, pairs["f"][0]), (6, pairs["f"][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_components(df).collect()), key=repr)
+    component = {None: None, 3: 3, 8: 3, 9: 3, 5: 5, 6: 5}
+    assert got == sorted(((i, 57, component[i]) for i, _ in rows), key=repr)
+
+
 # 5
 
 
