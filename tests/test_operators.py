@@ -184,6 +184,25 @@ def test_token_bucket(spark):
     assert [r["admitted"] for r in points.token_bucket(events, 1.0, "key", "ts_ms", "seq").orderBy("ts_ms").collect()] == [True, False, False, True, False]
 
 
+def test_token_bucket_query_admits_over_the_whole_log(spark, tmp_path):
+    import datetime
+
+    from lodeworks.queries.state import x15_token_bucket
+
+    rng = np.random.default_rng(4)
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, int(rng.integers(0, 60)), start + datetime.timedelta(milliseconds=int(rng.integers(0, 60_000))), "view", 1.0) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    expected, state = {}, {}
+    for i, key, at, *_ in sorted(events, key=lambda e: (e[2], e[0])):
+        ms = (at - start) // datetime.timedelta(milliseconds=1)
+        tokens, last = state.get(key, (1.0, ms))
+        tokens = min(1.0, tokens + (ms - last) / 1000)
+        expected[i] = (key, tokens >= 1)
+        state[key] = (tokens - (tokens >= 1), ms)
+    assert {r["seq"]: (r["key"], r["admitted"]) for r in x15_token_bucket(spark, str(tmp_path)).collect()} == expected
+
+
 def test_deletes_are_guarded(corpus):
     with pytest.raises(L.FilterError):
         points.delete_by_filter(corpus[1], {})
