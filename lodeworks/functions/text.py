@@ -173,7 +173,8 @@ def term_ids(words: Column, modulo: int = 0) -> Column:
 
     @F.pandas_udf("array<bigint>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda ws: [fnv1a(w.encode()) % modulo if modulo else fnv1a(w.encode()) for w in ws])
+        of = {w: fnv1a(w.encode()) for w in set().union(*s)}  # the distinct terms of a batch
+        return s.map(lambda ws: [of[w] % modulo if modulo else of[w] for w in ws])
 
     return run(words)
 

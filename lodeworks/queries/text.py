@@ -34,7 +34,7 @@ def t3_stems(spark, d):
 
 @query()
 def t4_term_ids(spark, d):
-    return docs(spark, d).select("id", T.term_ids(F.slice(T.tokens(F.col("content")), 1, 8)).alias("ids"))
+    return docs(spark, d).select("id", T.term_ids(T.tokens(F.col("content"))).alias("ids"))
 
 
 @query(f"SELECT id, term, tf, dl::BIGINT AS dl FROM {POSTS}")

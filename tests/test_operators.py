@@ -203,6 +203,16 @@ def test_token_bucket_query_admits_over_the_whole_log(spark, tmp_path):
     assert {r["seq"]: (r["key"], r["admitted"]) for r in x15_token_bucket(spark, str(tmp_path)).collect()} == expected
 
 
+def test_term_ids_query_covers_the_whole_text(spark, tmp_path):
+    from lodeworks.queries.text import t4_term_ids
+
+    words = [f"w{i % 17}" for i in range(40)]
+    rows = [(1, " ".join(words), "en", "s", 1), (2, "", "en", "s", 0), (3, "a", "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["id"]: r["ids"] for r in t4_term_ids(spark, str(tmp_path)).collect()}
+    assert got == {1: [T.fnv1a(w.encode()) for w in words], 2: [], 3: [T.fnv1a(b"a")]}
+
+
 def test_deletes_are_guarded(corpus):
     with pytest.raises(L.FilterError):
         points.delete_by_filter(corpus[1], {})
