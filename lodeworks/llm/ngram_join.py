@@ -19,7 +19,9 @@ similarity is at least ``SIMILARITY`` percent.
 
 Defined results: null or word-less texts have empty sets, link with nothing and are their own component; with fewer words than ``NGRAM``
 the whole sequence is the one shingle; a null id counts as larger than any other and is shown as null; rows that repeat an id with
-different texts share whatever either links to; an empty table gives an empty result; ``one_of_each`` carries other columns along.
+different texts share whatever either links to; an empty table gives an empty result. ``one_of_each`` goes by texts, not by ids: one
+row of each component of classes stays, the one with the smallest id (null last) and then the smallest text hash, with all its
+columns; rows without words all stay.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, materialize, shuffle_partitions, text_bytes
@@ -40,7 +42,9 @@ NGRAM, SIMILARITY = 4, 85
 #: Text bytes a task takes at a time; shingles ordered by frequency at most; from which document frequency; list blocks; group blocks.
 SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 8 << 20, 1 << 18, 8, 64, 2048
 LAST = 2**63 - 1
-_SCAN = "doc long, n long, d1 long, d2 long, bucket int, data binary"
+#: Columns that documents do not have.
+_DOC, _HASH = "__lodeworks_doc", "__lodeworks_hash"
+_SCAN = "doc long, hash long, n long, d1 long, d2 long, bucket int, data binary"
 _POST = np.dtype([("token", "<u8"), ("key", "<i8"), ("size", "<i4"), ("pos", "<i4")])
 
 
@@ -100,18 +104,18 @@ def _scan(buckets: int):
     """Documents -> a row of signatures each, and the high halves of all their shingles by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary()]
-        names = ["doc", "n", "d1", "d2", "bucket", "data"]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.binary()]
+        names = ["doc", "hash", "n", "d1", "d2", "bucket", "data"]
         for batch in batches:
             for part in chunks(batch, limit=SPLIT_BYTES):
-                docs = part.column("doc").to_pylist()
+                docs, hashes = part.column("doc").to_pylist(), part.column("hash").to_pylist()
                 tokens, begins = shingle_sets(text_bytes(part.column("text")))
                 d1, d2 = signatures(tokens, begins)
                 none = [None] * len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((docs, np.diff(begins), d1, d2, none, none), kinds)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((docs, hashes, np.diff(begins), d1, d2, none, none), kinds)], names)
                 high = np.sort((tokens >> np.uint64(32)).astype(np.uint32))
                 cuts = np.searchsorted(high, np.arange(buckets + 1) * (2**32 / buckets))
-                rows = [(None, None, None, None, b, _compress(np.diff(high[x:y], prepend=np.uint32(0)))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+                rows = [(None, None, None, None, None, b, _compress(np.diff(high[x:y], prepend=np.uint32(0)))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names)
 
@@ -346,13 +350,21 @@ def _linked(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
     return rows.select("leader", "salt", "blocks", "key", "data").mapInArrow(_verify, "a long, b long, visits boolean")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def _doc(docs: DataFrame) -> Column:
+    return F.coalesce(docs["doc_id"], F.lit(LAST))
+
+
+def _hash(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["text"])
+
+
+def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc, hash, n, d1, d2) of the documents, classes (d1, d2, rep) and links (a, b) of their d1."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    texts = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    texts = docs.select(_doc(docs).alias("doc"), _hash(docs).alias("hash"), "text")
     scan = materialize(texts.mapInArrow(_scan(2 * parts), _SCAN), "scan")
-    rows = scan.where("bucket IS NULL").select("doc", "n", "d1", "d2")
+    rows = scan.where("bucket IS NULL").select("doc", "hash", "n", "d1", "d2")
     classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "classes")
     held = spark.sparkContext.broadcast(frequent_shingles(scan))  # FREQUENT entries at most
     posts = texts.select("text").mapInArrow(_post(2 * parts, held), "bucket int, data binary")
@@ -374,6 +386,12 @@ def near_components(docs: DataFrame) -> DataFrame:
         guests = visitors.join(counts, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("blocks"), "key")
         hosts = groups.join(visitors.select("leader").distinct(), "leader", "left_semi").withColumn("blocks", F.lit(1))
         links = links.unionByName(_linked(hosts.unionByName(guests).distinct(), sets, parts).select("a", "b"))
+    return rows, classes, links
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    rows, classes, links = class_links(docs)
     of_key = classes.select(F.col("d1"), "rep")
     named = (
         links.join(of_key.withColumnsRenamed({"d1": "a", "rep": "ra"}), "a")
@@ -390,7 +408,19 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose component holds a smaller id."""
-    found = near_components(docs)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(LAST)).alias("_gone")).distinct()
-    return docs.join(gone, F.coalesce(docs["doc_id"], F.lit(LAST)) == gone["_gone"], "left_anti")
+    """``docs`` with one row of each component of texts."""
+    rows, _, links = class_links(docs)
+    copies = rows.where("n > 0").groupBy("doc", "hash").agg(F.min("d1").alias("d1"), F.count("*").alias("copies"))
+    copies = materialize(copies, "copies")
+    stars = components(links).withColumnRenamed("node", "d1")  # of classes: an id may have texts of several
+    firsts = copies.groupBy("d1").agg(F.min(F.struct("doc", "hash", "copies")).alias("first"))
+    kept = firsts.join(stars, "d1", "left").groupBy(F.coalesce("component", "d1")).agg(F.min("first").alias("first"))
+    kept = materialize(kept.select("first.*"), "kept")
+    gone = materialize(copies.join(kept, ["doc", "hash"], "left_anti").select("doc", "hash"), "gone")
+    left = docs.join(gone, (_doc(docs) == gone["doc"]) & (_hash(docs) == gone["hash"]), "left_anti")
+    again = kept.where("copies > 1").select("doc", "hash")
+    if again.isEmpty():
+        return left
+    same = (_doc(left) == again["doc"]) & (_hash(left) == again["hash"])
+    one = left.join(again, same, "left_semi").withColumns({_DOC: _doc(left), _HASH: _hash(left)}).dropDuplicates([_DOC, _HASH])
+    return left.join(again, same, "left_anti").unionByName(one.drop(_DOC, _HASH))

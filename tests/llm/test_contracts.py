@@ -266,6 +266,23 @@ def test_near_copies_among_null_and_repeated_ids(spark):
     assert got == sorted(((i, 57, component[i]) for i, _ in rows), key=repr)
 
 
+def test_one_of_each_component_stays_whatever_the_ids(spark):
+    pairs = {name: near_copies(name) for name in "abcdefgh"}
+    rows = [(None, pairs["a"][0]), (4, pairs["a"][1]), (None, pairs["b"][0])]  # an unrelated text without an id stays
+    rows += [(None, pairs["c"][0]), (None, pairs["c"][1]), (None, pairs["c"][1]), (None, None), (None, " ")]
+    rows += [(7, pairs["d"][0]), (7, pairs["e"][0]), (2, pairs["e"][1])]
+    rows += [(None, pairs["f"][0]), (5, pairs["f"][1]), (6, pairs["g"][0]), (6, pairs["g"][1]), (1, pairs["h"][0]), (1, pairs["h"][0])]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, hash int")
+    found = [tuple(r) for r in ngram_join.one_of_each(df).collect()]
+    assert {(i, t, k) for k, (i, t) in enumerate(rows)} >= set(found)
+    left = [(i, t) for i, t, _ in found]
+    for i, name, n in ((4, "a", 1), (None, "b", 0), (7, "d", 0), (2, "e", 1), (5, "f", 1), (1, "h", 0)):
+        assert left.count((i, pairs[name][n])) == 1
+    for i, name in ((None, "c"), (6, "g")):
+        assert sum(left.count((i, t)) for t in pairs[name]) == 1
+    assert (None, None) in left and (None, " ") in left and len(left) == 10
+
+
 # 5
 
 
