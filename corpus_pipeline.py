@@ -33,8 +33,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in windows of an earlier document go; the others stay, joined by one space, and n_chars follows."""
-    found = substring_dedup.strip_repeats(docs)
-    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    own = {c: f"__own_{c}" for c in ("n_words", "n_removed") if c in docs.columns}  # the operator gives columns of these names
+    found = substring_dedup.strip_repeats(docs.withColumnsRenamed(own)).drop("n_words", "n_removed").withColumnsRenamed({v: k for k, v in own.items()})
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
