@@ -18,6 +18,11 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Text bytes that Python code takes from an Arrow batch at a time, so memory does not follow the batch's row count.
 CHUNK_BYTES = 4 << 20
 
+#: Seconds of writing from which finished shuffle files are worth a collection.
+LONG_S = 3
+
+_leaving: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -35,6 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; the store deletes it when the driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/lodeworks/{spark.sparkContext.applicationId}"
+    if root not in _leaving:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _leaving.add(root)
+    return root
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files that nothing refers to any more.
 
@@ -50,15 +65,22 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there, and executors may be lost.
 
-    Shuffle files that only led to the table may go then.
+    Shuffle files that only led to the table may go then; a table that took under ``LONG_S`` to write left few of them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodeworks/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}/{name}"
+    began = time.monotonic()
     df.write.parquet(path)
-    release(spark)
+    if time.monotonic() - began > LONG_S:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_total(docs: DataFrame, text: str = "text") -> int:
+    """UTF-8 bytes of all texts, from which operators derive how many buckets they need."""
+    return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -86,20 +108,22 @@ def id_as_text_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int) -> DataFrame:
-    """A bounded training sample: for each value of ``label`` the ``per_class`` rows with the smallest hashed id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """A bounded training sample (doc_id, text, label): for each value of ``label`` the ``per_class`` rows with the smallest hashed id.
 
-    Only ids whose ``crc32(doc_id) mod 5`` is not 0 take part. The id list has at most 2 * per_class rows, so its
-    broadcast is bounded whatever the corpus size; texts over ``max_chars`` characters are left out of training.
+    Only ids whose ``crc32(doc_id) mod 5`` is not 0 take part, with whole texts of any length. The id list has at most
+    2 * per_class rows, so its broadcast is bounded whatever the corpus size, and an id that repeats gives one row, the one whose
+    text has the smallest hash.
     """
     ids = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (id_as_text_crc() % 5 != 0))
-        .groupBy("doc_id")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(label).cast("int").alias("label"))
     )
     picked = None
     for value in (0, 1):
         one = ids.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.octet_length("text") <= max_chars))
-    return texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
+    found = texts.join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))

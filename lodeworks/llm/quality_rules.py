@@ -7,7 +7,7 @@ it covers leave, and the next rule is grown. ``verdict`` turns the list into one
 applying it costs no Python.
 
 The fit takes at most ``PER_CLASS`` labelled rows of each label value (those with the smallest hashed ids among ids whose
-crc32 mod 5 is not 0, texts up to ``MAX_CHARS`` characters); statistics, rules and verdicts cover all rows.
+crc32 mod 5 is not 0), whole texts of any length; they become counts in the executors; statistics, rules and verdicts cover all rows.
 
 Defined results: a null text has no words, so every statistic is 0 and the base check fails it; null or repeated ids keep a row each;
 without usable labels the list is empty and keeps all that pass the base check.
@@ -30,7 +30,7 @@ from .common import chunks, labelled_sample, text_bytes
 from .words import numbered, window_hashes, window_starts
 
 WINDOW, MIN_WORDS, REPEAT_PERCENT = 8, 20, 30
-PER_CLASS, MAX_CHARS, PRECISION, MOST_RULES, MOST_TESTS = 10_000, 100_000, 0.97, 12, 4
+PER_CLASS, PRECISION, MOST_RULES, MOST_TESTS = 10_000, 0.97, 12, 4
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_digits")
 _SYMBOLS = b"#*$%&|<>"
 _NOT_CHARS = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))  # white space, and the bytes that continue a code point
@@ -184,7 +184,7 @@ def fit_list(x: dict[str, np.ndarray], bad: np.ndarray, held_back: np.ndarray) -
 
 def learn_rules(docs: DataFrame, labels: DataFrame) -> list[Rule]:
     """A decision list from the documents' statistics and ``labels.quality`` (0 is what the rules reject)."""
-    sample = labelled_sample(docs, labels, "quality", PER_CLASS, MAX_CHARS)
+    sample = labelled_sample(docs, labels, "quality", PER_CLASS)
     rows = text_statistics(sample, ("doc_id", "label")).toPandas()  # 2 * PER_CLASS rows of counts at most
     if rows.empty:
         return []

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, shuffle_partitions, text_bytes
+from .common import chunks, scratch, shuffle_partitions, text_bytes
 from .wordtok import word_encoder
 
 MAGIC, HEAD = b"LWB1", "<4sBxxxIQ"
@@ -155,6 +155,6 @@ def token_table(blocks: DataFrame) -> DataFrame:
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """Write the files into the shared folder, read them back and return ``token_table``."""
-    path = f"{shared_dir(docs.sparkSession)}/lodeworks/{uuid.uuid4().hex}/token-files"
+    path = f"{scratch(docs.sparkSession)}/{uuid.uuid4().hex}/token-files"
     write_token_files(docs, path, tokenizer_path, end_id)
     return token_table(read_token_files(docs.sparkSession, path))
