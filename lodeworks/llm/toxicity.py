@@ -6,9 +6,10 @@ document's probability is the noisy-or of its sentences, 1 - prod(1 - p). The do
 feature weights, so blame falls on the sentences that explain the labels, and the fitted sentence probabilities then locate
 the offending sentences of any document.
 
-The fit takes at most ``PER_CLASS`` labelled rows of each label value (smallest hashed ids among ids whose crc32 mod 5 is not 0,
-texts up to ``MAX_CHARS`` characters); of the features that ``MIN_DOCS`` of them hold, the ``MOST_FEATURES`` whose document
-frequencies differ most between the labels (log odds times the root of the count) take part. Scores cover every sentence of every
+The fit takes at most ``PER_CLASS`` labelled rows of each label value (smallest hashed ids among ids whose crc32 mod 5 is not 0),
+whole texts of any length. Executors count in how many of them each feature stands; of the features that ``MIN_DOCS`` of them hold, the
+``MOST_FEATURES`` whose document frequencies differ most between the labels (log odds times the root of the count) take part. Then executors
+turn each text into the numbers of its sentences' features, and only those reach the driver. Scores cover every sentence of every
 text; labels, language, source and id are no inputs. The fitted table of at most ``MOST_FEATURES`` weights travels with the tasks.
 
 Defined results: a null or empty text has no sentence and scores 0; a null id is held out iff crc32 of the empty text mod 5
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, id_as_text_crc, labelled_sample, text_bytes
+from .common import chunks, labelled_sample, materialize, text_bytes
 
-PER_CLASS, MAX_CHARS, MIN_DOCS, MOST_FEATURES = 3000, 20_000, 4, 3000
+PER_CLASS, MIN_DOCS, MOST_FEATURES = 3000, 4, 3000
 STEPS, RATE, DECAY, START = 250, 0.1, 1e-4, -6.0
 REMEMBERED = 300_000
 
@@ -110,51 +111,73 @@ def spans(text: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def _vocabulary(bags: list[list[bytes]], y: np.ndarray) -> tuple[list[str], dict[bytes, list[int]]]:
-    """The features that take part, and for each word that has any their numbers."""
-    number: dict[str, int] = {}
-    of_word: dict[bytes, np.ndarray] = {}
-    with_label = [Counter(), Counter()]
-    for bag, label in zip(bags, y.astype(int).tolist()):
-        distinct = set(bag) - {b"."}
-        for w in distinct.difference(of_word):
-            of_word[w] = np.array([number.setdefault(f, len(number)) for f in features(w)])
-        if distinct:
-            with_label[label].update(np.unique(np.concatenate([of_word[w] for w in distinct])).tolist())
-    clean, toxic = (np.array([c[i] for i in range(len(number))], float) for c in with_label)
-    odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((clean + 0.5) / (len(y) - y.sum() + 1))
-    worth = np.where(toxic + clean >= MIN_DOCS, np.abs(odds) * np.sqrt(toxic + clean), 0.0)
-    picked = [i for i in np.lexsort((np.arange(len(worth)), -worth))[:MOST_FEATURES].tolist() if worth[i] > 0]
-    place, names = {f: i for i, f in enumerate(picked)}, list(number)
-    words = {w: own for w, f in of_word.items() if (own := [place[x] for x in f.tolist() if x in place])}
-    return [names[i] for i in picked], words
-
-
-def fit(texts: list[bytes], labels: list[int]) -> Model:
-    """Maximum likelihood of the noisy-or model by Adam over all bags at once."""
-    if len(set(labels)) < 2:
+def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled texts -> (feature, clean, toxic): how many documents of each label hold it, a row for each feature that the task meets."""
+    held = [Counter(), Counter()]
+    of_word: dict[bytes, list[str]] = {}
+    for batch in batches:
+        for part in chunks(batch):
+            for text, label in zip(text_bytes(part.column("text")), part.column("label").to_pylist()):
+                own: set[str] = set()
+                for w in set(tokens(text)) - {b"."}:
+                    own.update(of_word[w] if w in of_word else of_word.setdefault(w, features(w)))
+                held[label].update(own)
+                if len(of_word) > REMEMBERED:
+                    of_word.clear()
+    names = list(held[0] | held[1])
+    for begin in range(0, len(names), 50_000):
+        some = names[begin : begin + 50_000]
+        yield pa.RecordBatch.from_pydict({"feature": some, "clean": pa.array([held[0][x] for x in some], pa.int64()), "toxic": pa.array([held[1][x] for x in some], pa.int64())})
+
+
+def choose(counted: DataFrame, clean: int, toxic: int) -> list[str]:
+    """The features that take part, from (feature, clean, toxic) of any number of tasks and the number of documents of each label."""
+    each = counted.groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(F.col("c") + F.col("t") >= MIN_DOCS)
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    worth = each.withColumn("worth", F.abs(odds) * F.sqrt(F.col("c") + F.col("t"))).where("worth > 0")
+    return [r["feature"] for r in worth.orderBy(F.col("worth").desc(), "feature").limit(MOST_FEATURES).select("feature").collect()]
+
+
+def numbered_bags(place: dict[str, int]):
+    """Labelled texts -> (doc_id, label, plain, features, lengths): how many sentences have none of the features, and the features' numbers
+    of the others, one sentence after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: dict[bytes, tuple[int, ...]] = {}
+        for batch in batches:
+            for part in chunks(batch):
+                rows = []
+                for doc, label, text in zip(part.column("doc_id").to_pylist(), part.column("label").to_pylist(), text_bytes(part.column("text"))):
+                    plain, found, lengths, own, length = 0, array("i"), array("i"), [], 0
+                    for w in [*tokens(text), b"."]:
+                        if w != b".":
+                            length += 1
+                            if w not in words:
+                                words[w] = tuple(place[f] for f in features(w) if f in place)
+                            own += words[w]
+                            continue
+                        if own:
+                            found.extend(own)
+                            lengths.append(len(own))
+                        plain += bool(length and not own)
+                        own, length = [], 0
+                    rows.append((doc, label, plain, found.tobytes(), lengths.tobytes()))
+                    if len(words) > REMEMBERED:
+                        words.clear()
+                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "label", "plain", "features", "lengths"])
+
+    return run
+
+
+def fit(names: list[str], y: np.ndarray, plain: np.ndarray, bags: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+    """Maximum likelihood of the noisy-or model by Adam over all bags at once; a bag is its sentences' feature numbers and their counts."""
+    if len(set(y.tolist())) < 2:
         return Model()
-    bags, y = [tokens(x) for x in texts], np.array(labels, float)
-    names, words = _vocabulary(bags, y)
-    feature, sentence, document, s = array("q"), array("q"), array("q"), -1
-    plain = np.zeros(len(y))  # sentences without any feature, by document
-    for d, bag in enumerate(bags):
-        own: list[int] = []
-        length = 0
-        for w in [*bag, b"."]:
-            if w != b".":
-                length += 1
-                own += words.get(w, ())
-                continue
-            if own:
-                s += 1
-                document.append(d)
-                feature.extend(own)
-                sentence.extend([s] * len(own))
-            elif length:
-                plain[d] += 1
-            own, length = [], 0
-    feature, sentence, document = (np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64) for x in (feature, sentence, document))
+    lengths = np.concatenate([b for _, b in bags])
+    feature = np.concatenate([a for a, _ in bags])
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    document = np.repeat(np.arange(len(bags)), [len(b) for _, b in bags])
     parameters = np.zeros(len(names) + 1)
     parameters[-1] = START
     first, second = np.zeros_like(parameters), np.zeros_like(parameters)
@@ -175,9 +198,17 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of ``labels.toxic`` from a bounded sample of labelled texts."""
-    rows = labelled_sample(docs, labels, "toxic", PER_CLASS, MAX_CHARS).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    sample = materialize(labelled_sample(docs, labels, "toxic", PER_CLASS), "sample")
+    sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(sizes) < 2:
+        return Model()
+    names = choose(sample.select("text", "label").mapInArrow(count_features, "feature string, clean long, toxic long"), sizes[0], sizes[1])
+    place = {f: i for i, f in enumerate(names)}
+    bags = sample.mapInArrow(numbered_bags(place), "doc_id long, label int, plain long, features binary, lengths binary")
+    rows = sorted(bags.collect(), key=lambda r: r["doc_id"])  # 2 * PER_CLASS rows of numbers at most
+    numbers = lambda x: np.frombuffer(bytes(x), np.int32)
+    y, plain = np.array([r["label"] for r in rows], float), np.array([r["plain"] for r in rows], float)
+    return fit(names, y, plain, [(numbers(r["features"]), numbers(r["lengths"])) for r in rows])
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,7 +226,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                     worst.append(int(p.argmax()) if len(p) else None)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(worst, pa.int32())], ["doc_id", "score", "worst_sentence"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, worst_sentence int")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, worst_sentence int")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_sentence")
 
