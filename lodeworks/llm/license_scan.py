@@ -1,13 +1,15 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a paragraph (lines up to one without words), or, since statements are wrapped anywhere, a run: the words
-from any template word on, line breaks or not, as many as the template has words divided by ``THRESHOLD``. Its set is its distinct
-words. A block matches a template when it holds at least ``THRESHOLD`` of the template's distinct words. The join is exact: template words are ordered by ascending frequency over all
+A block is a run of words, line breaks or not, since statements are wrapped anywhere: from any template word on, as many words as the
+template has divided by ``THRESHOLD``. Its set is its distinct words. A block matches a template when it holds at least ``THRESHOLD`` of the
+template's distinct words; words scattered over a longer line or text are no block and match nothing.
+
+The join is exact: template words are ordered by ascending frequency over all
 documents (counted over all of them first); a match must hold one of the first |T| - need + 1 words of a template (prefix filter),
 must have need words at all (length filter), and at the first common word enough words must be left on both sides
-(positional filter); what passes is counted in full. A text's words as a whole pass the same filters first, for no block holds more.
-Of runs that overlap, the last of the best counts; a paragraph counts where no line or run that begins in it matches; a
-match is shown with the line where its block begins, once for each template and line, with the highest containment. The templates are a fixed table, so its broadcast is bounded.
+(positional filter); what passes is counted in full. A text's words as a whole pass these filters first, for no block holds more.
+Of runs that overlap, the last of the best counts; a match is shown with the line where its run begins, once for each template and
+line, with the highest containment. The templates are a fixed table, so its broadcast is bounded.
 
 Defined results: null texts are empty and have no words, no labels and score 0; null and repeated ids keep a row each;
 empty tables give empty results; other columns are not looked at.
@@ -31,24 +33,69 @@ THRESHOLD = 0.9
 # Phrases that name a license, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# License statements as their publishers word them, with their labels.
+# License texts and statements as their publishers word them, with their labels.
 TEMPLATES = {
     "mit-grant": ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    "mit-text": (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+    ),
     "mit-release": ("mit", "released under the mit license"),
+    "as-is-disclaimer": (
+        "permissive",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with "
+        "the software or the use or other dealings in the software",
+    ),
     "apache-header": ("apache", "licensed under the apache license version 2 0"),
+    "apache-notice": (
+        "apache",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0",
+    ),
     "apache-warranty": ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
     "gpl-grant": ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    "gpl-warranty": (
+        "gpl",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose "
+        "see the gnu general public license for more details",
+    ),
     "gpl-work": ("gpl", "this work is licensed under the gnu general public license"),
     "lgpl": ("lgpl", "licensed under the gnu lesser general public license"),
+    "lgpl-grant": ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     "agpl": ("agpl", "licensed under the gnu affero general public license"),
+    "agpl-grant": ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     "bsd": ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    "bsd-text": (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    ),
+    "bsd-endorsement": ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     "isc": ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    "isc-text": (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    "zlib": ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    "boost": (
+        "boost",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display "
+        "distribute execute and transmit the software and to prepare derivative works of the software",
+    ),
     "mpl": ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    "mpl-copy": ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     "cc-by-nc": ("cc-by-nc", "licensed under cc by nc"),
     "cc-by-sa": ("cc-by-sa", "licensed under cc by sa"),
     "cc-by-work": ("cc-by", "this work is licensed under a creative commons attribution international license"),
     "cc0": ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
     "unlicense": ("unlicense", "this is free and unencumbered software released into the public domain"),
+    "unlicense-text": (
+        "unlicense",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
 }
 
 #: Bytes that belong to words: digits, letters (A-Z as a-z), all of what is not ASCII; line feed stays, the rest is a space.
@@ -146,35 +193,16 @@ class TemplateIndex:
         return out
 
     def blocks(self, flat: bytes) -> list[tuple[int, str, float]]:
-        """(line, template, containment) of the lines, runs and paragraphs of a folded text that match."""
+        """(line, template, containment) of the runs of a folded text that match."""
         words = flat.split()
         if self.probes.isdisjoint(words) or not (near := self.matches(words)):
             return []
-        lines = [x.split() for x in flat.split(b"\n")]
-        begins = [0, *accumulate(map(len, lines))]
+        begins = [0, *accumulate(len(x.split()) for x in flat.split(b"\n"))]
         out: dict[tuple[int, str], float] = {}
-
-        def add(line: int, name: str, share: float) -> None:
-            out[line, name] = max(share, out.get((line, name), 0.0))
-
-        for number, line in enumerate(lines):
-            if not self.probes.isdisjoint(line):
-                for name, share in self.matches(line).items():
-                    add(number, name, share)
         for name in near:
             for at, share in self.runs(words, name):
-                add(bisect_right(begins, at) - 1, name, share)
-        taken = {name: sorted(line for line, n in out if n == name) for name in near}
-        first = None
-        for number, line in enumerate([*lines, []]):
-            if line:
-                first = number if first is None else first
-                continue
-            if first is not None and number - first > 1:
-                for name, share in self.matches(words[begins[first] : begins[number]]).items():
-                    if bisect_right(taken[name], number - 1) == bisect_right(taken[name], first - 1):
-                        add(first, name, share)
-            first = None
+                place = bisect_right(begins, at) - 1, name
+                out[place] = max(share, out.get(place, 0.0))
         return sorted((line, name, share) for (line, name), share in out.items())
 
 
