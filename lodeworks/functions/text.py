@@ -10,12 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import fnv1a
+from .vectors import fnv1a, fnv1a_many
 
 WORD_GAP = r"[^\p{L}\p{Nd}]+"
 
-# The Snowball project's English stop words, then the parts that splitting at apostrophes leaves of its contractions.
-STOPWORDS = tuple(
+# The Snowball project's English stop words.
+_LISTED = tuple(
     "a about above after again against all am an and any are aren't as at be because been before being below between both but by "
     "can't cannot could couldn't did didn't do does doesn't doing don't down during each few for from further had hadn't has hasn't "
     "have haven't having he he'd he'll he's her here here's hers herself him himself his how how's i i'd i'll i'm i've if in into is "
@@ -23,9 +23,12 @@ STOPWORDS = tuple(
     "out over own same shan't she she'd she'll she's should shouldn't so some such than that that's the their theirs them themselves "
     "then there there's these they they'd they'll they're they've this those through to too under until up very was wasn't we we'd "
     "we'll we're we've were weren't what what's when when's where where's which while who who's whom why why's with won't would "
-    "wouldn't you you'd you'll you're you've your yours yourself yourselves "
-    "aren couldn didn doesn don hadn hasn haven isn mustn shan shouldn wasn weren wouldn ll ve re s d m t".split()
+    "wouldn't you you'd you'll you're you've your yours yourself yourselves".split()
 )
+# Words that also come out of a contraction and are no stop words.
+_WORDS = ("can", "let", "won")
+#: With what splitting at apostrophes leaves of the contractions.
+STOPWORDS = (*_LISTED, *sorted({part for w in _LISTED if "'" in w for part in w.split("'")} - {*_LISTED, *_WORDS}))
 
 
 def tokens(text: Column) -> Column:
@@ -168,13 +171,15 @@ def analyzer(name: str = "") -> Analyzer:
         raise ValueError(f"unknown analyzer {name!r}") from None
 
 
-def term_ids(words: Column, modulo: int = 0) -> Column:
-    """FNV-1a numbers of terms, where agreement with hashed term ids is needed."""
+def term_ids(words: Column, modulo: int = 0, bits: int = 32) -> Column:
+    """FNV-1a numbers of terms, where agreement with hashed term ids is needed; of 64 bits, as signed longs."""
 
     @F.pandas_udf("array<bigint>")
     def run(s: pd.Series) -> pd.Series:
-        of = {w: fnv1a(w.encode()) for w in set().union(*s)}  # the distinct terms of a batch
-        return s.map(lambda ws: [of[w] % modulo if modulo else of[w] for w in ws])
+        distinct = list(set().union(*s))  # the terms of a batch
+        whole = [fnv1a(w.encode()) for w in distinct] if bits == 32 else fnv1a_many([w.encode() for w in distinct]).tolist()
+        of = {w: n % modulo if modulo else n for w, n in zip(distinct, whole)}
+        return s.map(lambda ws: [of[w] for w in ws])
 
     return run(words)
 

@@ -59,6 +59,12 @@ def similarity(metric: str, v: Column, q: Column) -> Column:
     return F.lit(1.0) - d if metric == "cosine" else -d
 
 
+def unit(v) -> list[float]:
+    """A query vector of length 1; the zero vector stays."""
+    x = np.asarray(v, float)
+    return (x / (np.linalg.norm(x) or 1)).tolist()
+
+
 def distances(metric: str, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """The same distances for whole batches, by matrix products."""
     v, q = np.asarray(vectors, float), np.asarray(queries, float)
@@ -145,6 +151,19 @@ def fnv1a(data: bytes, bits: int = 32) -> int:
     return value
 
 
+def fnv1a_many(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a of 64 bits of many texts at once, as signed numbers: all texts take a step together."""
+    length = np.array([len(x) for x in texts], np.int64)
+    value = np.full(len(texts), 0xCBF29CE484222325, np.uint64)
+    wide = np.zeros((len(texts), int(length.max()) if len(texts) else 0), np.uint64)
+    for row, text in zip(wide, texts):
+        row[: len(text)] = np.frombuffer(text, np.uint8)
+    for i in range(wide.shape[1]):
+        live = length > i
+        value[live] = (value[live] ^ wide[live, i]) * np.uint64(0x100000001B3)
+    return value.view(np.int64)
+
+
 # quantization
 
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import partition_of
+from ..functions.vectors import fnv1a, fnv1a_many, partition_of
+from . import points, search
 
 _operators: dict[str, tuple[str, Callable]] = {}
 
@@ -21,6 +27,10 @@ def register(name: str, kind: str, handler: Callable) -> None:
     _operators[name] = (kind, handler)
 
 
+def registered() -> list[str]:
+    return sorted(_operators)
+
+
 def call(name: str, *args, **more) -> DataFrame:
     try:
         return _operators[name][1](*args, **more)
@@ -28,6 +38,41 @@ def call(name: str, *args, **more) -> DataFrame:
         raise ValueError(f"no operator {name}") from None
 
 
+@dataclass(frozen=True)
+class Procedure:
+    """A registered version of a stored procedure."""
+
+    name: str
+    version: int
+    kind: str
+    fingerprint: str
+    handler: Callable
+
+
+_procedures: dict[str, list[Procedure]] = {}
+
+
+def register_procedure(name: str, kind: str, source: str, handler: Callable) -> Procedure:
+    """Register a procedure's next version. The same source again is the version that exists; a name keeps its kind."""
+    if kind not in ("RO", "RW"):
+        raise ValueError(f"unknown kind {kind!r}")
+    versions, fingerprint = _procedures.setdefault(name, []), hashlib.sha256(source.encode()).hexdigest()
+    if versions and versions[-1].kind != kind:
+        raise ValueError(f"{name} is {versions[-1].kind}")
+    if versions and versions[-1].fingerprint == fingerprint:
+        return versions[-1]
+    versions.append(Procedure(name, len(versions) + 1, kind, fingerprint, handler))
+    return versions[-1]
+
+
+def procedure_version(name: str, version: int = 0) -> Procedure:
+    """A version of a procedure; 0 is the newest."""
+    versions = _procedures.get(name, [])
+    if not versions or version > len(versions):
+        raise ValueError(f"no procedure {name} {version or ''}".strip())
+    return versions[(version or len(versions)) - 1]
+
+
 def prompt(contexts: DataFrame, question: str) -> DataFrame:
     """One numbered, cited context for a question out of a bounded list (rank from 0, source, content)."""
     line = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] ("), F.col("source"), F.lit(") "), F.col("content"))
@@ -45,6 +90,128 @@ def memory_id(namespace: Column, key: Column) -> Column:
     return F.xxhash64(namespace, key)
 
 
+def cacheable(temperature: Column, most: float = 0.0, stream: Column | None = None) -> Column:
+    """Whether an answer may be cached: its temperature (0 if not given) is at most ``most``."""
+    return F.coalesce(temperature, F.lit(0.0)) <= most
+
+
+#: What a chat request is read as; a message's content may be a text or a list of parts, which only a text is cached for.
+REQUEST = "model string, temperature double, n int, messages array<struct<role:string,content:variant>>, tools array<struct<function:struct<name:string>>>"
+
+#: Members that are the prompt, or how the answer is sent, and do not part cached answers.
+UNSCOPED = ("messages", "stream", "stream_options")
+
+
+def cache_identity(log: DataFrame, column: str, most: float = 0.0, tenant_name: str = "") -> DataFrame:
+    """``log`` with eligible, prompt and scope of each chat request, which is JSON text.
+
+    The prompt is all messages but the system's, each as role, NUL, content and a record separator. Requests with equal scope may share answers: it
+    is a hash of model, system messages, tool names in order of name, tenant and all other members of the body. A request is not eligible
+    if its temperature is over ``most``, if it asks for several choices or stream options, if a content is no text, or if it is no request.
+    """
+    known = log.withColumns({"_r": F.from_json(column, REQUEST), "_body": F.from_json(column, "map<string,string>")})
+    messages = F.coalesce(F.col("_r.messages"), F.array())
+    is_text = lambda m: F.coalesce(F.schema_of_variant(m["content"]) == "STRING", F.lit(False))
+    content = lambda m: F.try_variant_get(m["content"], "$", "string")
+    spoken = F.transform(F.filter(messages, lambda m: m["role"] != "system"), lambda m: F.concat(m["role"], F.lit("\x00"), F.coalesce(content(m), F.lit("")), F.lit("\x1e")))
+    system = F.transform(F.filter(messages, lambda m: m["role"] == "system"), content)
+    tools = F.array_sort(F.transform(F.coalesce(F.col("_r.tools"), F.array()), lambda t: t["function"]["name"]))
+    extra = F.array_sort(F.map_entries(F.map_filter("_body", lambda k, _: ~k.isin(*UNSCOPED))))
+    eligible = F.col("_r.model").isNotNull() & (F.size(messages) > 0) & F.forall(messages, is_text) & (F.coalesce("_r.n", F.lit(1)) <= 1)
+    eligible = eligible & ~F.coalesce(F.map_contains_key("_body", F.lit("stream_options")), F.lit(False)) & cacheable(F.col("_r.temperature"), most)
+    scope = scope_key(F.col("_r.model"), F.to_json(system), F.to_json(tools), F.lit(tenant_name), F.to_json(extra))
+    return known.withColumns({"eligible": F.coalesce(eligible, F.lit(False)), "prompt": F.array_join(spoken, ""), "scope": scope}).drop("_r", "_body")
+
+
+def external_id(name: Column) -> Column:
+    """A point id of an external one: digits stand for themselves as far as a long holds them, any other text for 64 bits of its SHA-256."""
+    hashed = F.conv(F.substring(F.sha2(name, 256), 1, 16), 16, -10).cast("long")
+    digits = F.when(name.rlike("^[0-9]{1,19}$"), name.try_cast("long"))
+    return F.coalesce(digits, hashed)
+
+
+def chunk_id(source: Column, index: Column) -> Column:
+    """FNV-1a of 64 bits over source#index, as a signed long; 0, which means none, becomes 1. Arrow, because wrapping products overflow in SQL."""
+
+    @F.pandas_udf("long")
+    def number(names: pd.Series) -> pd.Series:
+        return pd.Series(fnv1a_many([x.encode() for x in names])).where(lambda x: x != 0, 1)
+
+    return number(F.concat(source, F.lit("#"), index.cast("string")))
+
+
+class Embedder:
+    """Texts -> vectors by a function over lists of texts, called once for each Arrow batch."""
+
+    def __init__(self, dim: int, embed: Callable[[list[str]], np.ndarray]):
+        self.dim, self.embed = dim, embed
+
+    def column(self, text: Column) -> Column:
+        dim, embed = self.dim, self.embed
+
+        @F.pandas_udf("array<double>")
+        def run(texts: pd.Series) -> pd.Series:
+            found = np.asarray(embed([x or "" for x in texts]), float).reshape(len(texts), -1)
+            if found.shape[1] != dim:
+                raise ValueError(f"an embedder of {dim} dimensions gave {found.shape[1]}")
+            return pd.Series(list(found))
+
+        return run(text)
+
+    def one(self, text: str) -> list[float]:
+        return np.asarray(self.embed([text]), float)[0].tolist()
+
+
+def hash_embedder(dim: int = 64) -> Embedder:
+    """Deterministic vectors without a model: each word adds 1 to the dimension that its FNV-1a number picks; unit length."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts):
+            for word in text.lower().split():
+                row[fnv1a(word.encode()) % dim] += 1
+        length = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, length, out=out, where=length > 0)
+
+    return Embedder(dim, embed)
+
+
+class TextStore:
+    """Texts in, texts out: a table (id, content, ...) searched by embedding."""
+
+    def __init__(self, texts: DataFrame, embedder: Embedder, metric: str = "cosine"):
+        self.texts, self.embedder, self.metric = texts, embedder, metric
+
+    def add(self, rows: DataFrame, seq: str | None = None) -> "TextStore":
+        return TextStore(points.upsert(self.texts, rows, seq), self.embedder, self.metric)
+
+    def delete(self, ids: DataFrame) -> "TextStore":
+        return TextStore(points.delete(self.texts, ids), self.embedder, self.metric)
+
+    def _embedded(self) -> DataFrame:
+        return self.texts.withColumn("vector", self.embedder.column(F.col("content")))
+
+    def search(self, text: str, k: int = 10, filter=None) -> DataFrame:
+        return search.knn(self._embedded(), self.embedder.one(text), k, self.metric, filter).drop("vector")
+
+    def search_groups(self, text: str, key: str, k: int, size: int = 1) -> DataFrame:
+        return search.search_groups(self._embedded(), self.embedder.one(text), key, k, size, metric=self.metric).drop("vector")
+
+
+def merge_degraded(answers: DataFrame) -> DataFrame:
+    """(degraded, missing) of partial answers (answered boolean, missing array): the partitions that any of them lacks, in order, once each."""
+    return answers.select(F.explode_outer("missing").alias("m")).agg(F.array_sort(F.collect_set("m")).alias("missing")).select((F.size("missing") > 0).alias("degraded"), "missing")
+
+
+def fan_out(parts: dict[int, DataFrame | None], k: int, strict: bool = False) -> tuple[DataFrame, list[int]]:
+    """Hits of all partitions merged by distance, and the partitions that gave none because they were not there; ``strict`` fails instead."""
+    missing = sorted(p for p, frame in parts.items() if frame is None)
+    there = [frame for frame in parts.values() if frame is not None]
+    if missing and strict or not there:
+        raise ValueError(f"partitions {missing} are missing")
+    return reduce(DataFrame.unionByName, there).orderBy("distance", "id").limit(k), missing
+
+
 def tenant(name: Column, default: str = "default") -> tuple[Column, Column]:
     """<tenant>/<collection>; a bare name belongs to the default tenant."""
     slash = F.instr(name, "/")
@@ -69,7 +236,10 @@ def streamed_answers(deltas: DataFrame, request: str = "request_id", order: str
 
 
 def procedure(rows: DataFrame, key: str, handler: Callable, schema: str) -> DataFrame:
-    """A stored procedure: ``handler`` gets the rows of one key as pandas and returns change rows."""
+    """A stored procedure: ``handler`` gets the rows of one key as pandas and returns change rows.
+
+    It sees a key's rows at once, so a key must fit in a task; reduce the rows of hot keys first where the handler allows it.
+    """
     return rows.groupBy(key).applyInPandas(handler, schema)
 
 

@@ -81,3 +81,35 @@ def rag_fuse(dense: DataFrame, text: DataFrame, alpha: float, k: int) -> DataFra
     fused = x.join(y, "key", "full_outer").withColumn("score", part("ra", alpha) + part("rb", 1 - alpha))
     seen = F.coalesce(F.col("ra").cast("long"), F.lit(1 << 40) + F.col("rb"))
     return fused.orderBy(F.col("score").desc(), seen).limit(k).select("key", "score")
+
+
+def lane_depth(k: int, own: int = 0) -> int:
+    """How many hits each lane of a hybrid search brings: as asked for, or as many as wanted, fifty at least."""
+    return own or max(k, 50)
+
+
+def lanes(first: DataFrame, second: DataFrame, first_scored: bool = False, second_scored: bool = True) -> DataFrame:
+    """Both lanes unfused, for a coordinator that fuses them itself: (lane, rank, id, distance, score), each lane in its own order."""
+    out = []
+    for name, frame, scored in (("first", first, first_scored), ("second", second, second_scored)):
+        key = F.col("score").desc() if scored else F.col("distance").asc()
+        rank = F.row_number().over(Window.orderBy(key, F.col("id").asc())) - 1  # a lane is a bounded pool
+        out.append(frame.select(F.lit(name).alias("lane"), rank.alias("rank"), "id", "distance", "score"))
+    return out[0].unionByName(out[1])
+
+
+def hybrid(first: DataFrame, second: DataFrame, k: int, method: str = "rrf", **more) -> DataFrame:
+    """``fuse``, but an empty lane leaves the other as it is, cut to k."""
+    if second.isEmpty():
+        return first.orderBy("distance", "id").limit(k)
+    if first.isEmpty():
+        return second.orderBy(F.col("score").desc(), "id").limit(k)
+    return fuse(first, second, method, k, **more)
+
+
+def merge_lanes(parts: Sequence[DataFrame], k: int, scored: bool) -> DataFrame:
+    """The k best of one lane's hits in several partitions."""
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    return every.orderBy(F.col("score").desc() if scored else F.col("distance").asc(), "id").limit(k)

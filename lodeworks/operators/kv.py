@@ -20,6 +20,12 @@ def get(log: DataFrame, key, now_ms: int | None = None) -> DataFrame:
     return state(log.where(F.col("key") == key), now_ms)
 
 
+def put_batch(entries: DataFrame, batch: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+    """A table of entries after one batch of puts, in which the last of a key's entries counts."""
+    fresh = latest(batch, key, seq)
+    return entries.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(entries.columns))
+
+
 def existed(log: DataFrame) -> DataFrame:
     """For each delete, whether the key was there: the change before it was no delete."""
     before = F.lag("op").over(Window.partitionBy("key").orderBy("seq"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.filters import FilterError, certain, compile_filter, fields_of
+from ..plans.filters import FilterError, certain, compile_filter, fields_of, matches_all
 
 
 class WriteError(ValueError):
@@ -30,6 +30,11 @@ def get(df: DataFrame, point_id: int, columns: Sequence[str] | None = None) -> D
     return found.select(*columns) if columns else found
 
 
+def projected(df: DataFrame, with_vector: bool, with_payload: bool, vector: str = "vector") -> DataFrame:
+    """Points with or without their vector and payload columns; what is left out is not read."""
+    return df.select("id", *(c for c in df.columns if c != "id" and (with_vector if c == vector else with_payload)))
+
+
 def get_batch(df: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Found points, and the wanted ids that have none."""
     wanted = ids.select("id").distinct()
@@ -43,26 +48,45 @@ def latest(df: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
     return best.select(key, *(F.col("_last")[c].alias(c) for c in others))
 
 
-def insert(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Create-only: the table with the new points, and the conflicts (ids that are live, or repeat in ``rows``)."""
-    first = rows.dropDuplicates(["id"])
-    new = first.join(base.select("id"), "id", "left_anti")
-    repeated = rows.groupBy("id").count().where("count > 1").select("id")
-    clashes = first.join(base.select("id"), "id", "left_semi").select("id").unionByName(repeated).distinct()
-    return base.unionByName(new.select(base.columns)), clashes
+def _order(rows: DataFrame, seq: str | None) -> DataFrame:
+    """``rows`` with the sequence in which the batch holds them."""
+    return rows.withColumn("_seq", F.col(seq) if seq else F.monotonically_increasing_id())
+
+
+def _one(rows: DataFrame, pick) -> DataFrame:
+    """One row of each id, the first (``min_by``) or the last (``max_by``) in sequence, combined before rows move."""
+    others = [c for c in rows.columns if c != "id"]
+    best = rows.groupBy("id").agg(pick(F.struct(*others), "_seq").alias("_one"))
+    return best.select("id", *(F.col("_one")[c].alias(c) for c in others))
+
 
+def insert(base: DataFrame, rows: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Create-only: the table with the new points, and the conflicts, which are rows whose id is live or was inserted by an earlier
+    row of the batch. The sequence is the column ``seq`` or, without one, the order in which the batch is read."""
+    timed = _order(rows, seq)
+    new = _one(timed, F.min_by).join(base.select("id"), "id", "left_anti")
+    clashes = timed.join(new.select("id", "_seq"), ["id", "_seq"], "left_anti")
+    return base.unionByName(new.select(base.columns)), clashes.select(rows.columns)
 
-def upsert(base: DataFrame, rows: DataFrame) -> DataFrame:
-    """Insert or replace; only kept base rows and the new ones are read again."""
-    return base.join(rows.select("id"), "id", "left_anti").unionByName(rows.select(base.columns))
 
+def upsert(base: DataFrame, rows: DataFrame, seq: str | None = None) -> DataFrame:
+    """Insert or replace; of rows with one id the last in sequence stays. Only kept base rows and the new ones are read again."""
+    last = _one(_order(rows, seq), F.max_by)
+    return base.join(last.select("id"), "id", "left_anti").unionByName(last.select(base.columns))
 
-def compare_and_set(base: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with ``expected``: applied where it equals the point's version (0 if absent), bumping it; the rest are conflicts."""
-    joined = rows.join(base.select("id", F.col("version").alias("_now")), "id", "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
-    won = joined.where(F.col("_now") == F.col("expected")).withColumn("version", F.col("_now") + 1)
-    lost = joined.where(F.col("_now") != F.col("expected")).select("id", "expected", F.col("_now").alias("actual"))
-    return upsert(base, won.select(base.columns)), lost
+
+def compare_and_set(base: DataFrame, rows: DataFrame, seq: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``expected``: applied where it equals the point's version (0 if absent), bumping it; the rest are conflicts.
+
+    A batch's writers have all seen the same version, so of those that expect it the first in sequence wins and the others lose to it.
+    """
+    timed = _order(rows, seq).join(base.select("id", F.col("version").alias("_now")), "id", "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
+    won = _one(timed.where(F.col("_now") == F.col("expected")), F.min_by)
+    lost = timed.join(won.select("id", "_seq"), ["id", "_seq"], "left_anti")
+    bumped = won.select("id").withColumn("_won", F.lit(1))
+    lost = lost.join(bumped, "id", "left").select("id", "expected", (F.col("_now") + F.coalesce("_won", F.lit(0))).alias("actual"))
+    kept = base.join(won.select("id"), "id", "left_anti")
+    return kept.unionByName(won.withColumn("version", F.col("_now") + 1).select(base.columns)), lost
 
 
 def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
@@ -71,7 +95,7 @@ def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 def delete_by_filter(base: DataFrame, tree: dict) -> DataFrame:
     """What stays; a filter that is empty is refused."""
-    if not tree or tree.get("op") in ("and", "or") and not tree.get("filters"):
+    if matches_all(tree):
         raise FilterError("an empty filter would delete everything")
     return base.where(~certain(compile_filter(tree, fields_of(base))))
 
@@ -81,6 +105,12 @@ def merge_payload(payload: Column, patch: Column) -> Column:
     return F.map_concat(F.map_filter(payload, lambda k, _: ~F.array_contains(F.map_keys(patch), k)), patch)
 
 
+def clear_payload(base: DataFrame, ids: DataFrame, payload: str = "payload") -> DataFrame:
+    """The table with the payloads of some points gone."""
+    marked = base.join(ids.select("id").distinct().withColumn("_clear", F.lit(True)), "id", "left")
+    return marked.withColumn(payload, F.when(F.col("_clear").isNull(), F.col(payload))).select(base.columns)
+
+
 def without_keys(payload: Column, keys: Sequence[str]) -> Column:
     return F.map_filter(payload, lambda k, _: ~k.isin(*keys))
 
@@ -96,8 +126,10 @@ def within_quota(rows: DataFrame, seq: str, most: int) -> DataFrame:
 
 
 def token_bucket(events: DataFrame, rate: float, key: str, at_ms: str, seq: str) -> DataFrame:
-    """Events with ``admitted``: a bucket of ``rate`` tokens per key, refilled continuously. State is one number per key, folded
-    over batches in order of time."""
+    """Events with ``admitted``: a bucket of ``rate`` tokens per key, refilled continuously.
+
+    Each event's admission depends on all before it, so one key's events are decided in one task, in order, and its times are held there.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([at_ms, seq], ignore_index=True)

@@ -1,4 +1,7 @@
-"""Trained quantization and inverted files: approximate pruning with an exact second look."""
+"""Trained quantization and inverted files: approximate pruning with an exact second look.
+
+Training reads a bounded sample (``TRAINING`` vectors); codes, cells and searches cover all points.
+"""
 
 from __future__ import annotations
 
@@ -46,6 +49,34 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 15, seed: int = 7, unit: bool =
     return centres
 
 
+def anisotropic_losses(x: np.ndarray, centres: np.ndarray, eta: float) -> np.ndarray:
+    """Loss of coding each row by each centre: the error across the row's direction, plus ``eta`` times the error along it."""
+    plain = V.distances("l2", x, centres)
+    length = (x * x).sum(1)
+    along = np.where(length[:, None] > 0, (length[:, None] - x @ centres.T) ** 2 / np.where(length > 0, length, 1)[:, None], 0.0)
+    return plain + (eta - 1) * along
+
+
+def anisotropic_kmeans(x: np.ndarray, k: int, eta: float = 4.0, rounds: int = 15, seed: int = 7) -> np.ndarray:
+    """k-means whose error along a vector's own direction weighs ``eta`` times as much, since that part decides inner products.
+
+    A centre minimises its rows' losses, sum (x - c)' (I + (eta - 1) u u') (x - c) with u the direction of x, which is a linear system of
+    the vectors' width. With eta of 1 or less it is plain k-means.
+    """
+    if eta <= 1 or len(np.unique(x, axis=0)) <= k:
+        return kmeans(x, k, rounds, seed)
+    centres = kmeans(x, k, 0, seed)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    unit = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    for _ in range(rounds):
+        own = anisotropic_losses(x, centres, eta).argmin(1)
+        for c in np.unique(own):
+            u, mine = unit[own == c], x[own == c]
+            system = len(mine) * np.eye(x.shape[1]) + (eta - 1) * u.T @ u
+            centres[c] = np.linalg.solve(system, mine.sum(0) + (eta - 1) * (u * (u * mine).sum(1, keepdims=True)).sum(0))
+    return centres
+
+
 def scalar_ranges(points: DataFrame) -> DataFrame:
     """(pos, low, high) of every dimension, by one partial aggregation."""
     return points.select(F.posexplode("vector")).groupBy("pos").agg(F.min("col").cast("double").alias("low"), F.max("col").cast("double").alias("high"))
@@ -60,11 +91,11 @@ def scalar_codes(points: DataFrame, bits: int = 8) -> DataFrame:
     return points.withColumn("codes", F.transform(share, lambda s: F.round(s * levels).cast("int")))
 
 
-def train_pq(points: DataFrame, parts: int, centroids: int = 16) -> np.ndarray:
-    """(parts, centroids, width) codebooks."""
+def train_pq(points: DataFrame, parts: int, centroids: int = 256, eta: float = 1.0) -> np.ndarray:
+    """(parts, centroids, width) codebooks; with ``eta`` over 1 they are trained by ``anisotropic_kmeans``."""
     x = training_matrix(points)
     width = x.shape[1] // parts
-    books = [kmeans(x[:, i * width : (i + 1) * width], centroids, seed=11 + i) for i in range(parts)]
+    books = [anisotropic_kmeans(x[:, i * width : (i + 1) * width], centroids, eta, seed=11 + i) for i in range(parts)]
     return np.stack([np.vstack([b, np.repeat(b[-1:], centroids - len(b), 0)]) for b in books])
 
 
@@ -90,6 +121,58 @@ def pq_search(codes: DataFrame, books: np.ndarray, query: Sequence[float], k: in
     return codes.withColumn("distance", total).orderBy("distance", "id").limit(k)
 
 
+def pq4_encode(points: DataFrame, books: np.ndarray) -> DataFrame:
+    """(id, codes): the numbers of at most 16 centroids, two to a byte, the first in the low half."""
+    if books.shape[1] > 16:
+        raise ValueError("four bits number 16 centroids")
+    held = points.sparkSession.sparkContext.broadcast(books)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["vector"].to_numpy()).astype(float)
+            codes = np.stack([V.distances("l2", p, b).argmin(1) for p, b in zip(np.split(x, books.shape[0], axis=1), held.value)], 1).astype(np.uint8)
+            if codes.shape[1] % 2:
+                codes = np.hstack([codes, np.zeros((len(codes), 1), np.uint8)])
+            yield pd.DataFrame({"id": batch["id"], "codes": [bytes(c) for c in codes[:, ::2] | codes[:, 1::2] << 4]})
+
+    return points.select("id", "vector").mapInPandas(run, "id long, codes binary")
+
+
+def byte_tables(books: np.ndarray, query: Sequence[float]) -> tuple[np.ndarray, float, float]:
+    """Distances of a query's parts to all centroids in one byte each, with the step and the sum of the least ones that restore them."""
+    exact = np.stack([V.distances("l2", b, p[None])[:, 0] for b, p in zip(books, np.split(np.asarray(query, float), books.shape[0]))])
+    low = exact.min(1, keepdims=True)
+    step = max(float((exact - low).max()) / 255, 1e-12)
+    return np.round((exact - low) / step).astype(np.uint8), step, float(low.sum())
+
+
+def pq4_search(codes: DataFrame, books: np.ndarray, query: Sequence[float], k: int) -> DataFrame:
+    """k best by sums of byte-wide table entries, a batch of packed codes at a time; each task leaves k."""
+    tables, step, least = byte_tables(books, query)
+    wide = tables.astype(np.int64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            packed = np.frombuffer(b"".join(batch["codes"]), np.uint8).reshape(len(batch), -1)
+            total = np.zeros(len(batch), np.int64)
+            for i in range(len(wide)):
+                total += wide[i][(packed[:, i // 2] >> (4 * (i % 2))) & 15]
+            best = np.lexsort((batch["id"].to_numpy(), total))[:k]
+            yield pd.DataFrame({"id": batch["id"].to_numpy()[best], "distance": least + step * total[best]})
+
+    return codes.mapInPandas(run, "id long, distance double").orderBy("distance", "id").limit(k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(k, hits, recall) of two bounded lists of hits."""
+    hits = found.select("id").join(exact.select("id"), "id", "left_semi").agg(F.count("*").alias("hits"))
+    return exact.agg(F.count("*").alias("k")).crossJoin(hits).withColumn("recall", F.col("hits") / F.col("k"))  # one row each
+
+
 def rescored(candidates: DataFrame, points: DataFrame, query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
     """Exact distances of a bounded candidate list."""
     return search.within(points, candidates, query, k, metric)
@@ -111,12 +194,43 @@ def ivf_assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
     return points.withColumn("cell", nearest("vector"))
 
 
-def ivf_search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int = 8, metric: str = "cosine") -> DataFrame:
+def ivf_search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int = 12, metric: str = "cosine") -> DataFrame:
     """Exact kNN within the nearest cells."""
     cells = np.argsort(V.distances("l2", centres, np.asarray(query, float)[None])[:, 0], kind="stable")[:probes]
     return search.knn(assigned.where(F.col("cell").isin(*cells.tolist())), query, k, metric)
 
 
+#: Growth of the table from which drift is looked at, and of the mean distance to the nearest centre from which cells are trained again.
+GROWTH, DRIFT = 2.0, 1.5
+
+
+def mean_cell_distance(assigned: DataFrame, centres: np.ndarray) -> float:
+    """Mean squared distance of all points to the centre of their cell; one partial aggregation."""
+    held = assigned.sparkSession.sparkContext.broadcast(centres)
+
+    @F.pandas_udf("double")
+    def error(vectors: pd.Series, cells: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        return pd.Series(((x - held.value[cells.to_numpy()]) ** 2).sum(1))
+
+    return assigned.select(error("vector", "cell").alias("e")).agg(F.avg("e")).first()[0] or 0.0
+
+
+def drifted(trained_points: int, trained_error: float, points: int, error: float, growth: float = GROWTH, drift: float = DRIFT) -> bool:
+    """Whether cells are to be trained again: the table has grown ``growth``-fold, and points lie ``drift`` times as far from their centres."""
+    if growth <= 1 or drift <= 1:
+        raise ValueError("growth and drift are over 1")
+    return points >= growth * trained_points and error > drift * trained_error
+
+
+def retrain_on_drift(old: DataFrame, new: DataFrame, centres: np.ndarray, growth: float = GROWTH, drift: float = DRIFT) -> tuple[np.ndarray, bool]:
+    """The centres for ``new``, a grown table of which ``old`` was the trained part, and whether they were trained again."""
+    before = ivf_assign(old, centres)
+    if drifted(before.count(), mean_cell_distance(before, centres), new.count(), mean_cell_distance(ivf_assign(new, centres), centres), growth, drift):
+        return train_ivf(new, len(centres), "l2"), True
+    return centres, False
+
+
 def train_rotation(x: np.ndarray, parts: int, centroids: int = 16, rounds: int = 4, seed: int = 5) -> np.ndarray:
     """An orthogonal rotation that lowers product-quantization error: codebooks and Procrustes steps in turn, from a random one."""
     rotation, _ = np.linalg.qr(np.random.default_rng(seed).normal(size=(x.shape[1], x.shape[1])))

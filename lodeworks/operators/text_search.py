@@ -1,8 +1,14 @@
-"""BM25 full-text search over (id, content)."""
+"""BM25 full-text search over (id, content).
+
+``search_texts`` reads texts directly: each row becomes its length and its counts of the query's terms, which is all that BM25 needs, so only
+aggregates of a few numbers are shuffled. ``postings`` with ``search`` is for an index that many queries share and that is written once.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, analyzer, stem, stems, tokens, without_stopwords
@@ -13,12 +19,13 @@ K1, B = 1.2, 0.75
 def postings(docs: DataFrame, name: str = "") -> DataFrame:
     """(id, term, tf, dl): term counts and document length; stems are made once for each distinct term."""
     found = analyzer(name)
-    terms = docs.select("id", F.explode(found.terms(F.col("content"))).alias("term"))
-    counted = terms.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    held = docs.select("id", found.terms(F.col("content")).alias("_terms")).where(F.size("_terms") > 0)
+    terms = held.select("id", F.size("_terms").cast("long").alias("dl"), F.explode("_terms").alias("term"))
+    counted = terms.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     if found.stemming:
         stemmed = stems(counted.select("term").distinct())
-        counted = counted.join(stemmed, "term").groupBy("id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
-    return counted.withColumn("dl", F.sum("tf").over(Window.partitionBy("id")))
+        counted = counted.join(stemmed, "term").groupBy("id", "dl", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    return counted.select("id", "term", "tf", "dl")
 
 
 def query_terms(text: str, name: str = "", spark=None) -> list[str]:
@@ -31,6 +38,65 @@ def query_terms(text: str, name: str = "", spark=None) -> list[str]:
     return list(dict.fromkeys(stem(w) if found.stemming else w for w in words))
 
 
+#: Surface forms of one query's stems that are looked for inside texts; with more, postings are made.
+MOST_FORMS = 2000
+
+
+def _forms(docs: DataFrame, terms: list[str], found: Analyzer) -> dict[str, list[str]] | None:
+    """The words of the texts that have each term as their stem; None if they are more than MOST_FORMS."""
+    if not found.stemming:
+        return {t: [t] for t in terms}
+    words = docs.select(F.explode(F.array_distinct(found.terms(F.col("content")))).alias("term")).distinct()
+    rows = stems(words).where(F.col("stem").isin(*terms)).limit(MOST_FORMS + 1).collect()
+    if len(rows) > MOST_FORMS:
+        return None
+    return {t: sorted(r["term"] for r in rows if r["stem"] == t) for t in terms}
+
+
+def counted_texts(docs: DataFrame, terms: list[str], name: str = "", keep: tuple[str, ...] = ()) -> DataFrame | None:
+    """(id, keep, dl, tf0, tf1, ...): length and the counts of each query term in every text that has a term at all, one row a text."""
+    found = analyzer(name)
+    if (forms := _forms(docs, terms, found)) is None:
+        return None
+    held = docs.select("id", *keep, found.terms(F.col("content")).alias("_terms")).where(F.size("_terms") > 0)
+
+    def count(words: list[str]) -> Column:
+        return F.size(F.filter("_terms", lambda w: w.isin(*words))) if words else F.lit(0)
+
+    return held.select("id", *keep, F.size("_terms").cast("long").alias("dl"), *(count(forms[t]).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
+
+
+def search_texts(docs: DataFrame, terms: list[str], k: int, name: str = "", k1: float = K1, b: float = B, admitted: Column | DataFrame | None = None, partition: str | None = None) -> DataFrame:
+    """(id, score) of the k best texts; ``admitted``, a condition or a table of ids, narrows the hits but never the statistics; with
+    ``partition`` each partition has its own statistics, as many rows as there are partitions."""
+    k1, b = k1 or K1, b or B
+    ids, admitted = (admitted, None) if isinstance(admitted, DataFrame) else (None, admitted)
+    if not terms:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    keep = ([partition] if partition else []) + (["_admitted"] if admitted is not None else [])
+    source = docs.withColumn("_admitted", admitted) if admitted is not None else docs
+    rows = counted_texts(source, terms, name, tuple(keep))
+    if rows is None:
+        posts = postings(docs, name)
+        inside = docs.where(admitted).select("id") if admitted is not None else ids
+        return search(posts if not partition else posts.join(docs.select("id", partition), "id"), terms, k, k1, b, inside, partition)
+    by = [partition] if partition else []
+    found = [f"tf{i}" for i in range(len(terms))]
+    stats = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in found))
+    hits = rows.where(reduce(lambda x, y: x | y, [F.col(c) > 0 for c in found]))
+    if admitted is not None:
+        hits = hits.where("_admitted")
+    if ids is not None:
+        hits = hits.join(ids.select("id"), "id", "left_semi")
+    joined = hits.join(F.broadcast(stats), by) if by else hits.crossJoin(F.broadcast(stats))  # one row, or one for each partition
+    score = F.lit(0.0)
+    for c in found:
+        idf = F.log(1 + (F.col("n") - F.col(f"df_{c}") + 0.5) / (F.col(f"df_{c}") + 0.5))
+        tf = F.col(c) * (k1 + 1) / (F.col(c) + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        score = score + F.when(F.col(c) > 0, idf * tf).otherwise(F.lit(0.0))
+    return joined.select("id", score.alias("score")).orderBy(F.col("score").desc(), "id").limit(k)
+
+
 def corpus_stats(posts: DataFrame, terms: list[str]) -> DataFrame:
     """(term, n, token_total, df): documents with a term at all, all tokens, and each query term's documents, 0 included."""
     spark = posts.sparkSession

@@ -28,6 +28,8 @@ class Leaf:
     positive: Sequence[int] = ()
     negative: Sequence[int] = ()
     pairs: Sequence[tuple[int, int]] = ()
+    vectors: tuple[Sequence, Sequence] = ((), ())  # positive and negative examples by vector
+    vector_pairs: Sequence[tuple[Sequence[float], Sequence[float]]] = ()
     strategy: str = "average"
     filter: dict | None = None
     lane_k: int = 0
@@ -48,12 +50,13 @@ class Query:
 
 @dataclass
 class Data:
-    """What leaves read: points (id, vector, ...), sparse postings (id, dim, weight), token lists, text postings."""
+    """What leaves read: points (id, vector, ...), sparse postings (id, dim, weight), token lists, and texts (id, content) or their postings."""
 
     points: DataFrame | None = None
     sparse: DataFrame | None = None
     tokens: DataFrame | None = None
     posts: DataFrame | None = None
+    texts: DataFrame | None = None
     metric: str = "cosine"
     analyzer: str = "simple"
     cache: dict = field(default_factory=dict)
@@ -86,6 +89,8 @@ def rewrite(leaf: Leaf, data: Data) -> tuple[Leaf, tuple[int, ...]]:
     """An average recommendation is a dense leaf without its examples."""
     if leaf.kind != "recommend" or leaf.strategy != "average":
         return leaf, ()
+    if len(leaf.vectors[0]):
+        return replace(leaf, kind="dense", vector=search.mean_target(*leaf.vectors, data.metric)), ()
     target = search.target_vector(data.points, leaf.positive, leaf.negative, data.metric)
     return replace(leaf, kind="dense", vector=target), (*leaf.positive, *leaf.negative)
 
@@ -100,9 +105,15 @@ def run_leaf(leaf: Leaf, data: Data, k: int, among: DataFrame | None = None) ->
         if excluded:
             points = points.where(~F.col("id").isin(*excluded))
         return search.knn(points, leaf.vector, k, data.metric, leaf.filter).select("id", "distance", zero.alias("score")), False
+    if leaf.kind == "recommend" and len(leaf.vectors[0]):
+        found = search.recommend_by_vectors(inside(data.points), *leaf.vectors, k, data.metric, pool=lane_pool(Query(leaf), k), filter=leaf.filter)
+        return found.select("id", "distance", "score"), True
     if leaf.kind == "recommend":
         found = search.recommend_best_score(inside(data.points), leaf.positive, leaf.negative, k, data.metric, pool=lane_pool(Query(leaf), k))
         return found.select("id", "distance", "score"), True
+    if leaf.kind == "discover" and len(leaf.vector_pairs):
+        found = search.discover_by_vectors(inside(data.points), leaf.vector_pairs, leaf.vector, k, data.metric)
+        return found.select("id", "distance", "score"), True
     if leaf.kind == "discover":
         found = search.discover(inside(data.points), leaf.pairs, leaf.vector, k, data.metric)
         return found.select("id", "distance", "score"), True
@@ -115,9 +126,12 @@ def run_leaf(leaf: Leaf, data: Data, k: int, among: DataFrame | None = None) ->
         return search.search_sparse(posts, leaf.sparse, k).select("id", zero.alias("distance"), "score"), True
     if leaf.kind == "maxsim":
         return search.search_multivector(inside(data.tokens), leaf.vector, k, leaf.filter).select("id", zero.alias("distance"), "score"), True
-    terms = text_search.query_terms(leaf.text, data.analyzer, data.posts.sparkSession)
+    source = data.posts if data.texts is None else data.texts
+    terms = text_search.query_terms(leaf.text, data.analyzer, source.sparkSession)
     admitted = among.select("id").distinct() if among is not None else None
-    return text_search.search(data.posts, terms, k, admitted=admitted).select("id", zero.alias("distance"), "score"), True
+    if data.texts is not None:
+        return text_search.search_texts(source, terms, k, data.analyzer, admitted=admitted).select("id", zero.alias("distance"), "score"), True
+    return text_search.search(source, terms, k, admitted=admitted).select("id", zero.alias("distance"), "score"), True
 
 
 def run(q: Query, data: Data, k: int = 0) -> tuple[DataFrame, bool]:

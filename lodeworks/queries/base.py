@@ -127,3 +127,50 @@ def words(text: str) -> str:
 
 POSTS = f"""(SELECT id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id) AS dl
  FROM (SELECT doc_id AS id, unnest({words('text')}) AS term FROM documents) GROUP BY id, term)"""
+
+
+def byte_list(text: str) -> str:
+    """The UTF-8 bytes of a text in SQL."""
+    h = f"hex(encode({text}))"
+    digit = lambda i: f"(instr('0123456789ABCDEF', substr({h}, {i}, 1)) - 1)"
+    return f"list_transform(range(1, 1 + length({h}) // 2), lambda i: {digit('2 * i - 1')} * 16 + {digit('2 * i')})"
+
+
+def fnv32(text: str) -> str:
+    return f"list_reduce(list_prepend(2166136261::UBIGINT, ({byte_list(text)})::UBIGINT[]), lambda h, b: (xor(h, b) * 16777619) % 4294967296)::BIGINT"
+
+
+WHOLE = "18446744073709551616::UHUGEINT"
+
+
+def signed(x: str) -> str:
+    """An unsigned 64-bit number as a signed one."""
+    return f"(CASE WHEN ({x})::HUGEINT >= 9223372036854775808 THEN ({x})::HUGEINT - 18446744073709551616 ELSE ({x})::HUGEINT END)::BIGINT"
+
+
+def fnv64(text: str) -> str:
+    step = f"(xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211::UHUGEINT) % {WHOLE}"
+    return f"list_reduce(list_prepend(14695981039346656037::UHUGEINT, ({byte_list(text)})::UHUGEINT[]), lambda h, b: {step})"
+
+
+def owner(source: str, parts: int) -> str:
+    """(id, part) of the ids of a source: splitmix64 mod parts."""
+    times = lambda x, c: f"((({x})::UHUGEINT * {c}::UHUGEINT) % {WHOLE})::UBIGINT"
+    return f"""(SELECT id, (xor(z, z >> 31) % {parts})::INTEGER AS part FROM (SELECT id, {times('xor(z, z >> 27)', 10723151780598845931)} AS z FROM
+ (SELECT id, {times('xor(z, z >> 30)', 13787848793156543929)} AS z FROM (SELECT id, ((id::UHUGEINT + 11400714819323198485::UHUGEINT) % {WHOLE})::UBIGINT AS z FROM {source}))))"""
+
+
+def chunk_sql(source: str, target: int, overlap: int) -> str:
+    """(source, index, content) of the chunks of (source, text): paragraphs packed in turn, a long one cut with an overlap."""
+    step = max(1, target - max(0, min(overlap, target - 1)))
+    join = lambda x: f"list_aggregate({x}, 'string_agg', ' ')"
+    cut = f"list_transform(range(0, greatest(ceil((len(w) - {target}) / {step}::DOUBLE), 0)::BIGINT + 1), lambda i: {join(f'w[i * {step} + 1 : i * {step} + {target}]')})"
+    gap = r"[ \t\n\x0b\f\r\x1c-\x1f\x85\xa0]+"
+    return f"""(WITH RECURSIVE par AS (SELECT source, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)),
+ lambda p: list_filter(string_split_regex(p, '{gap}'), lambda w: w <> '')), lambda w: len(w) > 0) AS ps FROM {source}),
+ run AS (SELECT source, ps, 1 AS p, []::VARCHAR[] AS held, []::VARCHAR[] AS done FROM par
+ UNION ALL SELECT source, ps, p + 1, CASE WHEN len(w) > {target} THEN [] WHEN len(held) > 0 AND len(held) + len(w) > {target} THEN w ELSE held || w END,
+ (CASE WHEN len(held) > 0 AND len(held) + len(w) > {target} THEN list_append(done, {join('held')}) ELSE done END) || (CASE WHEN len(w) > {target} THEN {cut} ELSE []::VARCHAR[] END)
+ FROM (SELECT *, ps[p] AS w FROM run WHERE p <= len(ps))),
+ whole AS (SELECT source, CASE WHEN len(held) > 0 THEN list_append(done, {join('held')}) ELSE done END AS cs FROM run WHERE p > len(ps))
+ SELECT source, (i - 1)::INTEGER AS index, cs[i] AS content FROM whole, range(1, 100000) r(i) WHERE i <= len(cs))"""

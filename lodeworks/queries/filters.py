@@ -112,10 +112,21 @@ def f16_geo_polygon(spark, d):
     return admitted(places(spark, d), L.leaf("geo_polygon", "geo", polygon=[x for p in RING for x in p]))
 
 
-@query(f"SELECT id FROM {DOCS} WHERE NOT (lang = 'en' OR n_chars BETWEEN 100 AND 900)")
+@query(f"SELECT id FROM {DOCS} WHERE NOT (lang = 'en' OR n_chars BETWEEN 100 AND 900 AND source IN ('src0', 'src1'))")
 def f18_json_tree(spark, d):
-    inner = L.or_(L.eq("lang", "en"), L.and_(L.gte("n_chars", 100), L.lte("n_chars", 900)))
-    return admitted(docs(spark, d), json.dumps(L.not_(inner)))
+    """A nested tree in JSON, groups with their members under their own names and values tagged with their kinds."""
+    leaf = lambda op, field, **value: {"op": op, "field": field, "value": value}
+    inner = [leaf("gte", "n_chars", kind="int", int=100), leaf("lte", "n_chars", kind="float", flt=900.0), leaf("in", "source", kind="strings", strs=["src0", "src1"])]
+    either = {"op": "or", "or": [leaf("eq", "lang", kind="string", str="en"), {"op": "and", "and": inner}], "value": {"kind": "none"}}
+    return admitted(docs(spark, d), json.dumps({"op": "not", "not": either}))
+
+
+@query(f"SELECT id FROM {PLACES} WHERE lat BETWEEN 0 AND 35.5 AND lon BETWEEN -60 AND 40 OR {HAVERSINE.format('lat', '10', 'lon', '0')} <= 1000000")
+def f18_json_geo(spark, d):
+    """Regions under ``geo``; a coordinate that is left out is 0."""
+    box = {"op": "geo_bounding_box", "field": "geo", "geo": {"max_lat": 35.5, "min_lon": -60, "max_lon": 40}}
+    circle = {"op": "geo_radius", "field": "geo", "geo": {"center_lat": 10, "radius_m": 1_000_000}}
+    return admitted(places(spark, d), json.dumps({"op": "or", "or": [box, circle]}))
 
 
 NOW = 1_705_000_000_000

@@ -12,9 +12,9 @@ from .text import ASKED, bm25
 
 K = 50
 DENSE = f"(SELECT vec_id AS id, {cosine('embedding', q(7))} AS distance FROM embeddings ORDER BY distance, id LIMIT {K})"
-TEXT = f"(SELECT * FROM {bm25(POSTS, 'id < 500')} ORDER BY score DESC, id LIMIT {K})"
-# a sparse space: term counts of the first 500 documents, which share ids with the embeddings
-SPARSE = f"(SELECT id, sum(tf * CASE term WHEN 'the' THEN 0.5::DOUBLE WHEN 'von' THEN 2.0::DOUBLE WHEN 'from' THEN 1.5::DOUBLE END) AS score FROM {POSTS} WHERE id < 500 AND term IN ('the', 'von', 'from') GROUP BY id ORDER BY score DESC, id LIMIT {K})"
+TEXT = f"(SELECT * FROM {bm25(POSTS)} ORDER BY score DESC, id LIMIT {K})"
+# a sparse space: term counts of all documents
+SPARSE = f"(SELECT id, sum(tf * CASE term WHEN 'the' THEN 0.5::DOUBLE WHEN 'von' THEN 2.0::DOUBLE WHEN 'from' THEN 1.5::DOUBLE END) AS score FROM {POSTS} WHERE term IN ('the', 'von', 'from') GROUP BY id ORDER BY score DESC, id LIMIT {K})"
 WEIGHTS = {"the": 0.5, "von": 2.0, "from": 1.5}
 
 
@@ -42,14 +42,10 @@ OUT = "SELECT id, round(score, 6) AS score FROM "
 
 
 def sparse(spark, d):
-    posts = text_search.postings(docs(spark, d).where("id < 500"), "simple")
+    posts = text_search.postings(docs(spark, d), "simple")
     return posts.select("id", F.col("term").alias("dim"), F.col("tf").cast("double").alias("weight"))
 
 
-def texts(spark, d):
-    return text_search.postings(docs(spark, d), "simple")
-
-
 def dense_lane(spark, d):
     return search.knn(dense(spark, d), vector(spark, d, 7), K).select("id", "distance", F.lit(0.0).alias("score"))
 
@@ -59,8 +55,7 @@ def scored_lane(df):
 
 
 def text_lane(spark, d):
-    ids = docs(spark, d).where("id < 500")
-    return scored_lane(text_search.search(texts(spark, d), ASKED.split(), K, admitted=ids))
+    return scored_lane(text_search.search_texts(docs(spark, d), ASKED.split(), K, "simple"))
 
 
 def sparse_lane(spark, d):
@@ -117,7 +112,7 @@ def j8_mv_hybrid(spark, d):
 
 
 def data(spark, d):
-    return A.Data(points=dense(spark, d), sparse=sparse(spark, d), tokens=multi(spark, d), posts=texts(spark, d))
+    return A.Data(points=dense(spark, d), sparse=sparse(spark, d), tokens=multi(spark, d), texts=docs(spark, d))
 
 
 def leaf(kind, **more):

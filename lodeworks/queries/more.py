@@ -11,10 +11,13 @@ from ..functions import vectors as V
 from ..operators import apps, fusion, kv, points, quant, search, text_search
 from ..plans import filters as L
 from ..plans import query_api as A
+from ..sources import backup
 from ..sources.catalog import Catalog, Config
-from .base import KV, NAMED, POSTS, cosine, dense, docs, kv_log, l2, multi, named, nearest, places, q, query, table, tidy, vector
+from .base import KV, NAMED, POSTS, chunk_sql, cosine, dense, docs, kv_log, l2, multi, named, nearest, places, q, query, signed, table, tidy, vector, words
 from .fusion import DENSE, K, MAXSIM, OUT, SPARSE, WEIGHTS, dense_lane, rrf, sparse, sparse_lane
 from .state import LAST, NOW, scratch
+from .text import ASKED, bm25
+from .vectors import EXACT, mmr_sql
 
 
 @query(f"SELECT h.rank, h.id, d.text AS content, d.lang, d.source FROM ({nearest(cosine('embedding', q(5)), 8)}) h JOIN documents d ON d.doc_id = h.id")
@@ -28,21 +31,21 @@ def p3_raw_docs(spark, d):
     return docs(spark, d).select("id", F.to_json(F.struct("lang", "n_chars")).alias("payload"))
 
 
-@query("SELECT count(*) AS ids FROM documents")
-def p6_external_ids(spark, d):
-    return docs(spark, d).select(F.xxhash64(F.concat(F.lit("doc-"), F.col("id").cast("string"))).alias("id")).distinct().agg(F.count("*").alias("ids"))
+HEX16 = "substr(sha256(name), 1, 16)"
+HASHED = signed(f"list_reduce(list_transform(range(1, 17), lambda i: (instr('0123456789abcdef', substr({HEX16}, i, 1)) - 1)::UHUGEINT), lambda x, y: x * 16 + y)")
 
 
-@query(f"SELECT rank, id, round(distance, 6) AS distance FROM ({nearest(cosine('embedding', q(5)), 10, 'vec_id NOT IN (1, 2)')}) p")
-def v12_discover_by_ids_pool(spark, d):
-    """The seed order of a discovery whose only pair ties everywhere: the pool by distance."""
-    found = search.discover(dense(spark, d), [(1, 1), (2, 2), (9999999, 1)], vector(spark, d, 5), 10)
-    return tidy(search.ranked(found), "rank", "id", "distance")
+@query(f"SELECT name, CASE WHEN digits THEN id ELSE {HASHED} END AS id FROM (SELECT doc_id AS id, doc_id % 3 = 0 AS digits, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR ELSE 'doc-' || doc_id END AS name FROM documents)")
+def p6_external_ids(spark, d):
+    """Digits stand for themselves, other names for 64 bits of a hash."""
+    name = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise(F.concat(F.lit("doc-"), F.col("id").cast("string")))
+    return docs(spark, d).select(name.alias("name")).select("name", apps.external_id(F.col("name")).alias("id"))
 
 
-@query(f"SELECT id, round(sum(tf * CASE term WHEN 'the' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END), 6) AS dot FROM {POSTS} WHERE id < 50 AND term IN ('the', 'von') GROUP BY id")
+@query(f"SELECT id, round(sum(tf * CASE term WHEN 'the' THEN 0.5::DOUBLE ELSE 2.0::DOUBLE END), 6) AS dot FROM {POSTS} WHERE term IN ('the', 'von') GROUP BY id")
 def v19_sparse_dot(spark, d):
-    return tidy(search.search_sparse(sparse(spark, d).where("id < 50"), {"the": 0.5, "von": 2.0}, 100).withColumnRenamed("score", "dot"), "id", "dot")
+    """The product of a sparse query with every document that shares a dimension with it."""
+    return tidy(search.sparse_dot(sparse(spark, d), {"the": 0.5, "von": 2.0}).withColumnRenamed("score", "dot"), "id", "dot")
 
 
 @query(f"SELECT id, round(score, 6) AS score FROM {SPARSE} WHERE id % 7 <> 0 ORDER BY score DESC, id LIMIT 5")
@@ -51,10 +54,22 @@ def v20_named_sparse(spark, d):
     return tidy(lane.orderBy(F.col("score").desc(), "id").limit(5), "id", "score")
 
 
-@query("SELECT 'english' AS name, 'run' AS stem UNION ALL SELECT 'simple', 'running'")
+STOPPED = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS if "'" not in w) + "]"
+
+
+@query(f"""SELECT name, token, count(*) AS n FROM (SELECT 'simple' AS name, unnest({words('text')}) AS token FROM documents UNION ALL
+ SELECT 'stopped', unnest(list_filter({words('text')}, lambda w: NOT list_contains({STOPPED}, w))) FROM documents) GROUP BY ALL""")
 def t6_analyzers(spark, d):
-    rows = [(name, (text_search.query_terms("running", name, spark))[0]) for name in ("english", "simple")]
-    return spark.createDataFrame(rows, "name string, stem string")
+    """The terms of all texts under two analyzers of the registry, by name."""
+    out = [docs(spark, d).select(F.lit(name).alias("name"), F.explode(T.analyzer(name).terms(F.col("content"))).alias("token")) for name in ("simple", "stopped")]
+    return out[0].unionByName(out[1]).groupBy("name", "token").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT token, count(*) AS n FROM (SELECT unnest({words('text')}) AS token FROM documents) WHERE token NOT IN ('der', 'the', 'le') GROUP BY token")
+def d5_analyzer_plugin(spark, d):
+    """An analyzer that the caller registers."""
+    T.register_analyzer("articles", T.Analyzer(("der", "the", "le")))
+    return docs(spark, d).select(F.explode(T.analyzer("articles").terms(F.col("content"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
 LEFT = f"(SELECT id, {cosine('lft', q(7) + '[1:32]')} AS distance FROM {NAMED} ORDER BY distance, id LIMIT {K})"
@@ -121,24 +136,26 @@ def c20_datetime_millis(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("ms"))
 
 
-@query("SELECT vec_id AS id, round((embedding[1]::DOUBLE + embedding[33]::DOUBLE) / 2, 6) AS first_value FROM embeddings")
+@query("SELECT vec_id AS id, i - 1 AS pos, round((embedding[i]::DOUBLE + embedding[32 + i]::DOUBLE) / 2, 6) AS value FROM embeddings, range(1, 17) r(i)")
 def c21_mean_pooling(spark, d):
     mask = F.array(F.lit(1), F.lit(0), F.lit(1), F.lit(0))
-    return tidy(multi(spark, d), "id", apps.pooled(F.col("tokens"), mask)[0].alias("first_value"))
+    return tidy(multi(spark, d).select("id", F.posexplode(apps.pooled(F.col("tokens"), mask)).alias("pos", "value")), "id", F.col("pos").cast("long").alias("pos"), "value")
 
 
-@query()
+@query(mmr_sql(9, 8, 0.7, cosine))
 def c22_mmr_cosine(spark, d):
-    return tidy(search.mmr(dense(spark, d), vector(spark, d, 9), 8, 0.7, metric="cosine"), "rank", "id", "distance")
+    return tidy(search.mmr(dense(spark, d).where("id <> 9"), vector(spark, d, 9), 8, 0.7, metric="cosine"), "rank", "id", "distance")
 
 
-@query()
+@query(EXACT)
 def q8_residual_quantization(spark, d):
-    every = dense(spark, d)
-    return tidy(search.ranked(search.knn(quant.residual_decode(every, quant.train_residual(every, 8)), vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
+    """Two layers of codes; the hundred nearest by the restored vectors, then exact distances."""
+    every, asked = dense(spark, d), vector(spark, d, 7)
+    near = search.knn(quant.residual_decode(every, quant.train_residual(every, 8)), asked, 100, "l2")
+    return tidy(search.ranked(quant.rescored(near, every, asked, 10, "l2")), "rank", "id", "distance")
 
 
-@query()
+@query(EXACT)
 def q9_rotated_quantization(spark, d):
     every = dense(spark, d)
     rotation = quant.train_rotation(quant.training_matrix(every), 8)
@@ -148,11 +165,22 @@ def q9_rotated_quantization(spark, d):
     return tidy(search.ranked(quant.rescored(near, every, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
 
 
-@query("SELECT count(*) AS points, 16::BIGINT AS cells FROM embeddings")
+@query("SELECT n_nationkey AS id, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS first_of_cell FROM nation")
 def q11_kmeans_cells(spark, d):
-    every = dense(spark, d)
-    assigned = quant.ivf_assign(every, quant.train_ivf(every, 16))
-    return assigned.agg(F.count("*").alias("points"), F.countDistinct("cell").alias("cells"))
+    """Five clusters that lie apart are the five cells: with which points each shares its cell."""
+    key, region = F.col("n_nationkey"), F.col("n_regionkey")
+    apart = F.array((region * 100).cast("double"), (region * region * 50).cast("double"), (key % 7).cast("double"), (key % 3).cast("double"))
+    points = table(spark, d, "nation").select(key.alias("id"), apart.alias("vector"))
+    assigned = quant.ivf_assign(points, quant.train_ivf(points, 5, "l2"))
+    firsts = assigned.groupBy("cell").agg(F.min("id").alias("first_of_cell"))
+    return assigned.join(firsts, "cell").select("id", "first_of_cell")
+
+
+@query("SELECT DISTINCT n_regionkey::DOUBLE AS x FROM nation")
+def q11_kmeans_of_few_points(spark, d):
+    """With no more distinct points than cells the centres are the points."""
+    points = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.array(F.col("n_regionkey").cast("double")).alias("vector"))
+    return spark.createDataFrame([(float(c[0]),) for c in quant.train_ivf(points, 16, "l2")], "x double")
 
 
 @query("SELECT vec_id AS id, CASE WHEN vec_id < 20 THEN 1 ELSE 4 END::INTEGER AS tokens FROM embeddings")
@@ -169,15 +197,13 @@ def w17_named_upsert(spark, d):
     return points.upsert(base, rows).select("id", F.col("vectors")["right"].isNotNull().alias("has_right"))
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id % 2 = 0")
 def w19_backup_latest(spark, d):
-    """Backups are versions; restoring the latest reads the newest one."""
-    catalog = Catalog(spark, scratch(spark))
-    catalog.create(Config("points", 64))
-    every = table(spark, d, "embeddings").select("vec_id")
-    for part in (every.where("vec_id < 10"), every):
-        catalog.write("points", part)
-    return catalog.read("points").agg(F.count("*").alias("n"))
+    """Backups are objects by collection and time; restoring the latest reads the newest, whatever the order in which they were written."""
+    root, every = scratch(spark), table(spark, d, "embeddings").select("vec_id", "label")
+    for at, part in ((2000, every.where("vec_id % 2 = 0")), (1000, every), (300, every.where("vec_id < 10"))):
+        backup.save(part, root, "points", at)
+    return backup.restore_latest(spark, root, "points")
 
 
 @query("""SELECT 'kv_n{op="' || op || '"} ' || n AS line FROM (SELECT CASE event_type WHEN 'purchase' THEN 'del' WHEN 'click' THEN 'expire' ELSE 'put' END AS op, count(*) AS n FROM events GROUP BY 1)""")
@@ -223,15 +249,22 @@ def x13_bounded_staleness(spark, d):
     return points.latest(kv_log(spark, d).where("seq <= 5000"), "key", "seq").select("key", "seq")
 
 
-@query()
+CHUNKS = chunk_sql("(SELECT source || '/' || doc_id AS source, text FROM documents)", 128, 16)
+CHUNK_POSTS = f"(SELECT id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id) AS dl FROM (SELECT source || '#' || index AS id, unnest({words('content')}) AS term FROM {CHUNKS}) GROUP BY id, term)"
+
+
+@query(f"""WITH a AS (SELECT d.source || '/' || d.doc_id || '#0' AS key, r FROM (SELECT id, row_number() OVER (ORDER BY distance, id) - 1 AS r FROM {DENSE}) h JOIN documents d ON d.doc_id = h.id),
+ b AS (SELECT id AS key, row_number() OVER (ORDER BY score DESC, id) - 1 AS r FROM (SELECT * FROM {bm25(CHUNK_POSTS)} ORDER BY score DESC, id LIMIT 50))
+ SELECT key, round(coalesce(1.0::DOUBLE / (61 + a.r), 0) + coalesce(1.0::DOUBLE / (61 + b.r), 0), 6) AS score FROM a FULL JOIN b USING (key)
+ ORDER BY coalesce(1.0::DOUBLE / (61 + a.r), 0) + coalesce(1.0::DOUBLE / (61 + b.r), 0) DESC, coalesce(a.r, 1099511627776 + b.r) LIMIT 10""")
 def x18_rag_retrieve(spark, d):
-    chunks = T.chunks(docs(spark, d), "id", "content", 128, 16).withColumn("key", F.concat_ws("#", "source", "index"))
-    keyed = chunks.select(F.xxhash64("key").alias("id"), "key", "content")
-    posts = text_search.postings(keyed, "english")
-    hits = text_search.search(posts, text_search.query_terms("licensed works", "english", spark), 20)
-    text = search.ranked(hits, -F.col("score")).join(keyed.select("id", "key"), "id").select("key", "rank")
-    near = search.ranked(dense_lane(spark, d)).select(F.concat(F.col("id").cast("string"), F.lit("#0")).alias("key"), "rank")
-    return fusion.rag_fuse(near, text, -1.0, 10)
+    """Chunks by vectors (a document's first chunk stands for it) and by text, fused by reciprocal ranks."""
+    named = docs(spark, d).withColumn("name", F.concat_ws("/", "source", F.col("id").cast("string")))
+    chunks = T.chunks(named, "name", "content", 128, 16).select(F.concat_ws("#", "source", F.col("index").cast("string")).alias("id"), "content")
+    hits = text_search.search_texts(chunks, ASKED.split(), 50, "simple")
+    text = search.ranked(hits, -F.col("score")).select(F.col("id").alias("key"), "rank")
+    near = search.ranked(dense_lane(spark, d)).join(named.select("id", "name"), "id").select(F.concat("name", F.lit("#0")).alias("key"), "rank")
+    return tidy(fusion.rag_fuse(near, text, -1.0, 10), "key", "score")
 
 
 @query(f"SELECT key, count(*) AS changes, sum(seq)::BIGINT AS seqs FROM {KV} WHERE op <> 'del' GROUP BY key")
@@ -243,7 +276,9 @@ def d3_stored_procedure(spark, d):
     return apps.procedure(kv_log(spark, d).select("key", "op", "seq"), "key", handler, "key long, changes long, seqs long")
 
 
-@query(f"SELECT vec_id AS id, round({l2('embedding', q(2))}, 6) AS distance FROM embeddings WHERE label = 2")
+@query(f"SELECT id, round(distance, 6) AS distance FROM ({nearest(l2('embedding', q(2)), 25, 'label = 2')})")
 def u2_lane_union(spark, d):
-    lanes = [search.scored(dense(spark, d), vector(spark, d, 2), "l2", L.and_(L.eq("label", 2), L.lt("id", 250))), search.scored(dense(spark, d), vector(spark, d, 2), "l2", L.and_(L.eq("label", 2), L.gte("id", 250)))]
-    return tidy(lanes[0].unionByName(lanes[1]), "id", "distance")
+    """The lanes of four partitions, each cut to 25, and the 25 best of all."""
+    owned = apps.partitioned(dense(spark, d), 4)
+    lanes = [search.knn(owned.where(F.col("part") == p), vector(spark, d, 2), 25, "l2", L.eq("label", 2)) for p in range(4)]
+    return tidy(fusion.merge_lanes(lanes, 25, False), "id", "distance")

@@ -4,27 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import apps, kv, points
 from ..plans import filters as L
 from ..sources.catalog import Catalog, Config
 from ..streaming import changes
-from .base import KV, docs, kv_log, query, rated, table
+from .base import KV, docs, kv_log, owner, query, rated, table
 
 NOW = 1_706_000_000_000
 LAST = f"(SELECT * FROM {KV} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
 
 
 def scratch(spark) -> str:
-    """A folder that driver and executors share; a temporary one where a local session has none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """A folder that driver and executors share; a temporary one where a plain local session has none. It goes when the driver ends."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local[") and context.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="lodeworks-")
-    return f"{shared.rstrip('/')}/lodeworks/{uuid.uuid4().hex}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="lodeworks-"))
+        shared = context.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/lodeworks/{context.applicationId}/{uuid.uuid4().hex}"
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 # key-value
@@ -55,6 +62,14 @@ def w12_kv_put(spark, d):
     return kv.state(kv_log(spark, d)).where("op = 'put'").agg(F.count("*").alias("keys"), F.sum("seq").alias("seqs"))
 
 
+@query("SELECT user_id AS key, max(event_id) AS seq, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def w12_put_batch(spark, d):
+    """One batch that holds most keys many times: each key's last entry stays."""
+    entries = kv_log(spark, d).select("key", "seq", "value")
+    nothing = entries.limit(0)
+    return kv.put_batch(nothing, entries).select("key", "seq", "value")
+
+
 @query(f"SELECT seq, key, existed FROM (SELECT seq, key, op, coalesce(lag(op) OVER (PARTITION BY key ORDER BY seq) <> 'del', FALSE) AS existed FROM {KV}) WHERE op = 'del'")
 def w13_kv_delete(spark, d):
     return kv.existed(kv_log(spark, d))
@@ -94,10 +109,21 @@ def x8_stream_apply(spark, d):
     return changes.read_state(spark, f"{root}/state", last, log.schema).select("key", "seq", "value")
 
 
-@query(f"SELECT to_timestamp(hour * 3600)::TIMESTAMP AS start, op, n FROM (SELECT ts_ms // 3600000 AS hour, op, count(*) AS n FROM {KV} GROUP BY ALL)")
+CUT = 1_705_320_000_000  # 2024-01-15 12:00
+
+
+@query(f"""WITH early AS (SELECT * FROM {KV} WHERE ts_ms < {CUT}), mark AS (SELECT max(ts_ms) - 7200000 AS ms FROM early),
+ every AS (SELECT ts_ms, op FROM {KV} UNION ALL SELECT ts_ms, op FROM early, mark WHERE seq % 5 = 0 AND (ts_ms // 3600000 + 1) * 3600000 > ms)
+ SELECT to_timestamp(hour * 3600)::TIMESTAMP AS start, op, n FROM (SELECT ts_ms // 3600000 AS hour, op, count(*) AS n FROM every GROUP BY ALL)""")
 def x8_windowed_counts(spark, d):
-    timed = kv_log(spark, d).withColumn("ts", F.timestamp_millis("ts_ms"))
-    return changes.windowed_counts(timed, "ts", "1 hour", "2 hours", "op").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """A stream of four batches: rows up to a moment, the later ones, a fifth of the former once more, and one of the far future that finishes
+    all windows. Late rows are judged by the watermark before the last one: of the repeated rows those count whose window the first batch's watermark
+    has not passed."""
+    timed = kv_log(spark, d).select("seq", "op", "ts_ms", F.timestamp_millis("ts_ms").alias("ts"))
+    early, later = timed.where(F.col("ts_ms") < CUT), timed.where(F.col("ts_ms") >= CUT)
+    end = spark.createDataFrame([(-1, "end")], "seq long, op string").select("seq", "op", F.lit(4_000_000_000_000).alias("ts_ms"), F.timestamp_millis(F.lit(4_000_000_000_000)).alias("ts"))
+    found = changes.run_windows([early, later, early.where("seq % 5 = 0"), end], scratch(spark), "ts", "1 hour", "2 hours", "op")
+    return found.where("op <> 'end'").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"SELECT count(*) AS live, count(*) FILTER (expires_at_ms <> 0) AS with_deadline FROM {LAST} WHERE op <> 'del' AND (expires_at_ms = 0 OR expires_at_ms > {NOW})")
@@ -109,39 +135,58 @@ def x4_kv_ttl(spark, d):
 
 
 def base_and_rows(spark, d):
-    """Points with versions, and rows of which half are new."""
+    """Points with versions, and rows of which half are new; every third id comes three times, numbered in the order of writing."""
     every = docs(spark, d).select("id", "lang", F.lit(1).cast("long").alias("version"))
     base = every.where("id % 2 = 0")
-    rows = every.where("id < 200").withColumn("lang", F.upper("lang"))
-    return base, rows
+    rows = every.where("id % 5 <> 4").withColumn("n", F.explode(F.when(F.col("id") % 3 == 0, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))))
+    named = rows.withColumn("lang", F.concat(F.upper("lang"), F.col("n").cast("string")))
+    return base, named.withColumn("seq", F.col("n") * 10**9 + (F.col("id") * 7919) % 10**9).drop("n").repartition(5)
+
+
+#: The same rows in SQL.
+ROWS = "(SELECT doc_id AS id, upper(lang) || n AS lang, n::BIGINT * 1000000000 + (doc_id * 7919) % 1000000000 AS seq, n FROM documents, range(0, 3) r(n) WHERE doc_id % 5 <> 4 AND (n = 0 OR doc_id % 3 = 0))"
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE upper(lang) END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id < 200")
+@query(f"SELECT doc_id AS id, lang FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT id, lang FROM {ROWS} WHERE id % 2 <> 0 AND n = 0")
 def w1_insert(spark, d):
-    return points.insert(*base_and_rows(spark, d))[0].select("id", "lang")
+    return points.insert(*base_and_rows(spark, d), seq="seq")[0].select("id", "lang")
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 AND doc_id < 200")
+@query(f"SELECT id, seq FROM {ROWS} WHERE id % 2 = 0 OR n > 0")
 def w1_insert_conflicts(spark, d):
-    return points.insert(*base_and_rows(spark, d))[1]
+    return points.insert(*base_and_rows(spark, d), seq="seq")[1].select("id", "seq")
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id < 200 THEN upper(lang) ELSE lang END AS lang FROM documents WHERE doc_id % 2 = 0 OR doc_id < 200")
+@query(f"SELECT doc_id AS id, lang FROM documents WHERE doc_id % 2 = 0 AND doc_id % 5 = 4 UNION ALL SELECT id, lang FROM {ROWS} WHERE n = CASE WHEN id % 3 = 0 THEN 2 ELSE 0 END")
 def w2_upsert(spark, d):
-    return points.upsert(*base_and_rows(spark, d)).select("id", "lang")
+    return points.upsert(*base_and_rows(spark, d), seq="seq").select("id", "lang")
 
 
-@query("SELECT doc_id AS id, doc_id % 2 <> 0 AS inserted FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id AS id, doc_id % 2 <> 0 AS inserted FROM documents WHERE doc_id < 200 AND doc_id % 5 <> 4")
 def w3_insert_if_absent(spark, d):
     base, rows = base_and_rows(spark, d)
     there = base.select("id", F.lit(True).alias("there"))
-    return rows.join(there, "id", "left").select("id", F.col("there").isNull().alias("inserted"))
+    return rows.where("seq < 1000000000 AND id < 200").join(there, "id", "left").select("id", F.col("there").isNull().alias("inserted"))
 
 
-@query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id < 200 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 2 = 0 OR (doc_id < 200 AND doc_id % 3 <> 0)")
-def w4_compare_and_set(spark, d):
+def writers(spark, d):
+    """Rows that expect version 1 of even ids and none of odd ones, but every seventh expects another; of repeated ids all expect the same."""
     base, rows = base_and_rows(spark, d)
-    return points.compare_and_set(base, rows.withColumn("expected", F.when(F.col("id") % 3 == 0, 1).otherwise(0).cast("long")))[0].select("id", "version")
+    right = F.when(F.col("id") % 2 == 0, 1).otherwise(0)
+    return base, rows.withColumn("expected", (right + F.when(F.col("id") % 7 == 0, 5).otherwise(0)).cast("long"))
+
+
+@query(f"""SELECT doc_id AS id, lang, 1::BIGINT AS version FROM documents WHERE doc_id % 2 = 0 AND (doc_id % 5 = 4 OR doc_id % 7 = 0)
+ UNION ALL SELECT id, lang, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM {ROWS} WHERE id % 7 <> 0 AND n = 0""")
+def w4_compare_and_set(spark, d):
+    """Of several writers with the right version the first wins."""
+    return points.compare_and_set(*writers(spark, d), seq="seq")[0].select("id", "lang", "version")
+
+
+@query(f"""SELECT id, (CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 5 ELSE 0 END)::BIGINT AS expected,
+ (CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 0 ELSE 1 END)::BIGINT AS actual FROM {ROWS} WHERE id % 7 = 0 OR n > 0""")
+def w4_conflicts(spark, d):
+    return points.compare_and_set(*writers(spark, d), seq="seq")[1]
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id % 5 <> 0")
@@ -180,10 +225,12 @@ def w9_delete_payload_keys(spark, d):
     return flat(payloads(spark, d).withColumn("payload", points.without_keys(F.col("payload"), ["lang"])))
 
 
-@query("SELECT count(*) AS points, 0::BIGINT AS with_payload FROM documents")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS source, NULL::VARCHAR AS mark, n_chars FROM documents")
 def w10_clear_payload(spark, d):
-    cleared = payloads(spark, d).withColumn("payload", F.lit(None).cast("map<string,string>"))
-    return cleared.agg(F.count("*").alias("points"), F.count("payload").alias("with_payload"))
+    """The payloads of every third point are cleared; the points and their other columns stay."""
+    rows = payloads(spark, d)
+    cleared = points.clear_payload(rows, rows.where("id % 3 = 0"))
+    return flat(cleared).join(cleared.select("id", "n_chars"), "id")
 
 
 @query("SELECT doc_id AS id, CASE WHEN n_chars > 1500 OR n_chars % 2 = 1 THEN lang END AS lang, source, NULL::VARCHAR AS mark FROM documents")
@@ -202,7 +249,11 @@ def w23_quota(spark, d):
     return points.within_quota(docs(spark, d).select("id", F.col("source").alias("collection")), "id", 7)
 
 
-@query()
+@query(f"""WITH RECURSIVE n AS (SELECT seq, key, ts_ms, row_number() OVER (PARTITION BY key ORDER BY ts_ms, seq) AS i FROM {KV}),
+ run AS (SELECT seq, key, ts_ms, i, TRUE AS admitted, 0.0::DOUBLE AS tokens FROM n WHERE i = 1
+ UNION ALL SELECT seq, key, ts_ms, i, t >= 1, t - CASE WHEN t >= 1 THEN 1 ELSE 0 END
+ FROM (SELECT n.*, least(1.0::DOUBLE, run.tokens + (n.ts_ms - run.ts_ms) / 1000::DOUBLE) AS t FROM run JOIN n ON n.key = run.key AND n.i = run.i + 1))
+ SELECT seq, key, ts_ms, admitted FROM run""")
 def x15_token_bucket(spark, d):
     events = kv_log(spark, d).select("seq", "key", "ts_ms")
     return points.token_bucket(events, 1.0, "key", "ts_ms", "seq")
@@ -211,37 +262,54 @@ def x15_token_bucket(spark, d):
 # catalog, partitions and applications
 
 
-@query("SELECT count(*) AS n, 64::BIGINT AS dim, 'live' AS alias FROM embeddings")
+@query("SELECT vec_id, label, 64::BIGINT AS dim FROM embeddings WHERE label <> 3")
 def x14_alias_and_snapshot(spark, d):
-    catalog = Catalog(spark, scratch(spark))
-    catalog.create(Config("first", 64))
-    catalog.write("first", table(spark, d, "embeddings").where("vec_id < 0"))
-    catalog.create(Config("second", 64))
-    catalog.swap_aliases([("live", "first")])
-    catalog.write("second", table(spark, d, "embeddings"))
-    catalog.swap_aliases([("live", "second")])
-    dim = catalog.config("live").dim
-    return catalog.read("live").agg(F.count("*").alias("n")).select("n", F.lit(dim).cast("long").alias("dim"), F.lit("live").alias("alias"))
-
-
-@query("SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids FROM embeddings")
+    """An alias moves from one collection to another; reading by it gives the second one's rows."""
+    catalog, every = Catalog(spark, scratch(spark)), table(spark, d, "embeddings").select("vec_id", "label")
+    for name, rows in (("first", every.where("label = 3")), ("second", every.where("label <> 3"))):
+        catalog.create(Config(name, 64))
+        catalog.write(name, rows)
+        catalog.swap_aliases([("live", name)])
+    return catalog.read("live").withColumn("dim", F.lit(catalog.config("live").dim).cast("long"))
+
+
+@query("SELECT vec_id, label FROM embeddings")
 def s17_snapshot_restore(spark, d):
     catalog, at = Catalog(spark, scratch(spark)), scratch(spark)
     catalog.create(Config("points", 64))
-    catalog.write("points", table(spark, d, "embeddings"))
+    catalog.write("points", table(spark, d, "embeddings").select("vec_id", "label"))
     catalog.snapshot(at)
-    return Catalog(spark, at).read("points").agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+    return Catalog(spark, at).read("points")
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+@query("SELECT lang AS collection, doc_id AS id, source FROM documents")
+def w18_snapshot_all(spark, d):
+    """Every collection of a catalog, one for each language, copied and read from the copy."""
+    catalog, at = Catalog(spark, scratch(spark)), scratch(spark)
+    every = docs(spark, d).select("id", "lang", "source")
+    for name in [r["lang"] for r in every.select("lang").distinct().orderBy("lang").collect()]:
+        catalog.create(Config(name, 8))
+        catalog.write(name, every.where(F.col("lang") == name).select("id", "source"))
+    catalog.snapshot(at)
+    copy = Catalog(spark, at)
+    out = [copy.read(name).withColumn("collection", F.lit(name)) for name in copy.names()]
+    return reduce(DataFrame.unionByName, out).select("collection", "id", "source")
+
+
+IDS = "(SELECT vec_id AS id FROM embeddings)"
+
+
+@query(f"SELECT id, part FROM {owner(IDS, 4)}")
 def x9_resplit(spark, d):
-    """Partitions 8 then 4 hold each point once; the counts by partition are checked in tests."""
+    """Points written in 8 partitions, then in 4; each lies where its id belongs."""
+    root = scratch(spark)
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    again = apps.partitioned(apps.partitioned(rows, 8).drop("part"), 4)
-    return again.groupBy("part").agg(F.count("*").alias("c")).agg(F.sum("c").alias("n"))
+    apps.partitioned(rows, 8).write.partitionBy("part").parquet(f"{root}/eight")
+    apps.partitioned(spark.read.parquet(f"{root}/eight").drop("part"), 4).write.partitionBy("part").parquet(f"{root}/four")
+    return spark.read.parquet(f"{root}/four").select("id", "part")
 
 
-@query()
+@query(f"SELECT id, part FROM {owner(IDS, 16)}")
 def c9_partition_of(spark, d):
     return apps.partitioned(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 16)
 
@@ -281,9 +349,15 @@ def d2_call_by_name(spark, d):
     return apps.call(name, docs(spark, d))
 
 
-@query("SELECT 'points' AS name, 64::BIGINT AS dim, 'l2' AS metric")
+@query("SELECT 'r' || r_regionkey AS name, r_regionkey::BIGINT * 8 + 8 AS dim, CASE r_regionkey % 3 WHEN 0 THEN 'cosine' WHEN 1 THEN 'l2' ELSE 'dot' END AS metric, CASE r_regionkey % 2 WHEN 0 THEN 'dense' ELSE 'mv' END AS kind FROM region")
 def s14_get_config(spark, d):
-    catalog = Catalog(spark, scratch(spark))
-    catalog.create(Config("points", 64, "l2"))
-    found = catalog.config("points")
-    return spark.createDataFrame([(found.name, found.dim, found.metric)], "name string, dim long, metric string")
+    """A collection for each region, with a configuration of its own, as the catalog gives it back through aliases."""
+    root = scratch(spark)
+    catalog = Catalog(spark, root)
+    for r in table(spark, d, "region").orderBy("r_regionkey").collect():
+        n = r["r_regionkey"]
+        catalog.create(Config(f"r{n}", 8 * n + 8, ("cosine", "l2", "dot")[n % 3], ("dense", "mv")[n % 2]))
+        catalog.swap_aliases([(f"alias{n}", f"r{n}")])
+    again = Catalog(spark, root)
+    rows = [(c.name, c.dim, c.metric, c.kind) for c in map(again.config, sorted(again.aliases()))]
+    return spark.createDataFrame(rows, "name string, dim long, metric string, kind string")

@@ -9,21 +9,22 @@ from ..functions import text as T
 from ..operators import apps, points, search, text_search
 from ..plans import filters as L
 from ..sources import files
-from .base import POSTS, docs, query, table, tidy, words
+from .base import POSTS, chunk_sql, docs, fnv32, fnv64, query, signed, table, tidy, words
 
 
-@query(f"SELECT doc_id AS id, len({words('text')})::INTEGER AS n, coalesce({words('text')}[1], '') AS first_token FROM documents")
+@query(f"SELECT id, (i - 1)::INTEGER AS pos, w[i] AS token FROM (SELECT doc_id AS id, {words('text')} AS w FROM documents), range(1, 100000) r(i) WHERE i <= len(w)")
 def t1_tokenize(spark, d):
-    found = docs(spark, d).withColumn("w", T.tokens(F.col("content")))
-    return found.select("id", F.size("w").alias("n"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first_token"))
+    """Every token of every text with its place."""
+    return docs(spark, d).select("id", F.posexplode(T.tokens(F.col("content"))).alias("pos", "token"))
 
 
 STOPS = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS if "'" not in w) + "]"
 
 
-@query(f"SELECT doc_id AS id, len(list_filter({words('text')}, lambda w: NOT list_contains({STOPS}, w)))::INTEGER AS n FROM documents")
+@query(f"SELECT id, token, count(*) AS n FROM (SELECT doc_id AS id, unnest(list_filter({words('text')}, lambda w: NOT list_contains({STOPS}, w))) AS token FROM documents) GROUP BY id, token")
 def t2_stopwords(spark, d):
-    return docs(spark, d).select("id", F.size(T.without_stopwords(T.tokens(F.col("content")))).alias("n"))
+    left = docs(spark, d).select("id", F.explode(T.without_stopwords(T.tokens(F.col("content")))).alias("token"))
+    return left.groupBy("id", "token").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -32,9 +33,11 @@ def t3_stems(spark, d):
     return T.stems(terms)
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id AS id, {words('text')} AS w FROM documents), known AS (SELECT term, {fnv32('term')} AS term_id FROM (SELECT DISTINCT unnest(w) AS term FROM w))
+ SELECT id, pos, term_id FROM (SELECT id, (i - 1)::INTEGER AS pos, w[i] AS term FROM w, range(1, 100000) r(i) WHERE i <= len(w)) JOIN known USING (term)""")
 def t4_term_ids(spark, d):
-    return docs(spark, d).select("id", T.term_ids(T.tokens(F.col("content"))).alias("ids"))
+    """The FNV-1a number of every token of every text."""
+    return docs(spark, d).select("id", F.posexplode(T.term_ids(T.tokens(F.col("content")))).alias("pos", "term_id"))
 
 
 @query(f"SELECT id, term, tf, dl::BIGINT AS dl FROM {POSTS}")
@@ -64,7 +67,7 @@ def bm25(posts: str, where: str = "TRUE", by: str = "") -> str:
 
 @query(f"SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS rank, id, round(score, 6) AS score FROM {bm25(POSTS)} ORDER BY rank LIMIT 20")
 def t8_bm25(spark, d):
-    found = text_search.search(text_search.postings(docs(spark, d), "simple"), ASKED.split(), 20)
+    found = text_search.search_texts(docs(spark, d), ASKED.split(), 20, "simple")
     return tidy(search.ranked(found, -F.col("score")), "rank", "id", "score")
 
 
@@ -72,14 +75,21 @@ def t8_bm25(spark, d):
  JOIN documents d ON d.doc_id = b.id""")
 def t9_search_text_filtered(spark, d):
     every = docs(spark, d)
-    found = text_search.search(text_search.postings(every, "simple"), ASKED.split(), 15, admitted=L.where(every, L.lt("n_chars", 1500)))
+    found = text_search.search_texts(every, ASKED.split(), 15, "simple", admitted=L.compile_filter(L.lt("n_chars", 1500), L.fields_of(every)))
     return tidy(every.join(F.broadcast(found), "id"), "id", "score", "lang")  # fifteen hits
 
 
 @query()
 def t9_search_text_english(spark, d):
     terms = text_search.query_terms("the licensed works of others", "english", spark)
-    return tidy(text_search.search(text_search.postings(docs(spark, d), "english"), terms, 20), "id", "score")
+    return tidy(text_search.search_texts(docs(spark, d), terms, 20, "english"), "id", "score")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS rank, id, round(score, 6) AS score FROM {bm25(POSTS)} ORDER BY rank LIMIT 20")
+def t8_bm25_over_postings(spark, d):
+    """The same by postings, the form for an index that many queries share."""
+    found = text_search.search(text_search.postings(docs(spark, d), "simple"), ASKED.split(), 20)
+    return tidy(search.ranked(found, -F.col("score")), "rank", "id", "score")
 
 
 @query(f"""SELECT w.term, coalesce(df, 0) AS df, n, token_total::BIGINT AS token_total FROM (VALUES ('license'), ('from'), ('nosuchword')) w(term)
@@ -90,30 +100,47 @@ def t10_corpus_stats(spark, d):
 
 @query(f"SELECT id, round(score, 6) AS score FROM {bm25(f'(SELECT *, id % 4 AS part FROM {POSTS})', by='part')} ORDER BY score DESC, id LIMIT 20")
 def t11_partition_idf(spark, d):
-    posts = text_search.postings(docs(spark, d), "simple").withColumn("part", F.col("id") % 4)
-    return tidy(text_search.search(posts, ASKED.split(), 20, partition="part"), "id", "score")
+    return tidy(text_search.search_texts(docs(spark, d).withColumn("part", F.col("id") % 4), ASKED.split(), 20, "simple", partition="part"), "id", "score")
 
 
-@query(r"""SELECT doc_id AS id, len(p)::INTEGER AS n, coalesce(p[1], '') AS first_paragraph FROM (SELECT doc_id,
- list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents)""")
+@query(r"""SELECT id, (i - 1)::INTEGER AS pos, p[i] AS paragraph FROM (SELECT doc_id AS id,
+ list_filter(list_transform(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), '.' || chr(10), '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS p FROM documents), range(1, 100000) r(i) WHERE i <= len(p)""")
 def c13_paragraphs(spark, d):
+    """Every paragraph; a full stop at a line's end is made a paragraph's end here, since the texts have few blank lines."""
     spaced = F.replace(F.col("content"), F.lit(".\n"), F.lit(".\n\n"))
-    found = docs(spark, d).withColumn("p", T.paragraphs(spaced))
-    return found.select("id", F.size("p").alias("n"), F.coalesce(F.get("p", F.lit(0)), F.lit("")).alias("first_paragraph"))
+    return docs(spark, d).select("id", F.posexplode(T.paragraphs(spaced)).alias("pos", "paragraph"))
 
 
-@query()
+DOCUMENTS = "(SELECT doc_id::VARCHAR AS source, text FROM documents)"
+
+
+@query(f"SELECT * FROM {chunk_sql(DOCUMENTS, 128, 16)}")
 def c12_chunks(spark, d):
     return T.chunks(docs(spark, d), "id", "content", 128, 16)
 
 
+@query(f"SELECT source, index, {signed(fnv64('name'))} AS id FROM (SELECT source, index, source || '#' || index AS name FROM {chunk_sql(DOCUMENTS, 128, 16)})")
+def c11_chunk_ids(spark, d):
+    chunks = T.chunks(docs(spark, d), "id", "content", 128, 16)
+    return chunks.select("source", "index", apps.chunk_id(F.col("source"), F.col("index")).alias("id"))
+
+
+@query(f"SELECT term, {fnv32('term')} AS short, {signed(fnv64('term'))} AS long FROM (SELECT DISTINCT unnest({words('text')}) AS term FROM documents)")
+def c8_fnv1a(spark, d):
+    terms = docs(spark, d).select(F.explode(T.tokens(F.col("content"))).alias("term")).distinct()
+    return terms.select("term", T.term_ids(F.array("term"))[0].alias("short"), T.term_ids(F.array("term"), bits=64)[0].alias("long"))
+
+
 @query("""SELECT '[1] (0) ' || (SELECT left(text, 40) FROM documents WHERE doc_id = 0) || chr(10) || '[2] (3) ' || (SELECT left(text, 40) FROM documents WHERE doc_id = 3) || chr(10) || chr(10) || 'Question: why?' AS prompt""")
 def c14_prompt(spark, d):
     rows = docs(spark, d).where("id IN (0, 3)").select((F.col("id") / 3).cast("int").alias("rank"), F.col("id").cast("string").alias("source"), F.left("content", F.lit(40)).alias("content"))
     return apps.prompt(rows, "why?")
 
 
-@query()
+PLAIN = r"trim(regexp_replace(regexp_replace(regexp_replace(html, '(<script[^>]*>.*?</script>|<style[^>]*>.*?</style>)', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '[ \t\n\x0b\f\r]+', ' ', 'g'))"
+
+
+@query(f"SELECT * FROM {chunk_sql(f'(SELECT page_id::VARCHAR AS source, {PLAIN} AS text FROM pages)', 256, 32)}")
 def s15_ingest_text(spark, d):
     pages = table(spark, d, "pages").select("page_id", files.strip_tags(F.col("html")).alias("content"))
     return T.chunks(pages, "page_id", "content", 256, 32)
@@ -126,9 +153,12 @@ def w22_replace_source(spark, d):
     return points.replace_source(every, new.select("source", "id", "content")).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT (lang, source)) AS scopes FROM documents")
+@query("SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY lang, source) AS first_of_scope, count(*) OVER (PARTITION BY lang, source) AS n FROM documents")
 def c15_scope_keys(spark, d):
-    return docs(spark, d).select(apps.scope_key(F.col("lang"), F.col("source")).alias("k")).agg(F.countDistinct("k").alias("scopes"))
+    """With which documents each one shares its scope."""
+    keyed = docs(spark, d).select("id", apps.scope_key(F.col("lang"), F.col("source")).alias("k"))
+    groups = keyed.groupBy("k").agg(F.min("id").alias("first_of_scope"), F.count("*").alias("n"))
+    return keyed.join(groups, "k").select("id", "first_of_scope", "n")
 
 
 @query("SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'default' END AS tenant, source AS collection FROM documents")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import quant, search
+from ..operators import fusion, quant, search
 from ..plans import filters as L
 from .base import NAMED, cosine, dense, dot, l2, multi, named, nearest, q, query, table, tidy, vector
 
@@ -33,8 +33,7 @@ def v1_knn_dot(spark, d):
  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0) WHERE rank < 10""")
 def v1_knn_batch(spark, d):
     points = dense(spark, d)
-    asked = {r["id"]: r["vector"] for r in points.where("id % 50 = 0").collect()}  # the stated query set
-    return tidy(search.knn_batch(points, asked, 10), "query_id", "rank", "id", "distance")
+    return tidy(search.knn_batch(points, points.where("id % 50 = 0"), 10), "query_id", "rank", "id", "distance")  # the stated query set
 
 
 @query(f"{PICK}, label FROM ({nearest(cosine('embedding', q(7)), 10, 'label IN (1, 3, 5) AND NOT vec_id < 50', more=', label')})")
@@ -67,9 +66,21 @@ def v5_group_candidates(spark, d):
     return tidy(pool.groupBy("label").agg(F.count("*").alias("candidates"), F.min("distance").alias("best")), "label", "candidates", "best")
 
 
-@query()
+def mmr_sql(point: int, k: int, lam: float, distance) -> str:  # the point itself takes no part: at a half it would tie with all others
+    """Greedy maximal marginal relevance over the fifty nearest, one pick a step."""
+    pick = f"""list_sort(list_transform(list_filter(range(1, len(d) + 1), lambda i: NOT list_contains(chosen, i)),
+ lambda i: struct_pack(w := -({lam}::DOUBLE * -d[i] - {1 - lam}::DOUBLE * list_max(list_transform(chosen, lambda s: -m[i][s]))), i := i)))[1].i"""
+    return f"""WITH RECURSIVE pool AS (SELECT vec_id AS id, embedding, {distance('embedding', q(point))} AS distance FROM embeddings WHERE vec_id <> {point} ORDER BY distance, id LIMIT 50),
+ numbered AS (SELECT *, row_number() OVER (ORDER BY distance, id) AS n FROM pool),
+ pairs AS (SELECT a.n AS x, list({distance('a.embedding', 'b.embedding')} ORDER BY b.n) AS row FROM numbered a, numbered b GROUP BY a.n),
+ start AS (SELECT (SELECT list(distance ORDER BY n) FROM numbered) AS d, (SELECT list(row ORDER BY x) FROM pairs) AS m),
+ run AS (SELECT d, m, [1::BIGINT] AS chosen FROM start UNION ALL SELECT d, m, list_append(chosen, {pick}) FROM run WHERE len(chosen) < {k})
+ SELECT i - 1 AS rank, id, round(distance, 6) AS distance FROM (SELECT chosen FROM run WHERE len(chosen) = {k}), range(1, {k + 1}) r(i), numbered WHERE numbered.n = chosen[i]"""
+
+
+@query(mmr_sql(7, 10, 0.5, cosine))
 def v6_mmr(spark, d):
-    return tidy(search.mmr(dense(spark, d), vector(spark, d, 7), 10, 0.5), "rank", "id", "distance")
+    return tidy(search.mmr(dense(spark, d).where("id <> 7"), vector(spark, d, 7), 10, 0.5), "rank", "id", "distance")
 
 
 MEANS = "SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) FILTER (vec_id IN (1, 2, 3)) - avg(embedding[i]::DOUBLE) FILTER (vec_id IN (8, 9)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY i)"
@@ -164,9 +175,10 @@ def c1_vector_kernels(spark, d):
     return tidy(dense(spark, d), "id", V.dot(v, one).alias("dot"), V.l2_squared(v, one).alias("l2"), V.norm(v).alias("norm"))
 
 
-@query(f"SELECT vec_id AS id, round(x / sqrt({dot('embedding', 'embedding')}), 6) AS first_value FROM (SELECT vec_id, embedding, embedding[1]::DOUBLE AS x FROM embeddings)")
+@query(f"SELECT vec_id AS id, i - 1 AS pos, round(embedding[i]::DOUBLE / sqrt({dot('embedding', 'embedding')}), 6) AS value FROM embeddings, range(1, 65) r(i)")
 def c3_normalize(spark, d):
-    return tidy(dense(spark, d), "id", V.normalize(F.col("vector"))[0].alias("first_value"))
+    parts = dense(spark, d).select("id", F.posexplode(V.normalize(F.col("vector"))).alias("pos", "value"))
+    return tidy(parts, "id", F.col("pos").cast("long").alias("pos"), "value")
 
 
 CODES = "list_transform(embedding::DOUBLE[], lambda x: round(greatest(-1.0, least(1.0, x)) * 127)::INT)"
@@ -191,24 +203,172 @@ def q5_scalar_ranges(spark, d):
     return quant.scalar_ranges(dense(spark, d)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query()
+EXACT = f"{PICK} FROM ({nearest(l2('embedding', q(7)), 10)})"
+
+
+@query(EXACT)
 def q6_product_quantization(spark, d):
+    """256 centroids for each of 8 parts; of the hundred best by codes the ten best by exact distance are all of the true ones."""
     points = dense(spark, d)
     books = quant.train_pq(points, 8)
     near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 100)
     return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
 
 
-@query()
+@query(EXACT)
+def q7_four_bit_codes(spark, d):
+    """16 centroids for each of 16 parts, two codes to a byte, sums of byte-wide tables, then exact distances of the best hundred."""
+    points = dense(spark, d)
+    books = quant.train_pq(points, 16, 16)
+    near = quant.pq4_search(quant.pq4_encode(points, books), books, vector(spark, d, 7), 100)
+    return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
+
+
+@query(f"{PICK} FROM ({nearest('-' + dot('embedding', q(7)), 10)})")
+def q10_anisotropic_codes(spark, d):
+    """Codebooks that weigh the error along a vector four times as much, for inner products."""
+    points = dense(spark, d)
+    books = quant.train_pq(points, 8, eta=4.0)
+    near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 100)
+    return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "dot")), "rank", "id", "distance")
+
+
+@query(f"{PICK} FROM ({nearest(cosine('embedding', q(7)), 10)})")
 def q12_ivf(spark, d):
+    """Exact search in the 12 nearest of 16 cells."""
     points = dense(spark, d)
     centres = quant.train_ivf(points, 16)
     return tidy(search.ranked(quant.ivf_search(quant.ivf_assign(points, centres), centres, vector(spark, d, 7), 10)), "rank", "id", "distance")
 
 
+@query("SELECT 'same' AS growth, FALSE AS retrained UNION ALL SELECT 'small', FALSE UNION ALL SELECT 'moved', TRUE")
+def q13_drift_retrain(spark, d):
+    """A table that doubles keeps its cells, unless its points have moved; a small change is not looked at."""
+    points = dense(spark, d).select("id", "vector")
+    centres = quant.train_ivf(points, 8, "l2")
+    copy = points.withColumn("id", F.col("id") + 10**9)
+    moved = copy.withColumn("vector", F.transform("vector", lambda x: (x.cast("double") + 3.0).cast("float")))
+    grown = {"same": points.unionByName(copy), "small": points.unionByName(moved.where("id % 4 = 0")), "moved": points.unionByName(moved)}
+    rows = [(name, quant.retrain_on_drift(points, more, centres)[1]) for name, more in grown.items()]
+    return spark.createDataFrame(rows, "growth string, retrained boolean")
+
+
 @query(f"""WITH c AS (SELECT vec_id AS id, embedding, 1 - list_inner_product(({CODES})::DOUBLE[], {q(7)}::DOUBLE[]) / 127 AS approx FROM embeddings ORDER BY approx, id LIMIT 30)
  {PICK} FROM ({nearest(cosine('embedding', q(7)), 10, source='c', point='id')})""")
 def q16_rescore(spark, d):
     v, points = vector(spark, d, 7), dense(spark, d)
     coarse = points.withColumn("approx", V.sq8_distance(V.sq8(F.col("vector")), V.as_vector(v))).orderBy("approx", "id").limit(30)
     return tidy(search.ranked(search.knn(coarse, v, 10)), "rank", "id", "distance")
+
+
+@query(f"SELECT vec_id AS id, round({l2('embedding', q(3))}, 6) AS l2 FROM embeddings")
+def c2_l2_squared(spark, d):
+    return tidy(dense(spark, d), "id", V.l2_squared(F.col("vector"), V.as_vector(vector(spark, d, 3))).alias("l2"))
+
+
+TARGETS = f"(SELECT list(m ORDER BY i) AS v FROM (SELECT i, (avg(embedding[i]::DOUBLE) FILTER (vec_id IN (1, 2))) - (avg(embedding[i]::DOUBLE) FILTER (vec_id = 9)) AS m FROM embeddings, range(1, 65) r(i) GROUP BY i))"
+
+
+@query(f"WITH t AS {TARGETS} {PICK} FROM ({nearest(cosine('embedding', '(SELECT v FROM t)'), 10)})")
+def v10_recommend_vectors_average(spark, d):
+    """Examples given as vectors are no points, so none is left out."""
+    plus, minus = [vector(spark, d, i) for i in (1, 2)], [vector(spark, d, 9)]
+    return tidy(search.ranked(search.recommend_by_vectors(dense(spark, d), plus, minus, 10, strategy="average")), "rank", "id", "distance")
+
+
+@query(f"""WITH t AS ({CENTRE}), pool AS ({nearest(cosine('embedding', '(SELECT v FROM t)'), 50)}),
+ s AS (SELECT p.id, p.distance, greatest({sim(1)}, {sim(2)}) AS good, {sim(9)} AS bad FROM pool p JOIN embeddings e ON e.vec_id = p.id),
+ r AS (SELECT id, distance, CASE WHEN good > bad THEN good ELSE -bad END AS score FROM s)
+ SELECT row_number() OVER (ORDER BY score DESC, distance, id) - 1 AS rank, id, round(score, 6) AS score FROM r ORDER BY rank LIMIT 10""")
+def v10_recommend_vectors_best_score(spark, d):
+    found = search.recommend_by_vectors(dense(spark, d), [vector(spark, d, i) for i in (1, 2)], [vector(spark, d, 9)], 10)
+    return tidy(search.ranked(found, F.struct(-F.col("score"), "distance")), "rank", "id", "score")
+
+
+SEED = "SELECT list(m ORDER BY i) AS v FROM (SELECT i, avg(embedding[i]::DOUBLE) AS m FROM embeddings, range(1, 65) r(i) WHERE vec_id IN (1, 3) GROUP BY i)"
+CONTEXT = f"CASE WHEN -{dist(1)} >= -{dist(2)} THEN 1.0::DOUBLE ELSE -{dist(1)} + {dist(2)} END + CASE WHEN -{dist(3)} >= -{dist(4)} THEN 1.0::DOUBLE ELSE -{dist(3)} + {dist(4)} END"
+
+
+def discovery(where: str) -> str:
+    return f"""WITH t AS ({SEED}), pool AS ({nearest(cosine('embedding', '(SELECT v FROM t)'), 50, where)}),
+ s AS (SELECT p.id, p.distance, {CONTEXT} AS score FROM pool p JOIN embeddings e ON e.vec_id = p.id)
+ SELECT row_number() OVER (ORDER BY score DESC, distance, id) - 1 AS rank, id, round(score, 6) AS score FROM s ORDER BY rank LIMIT 10"""
+
+
+@query(discovery("vec_id NOT IN (1, 2, 3, 4)"))
+def v12_discover_by_ids(spark, d):
+    """Without a target the pool is seeded by the mean of the positives; a pair of which a point is missing is skipped."""
+    found = search.discover(dense(spark, d), [(1, 2), (3, 4), (10**12, 1)], None, 10)
+    return tidy(search.ranked(found, F.struct(-F.col("score"), "distance")), "rank", "id", "score")
+
+
+@query(discovery("TRUE"))
+def v12_discover_by_vectors(spark, d):
+    one, two, three, four = (vector(spark, d, i) for i in (1, 2, 3, 4))
+    found = search.discover_by_vectors(dense(spark, d), [(one, two), (three, four)], None, 10)
+    return tidy(search.ranked(found, F.struct(-F.col("score"), "distance")), "rank", "id", "score")
+
+
+@query(f"SELECT vec_id AS id, round(CASE WHEN vec_id % 11 = 0 THEN 0 ELSE {MAXSIM} END, 6) AS score FROM embeddings")
+def v14_maxsim_kernel(spark, d):
+    """The score of every document; one without vectors scores 0."""
+    v = vector(spark, d, 7)
+    unit = [V.unit(x) for x in (v[:16], v[32:48])]
+    tokens = F.when(F.col("id") % 11 == 0, F.slice("tokens", 1, 0)).otherwise(F.col("tokens"))
+    return tidy(multi(spark, d).withColumn("tokens", tokens), "id", V.maxsim(unit, F.transform("tokens", lambda t: V.normalize(t))).alias("score"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY score DESC, id) - 1 AS rank, id, round(score, 6) AS score FROM (SELECT vec_id AS id, {MAXSIM} AS score FROM embeddings) ORDER BY rank LIMIT 10")
+def j22_tokens_to_documents(spark, d):
+    """MaxSim by token: tokens exploded, the best product of each document and query vector, summed by document."""
+    v = vector(spark, d, 7)
+    asked = [V.unit(x) for x in (v[:16], v[32:48])]
+    tokens = multi(spark, d).select("id", F.explode("tokens").alias("t")).withColumn("t", V.normalize(F.col("t")))
+    best = tokens.groupBy("id").agg(*(F.max(V.dot(F.col("t"), V.as_vector(x))).alias(f"b{i}") for i, x in enumerate(asked)))
+    found = best.select("id", (F.col("b0") + F.col("b1")).alias("score")).orderBy(F.col("score").desc(), "id").limit(10)
+    return tidy(search.ranked(found, -F.col("score")), "rank", "id", "score")
+
+
+@query(f"SELECT label, id, rank FROM (SELECT label, vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY {cosine('embedding', q(11))}, vec_id) - 1 AS rank FROM embeddings) WHERE rank < 3")
+def a4_top_per_group(spark, d):
+    """The three nearest points of every label, over the whole table: a bounded heap for each label in each task."""
+    near = search.scored(dense(spark, d), vector(spark, d, 11))
+    return tidy(search.top_per_group(near, "label", 3), "label", "id", "rank")
+
+
+@query(f"SELECT id, round(distance, 6) AS distance FROM ({nearest(cosine('embedding', q(13)), 15)})")
+def o8_bounded_merge(spark, d):
+    """Fifteen of each of eight ranges of ids, merged."""
+    points = dense(spark, d)
+    parts = [search.knn(points.where(F.pmod(F.xxhash64("id"), F.lit(8)) == p), vector(spark, d, 13), 15) for p in range(8)]
+    return tidy(fusion.merge_lanes(parts, 15, False), "id", "distance")
+
+
+@query(f"SELECT h.rank, h.id, e.label, round(h.distance, 6) AS distance FROM ({nearest(cosine('embedding', q(21)), 12)}) h JOIN embeddings e ON e.vec_id = h.id")
+def j20_hits_to_points(spark, d):
+    """Hits joined with their points by id; the hits are broadcast, a dozen rows."""
+    hits = search.ranked(search.knn(dense(spark, d).select("id", "vector"), vector(spark, d, 21), 12)).select("id", "rank", "distance")
+    return tidy(dense(spark, d).select("id", "label").join(F.broadcast(hits), "id"), "rank", "id", "label", "distance")
+
+
+@query("SELECT vec_id AS id FROM embeddings WHERE label IN (1, 2, 3) AND vec_id % 3 = 0 AND vec_id BETWEEN 10 AND 400")
+def j21_candidate_intersection(spark, d):
+    """The points of three candidate sets, as a semi join of the smaller with the larger ones."""
+    points = dense(spark, d).select("id", "label")
+    sets = [points.where(c).select("id") for c in ("id BETWEEN 10 AND 400", "label IN (1, 2, 3)", "id % 3 = 0")]
+    return sets[0].join(sets[1], "id", "left_semi").join(sets[2], "id", "left_semi")
+
+
+@query(f"SELECT vec_id AS id, round(1 - list_inner_product(({CODES})::DOUBLE[], {q(3)}::DOUBLE[]) / 127, 6) AS distance FROM embeddings")
+def q2_sq8_distance(spark, d):
+    return tidy(dense(spark, d), "id", V.sq8_distance(V.sq8(F.col("vector")), V.as_vector(vector(spark, d, 3))).alias("distance"))
+
+
+@query(f"""WITH h AS (SELECT e.vec_id AS id, list_sum(list_transform(list_zip(e.embedding, o.embedding), lambda z: CASE WHEN (z[1] > 0) <> (z[2] > 0) THEN 1 ELSE 0 END))::BIGINT AS hamming FROM embeddings e, embeddings o WHERE o.vec_id = 3)
+ SELECT row_number() OVER (ORDER BY hamming, id) - 1 AS rank, id, hamming FROM h ORDER BY rank LIMIT 20""")
+def q4_binary_nearest(spark, d):
+    """The twenty nearest by sign bits."""
+    one = vector(spark, d, 3)
+    words = F.array(*[F.lit(sum(1 << i for i in range(32) if one[32 * w + i] > 0)).cast("long") for w in range(2)])
+    near = dense(spark, d).select("id", V.hamming(V.bq_words(F.col("vector"), 64), words).cast("long").alias("hamming"))
+    return tidy(search.ranked(near.orderBy("hamming", "id").limit(20), F.col("hamming")), "rank", "id", "hamming")

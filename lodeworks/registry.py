@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import base, filters, fusion, more, state, text, vectors  # noqa: F401  each registers its queries
+from .queries import base, filters, fusion, more, rest, state, text, vectors  # noqa: F401  each registers its queries
 
 FLAGSHIP = "v2_filtered_knn"
 
