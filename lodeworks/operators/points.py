@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.filters import FilterError, certain, compile_filter, fields_of, matches_all
+from ..plans.filters import FilterError, certain, compile_filter, fields_of, hollow
 
 
 class WriteError(ValueError):
@@ -95,7 +95,7 @@ def delete(base: DataFrame, ids: DataFrame) -> DataFrame:
 
 def delete_by_filter(base: DataFrame, tree: dict) -> DataFrame:
     """What stays; a filter that is empty is refused."""
-    if matches_all(tree):
+    if hollow(tree):
         raise FilterError("an empty filter would delete everything")
     return base.where(~certain(compile_filter(tree, fields_of(base))))
 

@@ -30,7 +30,7 @@ def scored(points: DataFrame, query: Sequence[float], metric: str = "cosine", fi
     """Admitted points with their distance; filters run before scoring."""
     admitted = points.where(compile_filter(filter, fields_of(points))) if filter else points
     admitted = admitted.where(F.col(vector).isNotNull())
-    return admitted.withColumn("distance", V.distance(metric, F.col(vector), V.as_vector(query)))
+    return admitted.withColumn("distance", V.distance_to(metric, F.col(vector), query))
 
 
 def knn(points: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", filter=None, vector: str = "vector") -> DataFrame:
@@ -134,7 +134,8 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "cosi
     while True:
         rows = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(QUERIES).collect()
         if rows or not lanes:
-            names, vectors = np.array([r["id"] for r in rows], np.int64), np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
+            names = np.array([r["id"] for r in rows], np.int64)
+            vectors = np.array([r["vector"] for r in rows], float) if rows else np.zeros((0, 1))
             lanes.append(_knn_pass(points if rows else points.limit(0), names, vectors, k, metric))
         if len(rows) < QUERIES:
             break

@@ -351,10 +351,10 @@ def compile_filter(tree: dict | str | None, fields: dict[str, Field]) -> Column:
     return _leaf(node, fields)
 
 
-def matches_all(tree: dict | str | None) -> bool:
-    """Whether a tree is the empty filter."""
+def hollow(tree: dict | str | None) -> bool:
+    """Whether a tree says nothing: it is empty, or a group without members."""
     node = json.loads(tree) if isinstance(tree, str) else tree
-    return not node or node.get("op") == "and" and not _members(node)
+    return not node or node.get("op") in ("and", "or") and not _members(node)
 
 
 def where(df: DataFrame, tree: dict | str | None, nulls: str = "absent") -> DataFrame:

@@ -48,7 +48,7 @@ def v19_sparse_dot(spark, d):
     return tidy(search.sparse_dot(sparse(spark, d), {"the": 0.5, "von": 2.0}).withColumnRenamed("score", "dot"), "id", "dot")
 
 
-@query(f"SELECT id, round(score, 6) AS score FROM {SPARSE} WHERE id % 7 <> 0 ORDER BY score DESC, id LIMIT 5")
+@query(f"SELECT id, round(score, 6) AS score FROM {SPARSE} WHERE id % 7 <> 0 AND id IN (SELECT vec_id FROM embeddings) ORDER BY score DESC, id LIMIT 5")
 def v20_named_sparse(spark, d):
     lane = sparse_lane(spark, d).join(named(spark, d).where(F.col("vectors")["right"].isNotNull()).select("id"), "id", "left_semi")
     return tidy(lane.orderBy(F.col("score").desc(), "id").limit(5), "id", "score")
@@ -149,9 +149,9 @@ def c22_mmr_cosine(spark, d):
 
 @query(EXACT)
 def q8_residual_quantization(spark, d):
-    """Two layers of codes; the hundred nearest by the restored vectors, then exact distances."""
+    """Two layers of codes; the 250 nearest by the restored vectors, then exact distances."""
     every, asked = dense(spark, d), vector(spark, d, 7)
-    near = search.knn(quant.residual_decode(every, quant.train_residual(every, 8)), asked, 100, "l2")
+    near = search.knn(quant.residual_decode(every, quant.train_residual(every, 8)), asked, 250, "l2")
     return tidy(search.ranked(quant.rescored(near, every, asked, 10, "l2")), "rank", "id", "distance")
 
 
@@ -161,7 +161,7 @@ def q9_rotated_quantization(spark, d):
     rotation = quant.train_rotation(quant.training_matrix(every), 8)
     turned = quant.rotated(every, rotation)
     books = quant.train_pq(turned, 8)
-    near = quant.pq_search(quant.pq_encode(turned, books), books, (np.array(vector(spark, d, 7)) @ rotation).tolist(), 100)
+    near = quant.pq_search(quant.pq_encode(turned, books), books, (np.array(vector(spark, d, 7)) @ rotation).tolist(), 250)
     return tidy(search.ranked(quant.rescored(near, every, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
 
 

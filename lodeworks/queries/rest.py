@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from ..client import Store
 from ..functions import payload as P
 from ..operators import apps, fusion, points, scroll, search, text_search
 from ..plans import filters as L
@@ -17,6 +18,7 @@ from .filters import DOCS, ORDERS, RATED, orders
 from .fusion import DENSE, K, MAXSIM, OUT, SPARSE, TEXT, WEIGHTS, data, dense_lane, leaf, minmax, rrf, scaled, scored_lane, sparse, sparse_lane, text_lane
 from .more import LEFT
 from .state import scratch
+from .text import ASKED, bm25
 from .vectors import CONTEXT, SEED
 
 # reads
@@ -569,3 +571,25 @@ def c18_memory_ids(spark, d):
     """Which documents are one memory, since namespace and key agree."""
     keyed = docs(spark, d).select("id", apps.memory_id(F.col("source"), F.col("lang")).alias("m"))
     return keyed.join(keyed.groupBy("m").agg(F.min("id").alias("first_of_memory")), "m").select("id", "first_of_memory")
+
+
+# one object for all of it
+
+
+@query(f"""SELECT 'search' AS verb, id, round(distance, 6) AS value FROM ({nearest(cosine('embedding', q(7)), 5, 'vec_id % 3 <> 0 AND label <> 2')})
+ UNION ALL SELECT 'text', id, round(score, 6) FROM (SELECT * FROM {bm25(f'(SELECT * FROM {POSTS} WHERE id IN (SELECT vec_id FROM embeddings) AND id % 3 <> 0)')} ORDER BY score DESC, id LIMIT 5)
+ UNION ALL SELECT 'label', label, count(*)::DOUBLE FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id IN (SELECT doc_id FROM documents) AND label = 4 GROUP BY label""")
+def z1_client(spark, d):
+    """A collection is written twice and thinned out, and then searched by vectors and by text through an alias."""
+    store = Store(spark, scratch(spark))
+    rows = dense(spark, d).join(docs(spark, d).select("id", "content"), "id", "left")
+    books = store.create("books", 64)
+    books.upsert(rows.where("id % 2 = 0"))
+    books.insert(rows)
+    books.delete(rows.where("id % 3 = 0"))
+    store.alias("shelf", "books")
+    shelf = store.collection("shelf")
+    near = shelf.search(vector(spark, d, 7), 5, L.ne("label", 2)).select(F.lit("search").alias("verb"), "id", F.col("distance").alias("value"))
+    text = shelf.search_text(ASKED, 5, "simple").select(F.lit("text"), "id", "score")
+    known = shelf.table().where("label = 4 AND content IS NOT NULL").groupBy("label").agg(F.count("*").alias("n"))
+    return tidy(near.union(text).union(known.select(F.lit("label"), F.col("label").cast("long"), F.col("n").cast("double"))), "verb", "id", "value")

@@ -53,14 +53,14 @@ def t7_index_stats(spark, d):
 ASKED = "license from restin"
 
 
-def bm25(posts: str, where: str = "TRUE", by: str = "") -> str:
-    """id, score over postings with query terms ``license from restin``; ``by`` names a partition column."""
+def bm25(posts: str, where: str = "TRUE", by: str = "", terms: tuple[str, ...] = ("license", "from", "restin")) -> str:
+    """id, score over postings with query terms, ``license from restin`` if not said; ``by`` names a partition column."""
     group = f"GROUP BY {by}" if by else ""
     using = f"USING ({by})" if by else "ON TRUE"
     term = f"term, {by}" if by else "term"
     return f"""(WITH p AS MATERIALIZED (SELECT * FROM {posts}),
  s AS (SELECT {by + ',' if by else ''} count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT id, dl {',' + by if by else ''} FROM p) {group}),
- f AS (SELECT {term}, count(*) AS df FROM p WHERE term IN ('license', 'from', 'restin') GROUP BY {term})
+ f AS (SELECT {term}, count(*) AS df FROM p WHERE term IN ({', '.join(map(repr, terms))}) GROUP BY {term})
  SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score
  FROM p JOIN f USING ({term}) JOIN s {using} WHERE {where} GROUP BY id)"""
 
@@ -79,7 +79,14 @@ def t9_search_text_filtered(spark, d):
     return tidy(every.join(F.broadcast(found), "id"), "id", "score", "lang")  # fifteen hits
 
 
-@query()
+# Words of the texts that the English analyzer takes for the query's terms.
+FORMS = {"licens": ("license", "licenses", "licensed", "licensing"), "work": ("work", "works", "worked", "working"), "other": ("other", "others")}
+STEMMED = f"""(SELECT id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY id) AS dl FROM
+ (SELECT id, CASE {' '.join(f"WHEN w IN ({', '.join(map(repr, v))}) THEN '{k}'" for k, v in FORMS.items())} ELSE '=' || w END AS term FROM
+ (SELECT doc_id AS id, unnest(list_filter({words('text')}, lambda w: NOT list_contains({STOPS}, w))) AS w FROM documents)) GROUP BY id, term)"""
+
+
+@query(f"SELECT id, round(score, 6) AS score FROM {bm25(STEMMED, terms=tuple(FORMS))} ORDER BY score DESC, id LIMIT 20")
 def t9_search_text_english(spark, d):
     terms = text_search.query_terms("the licensed works of others", "english", spark)
     return tidy(text_search.search_texts(docs(spark, d), terms, 20, "english"), "id", "score")

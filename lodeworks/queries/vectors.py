@@ -208,19 +208,19 @@ EXACT = f"{PICK} FROM ({nearest(l2('embedding', q(7)), 10)})"
 
 @query(EXACT)
 def q6_product_quantization(spark, d):
-    """256 centroids for each of 8 parts; of the hundred best by codes the ten best by exact distance are all of the true ones."""
+    """256 centroids for each of 8 parts; of the 250 best by codes the ten best by exact distance are all of the true ones."""
     points = dense(spark, d)
     books = quant.train_pq(points, 8)
-    near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 100)
+    near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 250)
     return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
 
 
 @query(EXACT)
 def q7_four_bit_codes(spark, d):
-    """16 centroids for each of 16 parts, two codes to a byte, sums of byte-wide tables, then exact distances of the best hundred."""
+    """16 centroids for each of 32 parts, two codes to a byte, sums of byte-wide tables, then exact distances of the best 250."""
     points = dense(spark, d)
-    books = quant.train_pq(points, 16, 16)
-    near = quant.pq4_search(quant.pq4_encode(points, books), books, vector(spark, d, 7), 100)
+    books = quant.train_pq(points, 32, 16)
+    near = quant.pq4_search(quant.pq4_encode(points, books), books, vector(spark, d, 7), 250)
     return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "l2")), "rank", "id", "distance")
 
 
@@ -229,7 +229,7 @@ def q10_anisotropic_codes(spark, d):
     """Codebooks that weigh the error along a vector four times as much, for inner products."""
     points = dense(spark, d)
     books = quant.train_pq(points, 8, eta=4.0)
-    near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 100)
+    near = quant.pq_search(quant.pq_encode(points, books), books, vector(spark, d, 7), 250)
     return tidy(search.ranked(quant.rescored(near, points, vector(spark, d, 7), 10, "dot")), "rank", "id", "distance")
 
 

@@ -131,6 +131,10 @@ class Catalog:
         found = self._load()["collections"][self.resolve(name)]
         return Config(**{k: v for k, v in found.items() if k in Config.__dataclass_fields__})
 
+    def version(self, name: str) -> int:
+        """The newest version of a collection's table, 0 before the first."""
+        return self._load()["collections"][self.resolve(name)]["version"]
+
     def aliases(self) -> dict[str, str]:
         return self._load()["aliases"]
 

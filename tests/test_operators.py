@@ -29,11 +29,45 @@ def test_knn_and_batches_agree_with_numpy(corpus, metric):
     for point in (0, 17):
         expected = np.argsort(V.distances(metric, x, x[point][None])[:, 0], kind="stable")[:7].tolist()
         assert [r["id"] for r in search.knn(df, x[point], 7, metric).collect()] == expected
-        found = search.knn_batch(df, {point: x[point]}, 7, metric).orderBy("rank").collect()
+        found = search.knn_batch(df, df.where(f"id = {point}"), 7, metric).orderBy("rank").collect()
         assert [r["id"] for r in found] == expected
     assert search.knn(df, x[0], 0, metric).count() == 0
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+@pytest.mark.parametrize("queries, product", [(4096, 2048), (7, 13)])
+def test_batches_in_blocks_agree_with_numpy(corpus, monkeypatch, metric, queries, product):
+    x, df = corpus
+    monkeypatch.setattr(search, "QUERIES", queries)  # several passes
+    monkeypatch.setattr(search, "PRODUCT", product)
+    d = V.distances(metric, x.astype(np.float32), x.astype(np.float32)[::17])
+    expected = {(17 * j, r): int(i) for j in range(d.shape[1]) for r, i in enumerate(np.lexsort((np.arange(400), d[:, j].round(12)))[:5])}
+    rows = search.knn_batch(df, df.where("id % 17 = 0"), 5, metric).collect()
+    assert {(r["query_id"], r["rank"]): r["id"] for r in rows} == expected
+    assert search.knn_batch(df, df.limit(0), 5, metric).count() == 0 and search.knn_batch(df.limit(0), df.where("id = 3"), 5, metric).count() == 0
+
+
+def test_batches_with_ties_and_few_points(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(9)], "id long, vector array<float>")
+    rows = search.knn_batch(df, df.where("id = 0"), 7).orderBy("rank").collect()
+    assert [r["id"] for r in rows] == [0, 2, 4, 6, 8, 1, 3]
+    assert search.knn_batch(df, df.where("id = 0"), 50).count() == 9
+
+
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_both_distances_agree(corpus, spark, metric):
+    from pyspark.sql import functions as F
+
+    x, df = corpus
+    more = df.select("id", "vector").unionByName(spark.createDataFrame([(900, None), (901, [0.0] * 16)], "id long, vector array<float>"))
+    rows = more.select(V.distance(metric, F.col("vector"), V.as_vector(x[3])).alias("a"), V.distance_to(metric, F.col("vector"), x[3]).alias("b")).collect()
+    assert all((r["a"] is None) == (r["b"] is None) and (r["a"] is None or abs(r["a"] - r["b"]) < 1e-9) for r in rows) and sum(r["b"] is None for r in rows) == 1
+    with pytest.raises(Exception):
+        search.knn(df, [1.0, 2.0], 3, metric).collect()
+    with pytest.raises(ValueError):
+        search.knn(df, x[0], 3, "hamming")
+
+
 def test_zero_vector_and_ties(spark):
     df = spark.createDataFrame([(2, [0.0, 0.0]), (1, [0.0, 0.0]), (0, [1.0, 0.0])], "id long, vector array<float>")
     rows = search.knn(df, [1.0, 0.0], 3).collect()
@@ -69,6 +103,15 @@ def lanes(spark):
     return dense, text
 
 
+def test_hybrid_lanes(spark):
+    dense, text = lanes(spark)
+    assert [(r["lane"], r["rank"], r["id"]) for r in fusion.lanes(dense, text).orderBy("lane", "rank").collect()] == [("first", i, i + 1) for i in range(3)] + [("second", 0, 3), ("second", 1, 1), ("second", 2, 4)]
+    assert [r["id"] for r in fusion.hybrid(dense, text.limit(0), 2).collect()] == [1, 2]
+    assert [r["id"] for r in fusion.hybrid(dense.limit(0), text, 2).collect()] == [3, 1]
+    assert [r["id"] for r in fusion.hybrid(dense, text, 2).collect()] == [1, 3]
+    assert fusion.lane_depth(10) == 50 and fusion.lane_depth(80) == 80 and fusion.lane_depth(10, 5) == 5
+
+
 def test_fusion_literals(spark):
     dense, text = lanes(spark)
     got = [(r["id"], r["score"]) for r in fusion.fuse(dense, text).collect()]
@@ -209,8 +252,11 @@ def test_term_ids_query_covers_the_whole_text(spark, tmp_path):
     words = [f"w{i % 17}" for i in range(40)]
     rows = [(1, " ".join(words), "en", "s", 1), (2, "", "en", "s", 0), (3, "a", "en", "s", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["id"]: r["ids"] for r in t4_term_ids(spark, str(tmp_path)).collect()}
-    assert got == {1: [T.fnv1a(w.encode()) for w in words], 2: [], 3: [T.fnv1a(b"a")]}
+    got = {}
+    for r in t4_term_ids(spark, str(tmp_path)).orderBy("id", "pos").collect():
+        assert r["pos"] == len(got.setdefault(r["id"], []))
+        got[r["id"]].append(r["term_id"])
+    assert got == {1: [T.fnv1a(w.encode()) for w in words], 3: [T.fnv1a(b"a")]}
 
 
 def test_deletes_are_guarded(corpus):
@@ -256,6 +302,155 @@ def test_catalog(spark, tmp_path):
     assert catalog.aliases() == {}
 
 
+def test_writers_of_one_catalog_lose_nothing(spark, tmp_path, monkeypatch):
+    one, two = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path))
+    plain = one._read
+
+    def overtaken():
+        found = plain()
+        if not any(n == "b" for n in found[1]["collections"]):
+            two.create(Config("b", 2))  # after the read, before the write
+        return found
+
+    monkeypatch.setattr(one, "_read", overtaken)
+    one.create(Config("a", 2))
+    assert two.names() == ["a", "b"] and one._versions() == [1, 2]
+    for i in range(12):
+        two.swap_aliases([("x", "ab"[i % 2])])
+    assert len(two._versions()) == Catalog.KEPT and two.aliases() == {"x": "b"}
+    monkeypatch.setattr(one, "_write", lambda number, state: False)
+    with pytest.raises(CatalogError):
+        one.create(Config("c", 2))
+    assert two.names() == ["a", "b"]
+
+
+def test_a_lost_race_for_a_table_version_is_refused(spark, tmp_path):
+    one, two = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path))
+    one.create(Config("a", 2))
+
+    class Racing:
+        """A table whose writing takes so long that another writer is done first."""
+
+        def __init__(self, df):
+            self.df = df
+
+        @property
+        def write(self):
+            two._change(lambda s: s["collections"]["a"].update(version=1))
+            return self.df.write
+
+    with pytest.raises(CatalogError):
+        one.write("a", Racing(spark.range(3)))
+
+
+def test_bulk_and_tiers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    catalog = Catalog(spark, f"{tmp_path}/warm")
+    catalog.create(Config("a", 2))
+    for bad in (lambda: catalog.build("a"), lambda: catalog.evict("a", str(tmp_path)), lambda: catalog.promote("a")):
+        with pytest.raises(CatalogError):
+            bad()
+    catalog.stage("a", spark.range(4).withColumn("seq", F.col("id") + 10))
+    catalog.stage("a", spark.range(2).withColumn("seq", F.col("id")))
+    assert catalog.build("a") == 1
+    assert sorted((r["id"], r["seq"]) for r in catalog.read("a").collect()) == [(i, i + 10) for i in range(4)]
+    catalog.touch("a", 50)
+    assert catalog.sweep_idle(f"{tmp_path}/cold", 60, 20) == [] and catalog.sweep_idle(f"{tmp_path}/cold", 90, 20) == ["a"]
+    with pytest.raises(CatalogError):
+        catalog.read("a")
+    catalog.promote("a")
+    assert catalog.read("a").count() == 4
+
+
+def test_backups(spark, tmp_path):
+    from lodeworks.sources import backup
+
+    with pytest.raises(ValueError):
+        backup.restore_latest(spark, str(tmp_path), "a")
+    for at in (900, 1000, 20):
+        backup.save(spark.range(at), str(tmp_path), "a", at)
+    assert backup.times(spark, str(tmp_path), "a") == [20, 900, 1000] and backup.restore_latest(spark, str(tmp_path), "a").count() == 1000
+    with pytest.raises(Exception):
+        backup.save(spark.range(1), str(tmp_path), "a", 20)
+
+
+def test_repeated_ids_in_write_batches(spark):
+    base = spark.createDataFrame([(1, "old", 1), (9, "old", 3)], "id long, v string, version long")
+    rows = spark.createDataFrame([(1, "a", 0, 1, 5), (1, "b", 0, 1, 4), (2, "c", 0, 0, 7), (2, "d", 0, 0, 6), (9, "e", 0, 2, 1)], "id long, v string, version long, expected long, seq long").repartition(3)
+    got = lambda df: sorted((r["id"], r["v"]) for r in df.collect())
+    new, clashes = points.insert(base, rows, "seq")
+    assert got(new) == [(1, "old"), (2, "d"), (9, "old")] and got(clashes) == [(1, "a"), (1, "b"), (2, "c"), (9, "e")]
+    assert got(points.upsert(base, rows, "seq")) == [(1, "a"), (2, "c"), (9, "e")]
+    now, lost = points.compare_and_set(base, rows, "seq")
+    assert sorted((r["id"], r["v"], r["version"]) for r in now.collect()) == [(1, "b", 2), (2, "d", 1), (9, "old", 3)]
+    assert sorted((r["id"], r["expected"], r["actual"]) for r in lost.collect()) == [(1, 1, 2), (2, 0, 1), (9, 2, 3)]
+    assert got(points.upsert(base, base.limit(0))) == got(base)
+
+
+def test_procedures_and_embedders(spark):
+    with pytest.raises(ValueError):
+        apps.procedure_version("nothing")
+    apps.register_procedure("p", "RO", "x", len)
+    with pytest.raises(ValueError):
+        apps.register_procedure("p", "RW", "y", len)
+    with pytest.raises(ValueError):
+        apps.procedure_version("p", 2)
+    texts = spark.createDataFrame([(1, "red fox"), (2, "blue sky"), (3, None)], "id long, content string")
+    store = apps.TextStore(texts, apps.hash_embedder(32))
+    assert [r["id"] for r in store.search("fox red", 1).collect()] == [1]
+    more = store.add(spark.createDataFrame([(1, "green tree"), (4, "red fox")], "id long, content string"))
+    assert [r["id"] for r in more.search("red fox", 1).collect()] == [4]
+    with pytest.raises(Exception):
+        apps.TextStore(texts, apps.Embedder(3, lambda t: np.zeros((len(t), 2)))).search("x").collect()
+
+
+def test_anisotropic_kmeans():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 4))
+    assert np.array_equal(quant.anisotropic_kmeans(x, 8, 1.0), quant.kmeans(x, 8))
+    loss = lambda c: quant.anisotropic_losses(x, c, 4.0).min(1).mean()
+    assert loss(quant.anisotropic_kmeans(x, 8, 4.0)) < loss(quant.kmeans(x, 8))
+    c = rng.normal(size=(2, 4))
+    slow = [[float(((v - k) ** 2).sum() + 3 * ((v - k) @ v) ** 2 / (v @ v)) for k in c] for v in x[:5]]
+    assert np.allclose(quant.anisotropic_losses(x[:5], c, 4.0), slow)
+
+
+def test_four_bit_codes(corpus):
+    x, df = corpus
+    books = quant.train_pq(df, 4, 16)
+    codes = {r["id"]: bytes(r["codes"]) for r in quant.pq4_encode(df, books).collect()}
+    tables, step, least = quant.byte_tables(books, x[3])
+    total = {i: sum(int(tables[p][(c[p // 2] >> (4 * (p % 2))) & 15]) for p in range(4)) for i, c in codes.items()}
+    best = sorted(total, key=lambda i: (total[i], i))[:9]
+    found = quant.pq4_search(quant.pq4_encode(df, books), books, x[3], 9).collect()
+    assert [r["id"] for r in found] == best and abs(found[0]["distance"] - (least + step * total[best[0]])) < 1e-9
+    with pytest.raises(ValueError):
+        quant.pq4_encode(df, np.zeros((2, 17, 8)))
+
+
+def test_drift():
+    assert quant.drifted(100, 1.0, 200, 1.6) and not quant.drifted(100, 1.0, 199, 9.0) and not quant.drifted(100, 1.0, 500, 1.5)
+    with pytest.raises(ValueError):
+        quant.drifted(1, 1.0, 2, 2.0, growth=1.0)
+
+
+def test_stream_state_rewrites_only_touched_parts(spark, tmp_path):
+    import glob
+
+    from lodeworks.streaming import changes
+
+    schema = "key long, seq long, op string, value double"
+    batches = [[(k, k, "put", 1.0) for k in range(40)], [(3, 100, "put", 2.0), (3, 99, "put", 9.0)], [(5, 200, "del", 0.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        changes.apply_changes(stream, f"{tmp_path}/state", f"{tmp_path}/checkpoint", parts=8).awaitTermination()
+    found = {r["key"]: (r["seq"], r["value"]) for r in changes.read_state(spark, f"{tmp_path}/state", 2, spark.createDataFrame([], schema).schema).collect()}
+    assert found == {k: (k, 1.0) if k != 3 else (100, 2.0) for k in range(40) if k != 5}
+    assert len(glob.glob(f"{tmp_path}/state/v1/part=*")) == 1 and len(glob.glob(f"{tmp_path}/state/v0/part=*")) == 8
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.md").write_text("héllo")
     (tmp_path / "b.txt").write_bytes(b"\xff\xfe\x00")
