@@ -5,9 +5,14 @@ words; consecutive windows with the same minimiser form one super-k-mer. It trav
 string's own dictionary of whole words) to the bucket of its minimiser, so all occurrences of a window meet in one bucket. There windows are
 sorted and counted; windows with equal hashes are compared word by word, so the count is exact.
 
-Inside a task equal super-k-mers are merged before they travel: only the one with the smallest doc_id is sent, and the others
-are marked at once, since an earlier document holds the same windows. A passage that a third of all documents share thus
-costs one string for each task. A bucket sends back marked word ranges, which meet their documents by (doc_id, text hash).
+Buckets follow the data. First the words of all super-k-mers of all documents are counted by ``CELLS`` cells of their minimiser; cells
+are then laid out over as many buckets as the total asks for, ``LOAD`` words each. A cell over that, as one very common run of words
+makes it, is split over several buckets by a second, longer minimiser (``LONG_SEED`` words), which a window's own words decide, too.
+
+Inside a task equal super-k-mers are merged before they travel: only the one with the smallest doc_id of each chunk is sent, and of those that
+repeat, ``REMEMBERED`` at most are remembered for the task's further chunks. The others are marked at once, since an earlier document
+holds the same windows. A passage that a third of all documents share thus costs a string or few for each task. A bucket sends back
+marked word ranges, which meet their documents by (doc_id, text hash).
 
 Defined results: a null text has no words; a null id counts as larger than any other; windows never remove windows of
 rows with the same id, so rows that repeat an id stand or fall alike; documents under ``WINDOW`` words keep all; an empty
@@ -17,6 +22,7 @@ table gives an empty result; ``remove_repeats`` carries all other columns along.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
@@ -28,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import chunks, materialize, shuffle_partitions, text_bytes
 from .words import mixed, numbered, window_hashes, window_starts
 
-WINDOW, SEED = 13, 4
-#: Text bytes that a task splits at a time; buckets for each shuffle partition.
-SPLIT_BYTES, BUCKETS = 10 << 20, 2
+WINDOW, SEED, LONG_SEED = 13, 4, 8
+#: Text bytes that a task splits at a time; counted cells; words of a bucket; merged super-k-mers that a task remembers.
+SPLIT_BYTES, CELLS, LOAD, REMEMBERED = 10 << 20, 1 << 16, 1 << 20, 20_000
 LAST = 2**63 - 1  # stands for a null id
+#: Tasks that buckets are dealt to at most; a task takes its buckets one after the other, so memory does not follow their number.
+MOST_TASKS = 1 << 16
 _PACKED = "bucket int, marks boolean, data binary"
 _MARK = np.dtype([("doc", "<i8"), ("key", "<i8"), ("begin", "<i4"), ("end", "<i4")])
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -62,19 +70,86 @@ def super_kmers(values: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.
     return starts[fresh], np.diff(np.append(fresh, len(starts))), least[fresh]
 
 
+def cell_of(least: np.ndarray) -> np.ndarray:
+    return (mixed(least) % np.uint64(CELLS)).astype(np.int64)
+
+
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> words of their super-k-mers by cell, a row for each cell that the task meets."""
+    total = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        for part in chunks(batch, limit=SPLIT_BYTES):
+            found = numbered(text_bytes(part.column("text")))
+            _, windows, least = super_kmers(found.values, found.begins)
+            total += np.bincount(cell_of(least), windows + WINDOW - 1, CELLS).astype(np.int64)
+    cells = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(total[cells], pa.int64())], ["cell", "load"])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """A cell's first bucket, and over how many buckets it is split."""
+
+    base: np.ndarray
+    splits: np.ndarray
+    buckets: int
+
+
+def layout(load: np.ndarray, least_buckets: int, most: int = 0) -> Layout:
+    """Cells in their order over buckets of ``most`` words (LOAD), or fewer where that would make less than ``least_buckets``."""
+    limit = max(1, min(most or LOAD, -(-int(load.sum()) // least_buckets)))
+    heavy = load > limit
+    before = np.cumsum(np.where(heavy, 0, load)) - np.where(heavy, 0, load)
+    base, splits = before // limit, np.where(heavy, -(-load // limit), 1)
+    light = int(base.max()) + 1
+    own = np.where(heavy, splits, 0)
+    base = np.where(heavy, light + np.cumsum(own) - own, base)
+    return Layout(base.astype(np.int32), splits.astype(np.int32), light + int(own.sum()))
+
+
+def placed_kmers(values: np.ndarray, begins: np.ndarray, plan: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, number of windows and bucket of each super-k-mer; those of split cells are parted by their longer minimiser."""
+    first, windows, least = super_kmers(values, begins)
+    if not len(first):
+        return first, windows, np.empty(0, np.int64)
+    cell = cell_of(least)
+    bucket = plan.base[cell].astype(np.int64)
+    heavy = plan.splits[cell] > 1
+    if not heavy.any():
+        return first, windows, bucket
+    starts = _ranges(first[heavy], windows[heavy])
+    owner = np.repeat(np.flatnonzero(heavy), windows[heavy])
+    longer = _sliding_min(window_hashes(values, LONG_SEED), WINDOW - LONG_SEED + 1)[starts]
+    fresh = np.flatnonzero(np.concatenate([[True], (longer[1:] != longer[:-1]) | (owner[1:] != owner[:-1])]))
+    split = bucket[owner[fresh]] + (mixed(longer[fresh]) % plan.splits[cell[owner[fresh]]].astype(np.uint64)).astype(np.int64)
+    first = np.concatenate([first[~heavy], starts[fresh]])
+    windows = np.concatenate([windows[~heavy], np.diff(np.append(fresh, len(starts)))])
+    bucket = np.concatenate([bucket[~heavy], split])
+    order = np.argsort(first, kind="stable")
+    return first[order], windows[order], bucket[order]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as their first bytes, then their second ones, and so on, which compresses better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.dtype.itemsize).T).tobytes()
+
+
 def _pack(words: list[bytes], ids: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray, windows: np.ndarray) -> bytes:
-    """Super-k-mers as one string: their documents, places and window counts, word numbers, and the dictionary."""
-    used, local = np.unique(ids, return_inverse=True)
+    """Super-k-mers as one string: their documents, places and window counts, word numbers (frequent words first), and the dictionary."""
+    used, local, count = np.unique(ids, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     parts = [
         np.array([len(doc), len(ids), len(used)], "<i8").tobytes(),
-        doc.astype("<i8").tobytes(),
-        key.astype("<i8").tobytes(),
-        place.astype("<i4").tobytes(),
-        windows.astype("<i4").tobytes(),
-        local.astype("<u2" if len(used) <= 65536 else "<u4").tobytes(),
-        b" ".join([words[i] for i in used.tolist()]),
+        _planes(doc.astype("<i8")),
+        _planes(key.astype("<i8")),
+        _planes(place.astype("<i4")),
+        _planes(windows.astype("<i4")),
+        _planes(rank[local].astype("<u2" if len(used) <= 65536 else "<u4")),
+        b" ".join([words[i] for i in used[order].tolist()]),
     ]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +157,10 @@ def _unpack(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarra
     n, n_ids, n_words = np.frombuffer(raw, "<i8", 3).tolist()
     at, out = 24, []
     for kind, count in (("<i8", n), ("<i8", n), ("<i4", n), ("<i4", n), ("<u2" if n_words <= 65536 else "<u4", n_ids)):
-        out.append(np.frombuffer(raw, kind, count, at))
-        at += out[-1].nbytes
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, width * count, at).reshape(width, count)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += width * count
     return raw[at:].split(b" "), out[4], *out[:4]
 
 
@@ -123,15 +200,47 @@ def _equal(ids: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> n
     return ~np.logical_or.reduceat(differ, np.cumsum(size) - size)
 
 
-def _split(buckets: int):
+class _Remembered:
+    """Super-k-mers that a task has merged: their digest, words and smallest doc_id."""
+
+    def __init__(self):
+        self.held: dict[int, tuple[int, bytes]] = {}
+        self.digests = np.empty(0, np.uint64)
+
+    def later(self, found, digest: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the super-k-mers ``at`` a smaller doc_id of a former chunk holds; of others that are remembered, the smaller id stays."""
+        known = at[np.isin(digest[at], self.digests)] if len(self.digests) else at[:0]
+        out = np.zeros(len(known), bool)
+        for i, k in enumerate(known.tolist()):
+            held, words = self.held[int(digest[k])]
+            if words == self.words(found, first[k], size[k]):
+                out[i] = held < doc[k]
+                if doc[k] < held:
+                    self.held[int(digest[k])] = int(doc[k]), words
+        return known[out]
+
+    def add(self, found, digest: np.ndarray, first: np.ndarray, size: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+        if len(self.held) + len(at) > REMEMBERED:
+            self.held = {}
+        for k in at[:REMEMBERED].tolist():
+            self.held.setdefault(int(digest[k]), (int(doc[k]), self.words(found, first[k], size[k])))
+        self.digests = np.fromiter(self.held, np.uint64, len(self.held))
+
+    @staticmethod
+    def words(found, first: int, size: int) -> bytes:
+        return b" ".join([found.words[i] for i in found.ids[first : first + size].tolist()])
+
+
+def _split(held):
     """Documents (doc_id, key, text) -> packed super-k-mers by bucket, and the marks that a task finds alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, remembered = held.value, _Remembered()
         for batch in batches:
             for part in chunks(batch, limit=SPLIT_BYTES):
                 found = numbered(text_bytes(part.column("text")))
                 values, begins = found.values, found.begins
-                first, windows, least = super_kmers(values, begins)
+                first, windows, bucket = placed_kmers(values, begins, plan)
                 if not len(first):
                     continue
                 size = windows + WINDOW - 1
@@ -148,19 +257,21 @@ def _split(buckets: int):
                 late = late[_equal(found.ids, first[late], first[leader[late]], size[late])]
                 stays = np.ones(len(first), bool)
                 stays[late] = False
-                spread = int(least[0] % np.uint64(buckets))
+                stays[remembered.later(found, digest, first, size, doc, np.flatnonzero(stays))] = False
+                remembered.add(found, digest, first, size, doc, np.unique(leader[late]))
+                late = np.flatnonzero(~stays)
                 if len(late):  # in the order of the texts
                     t, a, b = _merged(text[late], place[late], (place + size)[late])
                     lead = np.searchsorted(text, t)  # any super-k-mer of the text
-                    yield _rows([(spread, True, _marks(doc[lead], key[lead], a, b))])
+                    yield _rows([(int(bucket[0]), True, _marks(doc[lead], key[lead], a, b))])
                 go = np.flatnonzero(stays)
-                bucket = (mixed(least[go]) % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.concatenate([[True], bucket[by][1:] != bucket[by][:-1]]))
-                for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)]):
-                    own = go[by[x:y]]
-                    taken = found.ids[_ranges(first[own], size[own])]
-                    yield _rows([(int(bucket[by[x]]), False, _pack(found.words, taken, doc[own], key[own], place[own], windows[own]))])
+                by = np.argsort(bucket[go], kind="stable")
+                own = bucket[go][by]
+                cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+                for x, y in zip(list(cuts), [*cuts[1:], len(by)]):
+                    some = go[by[x:y]]
+                    taken = found.ids[_ranges(first[some], size[some])]
+                    yield _rows([(int(own[x]), False, _pack(found.words, taken, doc[some], key[some], place[some], windows[some]))])
 
     return run
 
@@ -217,9 +328,14 @@ def _count(table: pa.Table) -> pa.Table:
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc (null id as LAST), key (hash of the text) and spans, an array of begin << 32 | end in words, for each document that
     holds windows of a document with a smaller id."""
-    buckets = BUCKETS * shuffle_partitions(docs.sparkSession)
-    packed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_split(buckets), _PACKED)
-    marks = packed.groupBy("bucket").applyInArrow(_count, "doc long, key long, span long")
+    spark, parts = docs.sparkSession, shuffle_partitions(docs.sparkSession)
+    loads = docs.select("text").mapInArrow(_loads, "cell int, load long").groupBy("cell").agg(F.sum("load").alias("load")).toArrow()  # CELLS rows at most
+    load = np.zeros(CELLS, np.int64)
+    load[loads.column("cell").to_numpy()] = loads.column("load").to_numpy()
+    plan = layout(load, 2 * parts)
+    packed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_split(spark.sparkContext.broadcast(plan)), _PACKED)
+    dealt = packed.repartition(max(parts, min(plan.buckets, MOST_TASKS)), "bucket")
+    marks = dealt.groupBy("bucket").applyInArrow(_count, "doc long, key long, span long")
     return marks.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))  # as many as a document has super-k-mers
 
 
