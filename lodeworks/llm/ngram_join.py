@@ -9,12 +9,16 @@ similarity is at least ``SIMILARITY`` percent.
 3. *Index lists.* A class sends its prefix, |x| - ceil(t|x|) + 1 shingles, to the index. A list is ordered by size and cut into blocks;
    the positional filter skips whole blocks by their sizes and largest rests, and an entry without a partner leaves the list. Of
    what remains, the entry with the smallest key leads, and each other is paired with its leader only: two sets that may link
-   have a common leader, so a list of n entries makes n-1 pairs, never n*n.
+   have a common leader, so a list of n entries makes n-1 pairs, never n*n. A group that lies in another leader's group is left out.
 4. *Answers.* A leader's overlaps with all its members are computed in full. They answer most of the rest: members that link with
    the leader are one component already, and for two members S, T with overlaps s, t with the leader, |S & T| is at most
    min(s, t) + min(|S| - s, |T| - t); pairs below the bound are skipped without looking at the sets, the others counted.
-   A leader with more than ``BLOCK`` members is dealt out in blocks that each hold the leader; members that do not link
-   with it visit all other blocks in a second pass, so no pair is lost.
+   A leader with more than ``BLOCK`` members is dealt out in blocks that each hold the leader. Members that a block connects with
+   the leader need no other block. The others, if few (``FEW`` for each member of a block), visit all blocks, which is linear in the group.
+   If they are many, the group is an accident of a common shingle, and it is indexed again by its next common shingle: two sets that
+   link share d + 1 shingles within prefixes longer by d, so lists under (first, ..., next common shingle) hold all pairs, and
+   each is far shorter. After ``DEPTH`` such steps whatever is left visits block by block, in tasks of two blocks; only sets
+   that share as many rare shingles without linking, by the thousand, get there.
 5. *Components* of the links by alternating stars.
 
 Defined results: null or word-less texts have empty sets, link with nothing and are their own component; with fewer words than ``NGRAM``
@@ -34,13 +38,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialize, shuffle_partitions, text_bytes
+from .common import chunks, materialize, shuffle_partitions, text_bytes, text_total
 from .graph import components
 from .words import mixed, numbered, window_hashes, window_starts
 
 NGRAM, SIMILARITY = 4, 85
 #: Text bytes a task takes at a time; shingles ordered by frequency at most; from which document frequency; list blocks; group blocks.
-SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 8 << 20, 1 << 18, 8, 64, 2048
+SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 8 << 20, 1 << 20, 8, 64, 128
+#: Visitors for each member of a block at most before a group is indexed again; how often; text bytes for each bucket of an index; parts of a leader's pairs.
+FEW, DEPTH, BUCKET_BYTES, SALTS = 16, 3, 32 << 20, 16
 LAST = 2**63 - 1
 #: Columns that documents do not have.
 _DOC, _HASH = "__lodeworks_doc", "__lodeworks_hash"
@@ -159,15 +165,15 @@ def frequent_shingles(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], counts[order]
 
 
-def _prefixes(tokens: np.ndarray, begins: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles in the global order: which set, the shingle, its position in the set's order."""
+def _prefixes(tokens: np.ndarray, begins: np.ndarray, frequent: np.ndarray, counts: np.ndarray, longer: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles in the global order, ``longer`` more than one common shingle needs: which set, the shingle, its position in the set's order."""
     weight = np.zeros(len(tokens), np.uint32)
     if len(frequent):
         high = (tokens >> np.uint64(32)).astype(np.uint32)
         at = np.minimum(np.searchsorted(frequent, high), len(frequent) - 1)
         weight = np.where(frequent[at] == high, counts[at], 0)
     size = np.diff(begins)
-    length = np.where(size > 0, size - -(-SIMILARITY * size // 100) + 1, 0)
+    length = np.where(size > 0, np.minimum(size, size - -(-SIMILARITY * size // 100) + 1 + longer), 0)
     owner, rare = np.repeat(np.arange(len(size)), size), weight == 0
     before = np.cumsum(rare) - rare
     rank = before - np.concatenate([before, [0]])[begins[:-1]].repeat(size)  # among the set's rare shingles
@@ -181,6 +187,16 @@ def _prefixes(tokens: np.ndarray, begins: np.ndarray, frequent: np.ndarray, coun
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
+def _packed(out: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Postings as rows (bucket, data)."""
+    bucket = (mixed(out["token"]) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((out["token"], bucket))
+    out, bucket = out[order], bucket[order]
+    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
+    rows = [(b, _compress(out[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+
+
 def _post(buckets: int, held):
     """Documents -> packed postings by bucket of their shingle; of equal sets in a chunk, one."""
 
@@ -197,13 +213,7 @@ def _post(buckets: int, held):
                 go = one[owner]
                 out = np.empty(int(go.sum()), _POST)
                 out["token"], out["key"], out["size"], out["pos"] = token[go], key[owner[go]], size[owner[go]], pos[go]
-                bucket = (mixed(out["token"]) % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((out["token"], bucket))
-                out, bucket = out[order], bucket[order]
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-                rows = [(b, _compress(out[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "data"])
+                yield _packed(out, buckets)
 
     return run
 
@@ -235,43 +245,89 @@ def partnered(size: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return found
 
 
-def _lists(table: pa.Table) -> pa.Table:
-    """One bucket of the index: pairs of a list's leader with each other entry."""
+def _runs(table: pa.Table, depth: int = 0) -> Iterator[np.ndarray]:
+    """The runs of one bucket's lists in which sets may link, as postings; ``depth`` common shingles stand before the list's own."""
     posts = np.concatenate([_restore(x.as_py(), _POST) for x in table.column("data")])
     posts = posts[np.lexsort((posts["key"], posts["token"]))]
     fresh = np.ones(len(posts), bool)
     fresh[1:] = (posts["token"][1:] != posts["token"][:-1]) | (posts["key"][1:] != posts["key"][:-1])
     posts = posts[fresh]
     cuts = np.flatnonzero(np.concatenate([[True], posts["token"][1:] != posts["token"][:-1], [True]]))
-    leaders, members = [], []
     for k in np.flatnonzero(np.diff(cuts) > 1).tolist():
         own = posts[cuts[k] : cuts[k + 1]]
         own = own[np.argsort(own["size"], kind="stable")]
-        size, rest = own["size"].astype(np.int64), (own["size"] - own["pos"]).astype(np.int64)
-        good = partnered(size, rest)
-        own, size = own["key"][good], size[good]
-        if len(own) < 2:
-            continue
-        runs = np.flatnonzero(np.concatenate([[True], SIMILARITY * size[1:] > 100 * size[:-1], [True]]))  # no link across a gap
-        for a, b in zip(runs[:-1], runs[1:]):
+        own = own[partnered(own["size"].astype(np.int64), (own["size"] - own["pos"] + depth).astype(np.int64))]
+        size = own["size"].astype(np.int64)
+        ends = np.flatnonzero(np.concatenate([[True], SIMILARITY * size[1:] > 100 * size[:-1], [True]]))  # no link across a gap
+        for a, b in zip(ends[:-1], ends[1:]):
             if b - a > 1:
-                lead = own[a:b].min()
-                members.append(own[a:b][own[a:b] != lead])
-                leaders.append(np.full(len(members[-1]), lead))
+                yield own[a:b]
+
+
+def _lists(table: pa.Table) -> pa.Table:
+    """One bucket of the index: pairs of a list's leader with each other entry."""
+    leaders, members = [], []
+    for run in _runs(table):
+        lead = run["key"].min()
+        members.append(run["key"][run["key"] != lead])
+        leaders.append(np.full(len(members[-1]), lead))
     if not leaders:
         return pa.table({"leader": pa.array([], pa.int64()), "member": pa.array([], pa.int64())})
     pairs = np.unique(np.stack([np.concatenate(leaders), np.concatenate(members)]), axis=1)
     return pa.table({"leader": pairs[0], "member": pairs[1]})
 
 
+def _deeper(depth: int):
+    """One bucket of a further index: groups (grp, leader, key, pos) of one list each."""
+
+    def run(table: pa.Table) -> pa.Table:
+        runs = list(_runs(table, depth))
+        size = [len(x) for x in runs]
+        grp = [int(mixed(x["token"][:1] + x["size"][:1].astype(np.uint64)).view(np.int64)[0]) for x in runs]
+        posts = np.concatenate(runs) if runs else np.empty(0, _POST)
+        lead = np.repeat(np.array([x["key"].min() for x in runs], np.int64), size)
+        return pa.table({"grp": np.repeat(np.array(grp, np.int64), size), "leader": lead, "key": posts["key"], "pos": posts["pos"].astype(np.int32)})
+
+    return run
+
+
+def _extend(buckets: int, depth: int, held):
+    """Members (grp, pos, key, data) -> postings under their group and the next shingle of their prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = held.value
+        for batch in batches:
+            for part in chunks(batch, "data", SPLIT_BYTES):
+                grp, after, key = (np.array(part.column(c).to_pylist(), np.int64) for c in ("grp", "pos", "key"))
+                sets = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("data")]
+                size = np.array([len(x) for x in sets])
+                owner, token, pos = _prefixes(np.concatenate(sets), np.concatenate([[0], np.cumsum(size)]), frequent, counts, depth)
+                go = pos > after[owner]
+                owner, token, pos = owner[go], token[go], pos[go]
+                out = np.empty(len(owner), _POST)
+                out["token"] = mixed(mixed(grp.view(np.uint64))[owner] + token)
+                out["key"], out["size"], out["pos"] = key[owner], size[owner], pos
+                yield _packed(out, buckets)
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> their classes' keys and sets; an id may have texts of several classes, so the key is the text's own."""
+    """Rows (doc, hash, place, text) -> rows (place, data) with the texts' sets, each row once; a text that comes several times in a
+    row is split once."""
+    seen: set[tuple] = set()
     for batch in batches:
         for part in chunks(batch, limit=SPLIT_BYTES):
-            tokens, begins = shingle_sets(text_bytes(part.column("text")))
-            key, _ = signatures(tokens, begins)
+            ids = list(zip(part.column("doc").to_pylist(), part.column("hash").to_pylist()))
+            first: dict[tuple, int] = {}
+            for i, x in enumerate(ids):
+                first.setdefault(x, i)
+            number = {x: j for j, x in enumerate(first)}
+            tokens, begins = shingle_sets(text_bytes(part.column("text").take(pa.array(list(first.values()), pa.int64()))))
             data = [tokens[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(data, pa.binary())], ["key", "data"])
+            places = list(zip(part.column("place").field("grp").to_pylist(), part.column("place").field("salt").to_pylist(), part.column("place").field("turn").to_pylist()))
+            keep = [i for i, (x, y) in enumerate(zip(ids, places)) if not ((x, y) in seen or seen.add((x, y)))]
+            yield pa.RecordBatch.from_arrays([part.column("place").take(pa.array(keep, pa.int64())), pa.array([data[number[ids[i]]] for i in keep], pa.binary())], ["place", "data"])
 
 
 def _overlaps(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
@@ -283,7 +339,7 @@ def _overlaps(one: np.ndarray, many: list[np.ndarray]) -> np.ndarray:
 
 
 def answers(sets: list[np.ndarray], leader: int) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """Links that connect all linked sets of a group, and which sets do not link with the leader.
+    """Links that connect all linked sets of a group, and which sets they do not connect with the leader.
 
     The leader's overlaps are computed; those of other pairs are derived from them as far as bounds decide.
     """
@@ -315,28 +371,27 @@ def answers(sets: list[np.ndarray], leader: int) -> tuple[list[tuple[int, int]],
                 if o >= needed(len(sets[i]), len(sets[t])) and find(i) != find(t):
                     root[find(i)] = find(t)
                     links.append((t, i))
-    return links, far
+    return links, np.array([i for i in far.tolist() if find(i) != find(leader)], int)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leader, salt, blocks, key, data) in order of (leader, salt) -> links (a, b), and visitors where a group has several blocks."""
-    at, blocks, keys, sets = None, 1, [], []
+    """Rows (grp, salt, turn, blocks, leader, key, data) in order of their first three -> links (a, b), and of a group with several
+    blocks the members that a block does not connect with the leader (grp, b)."""
+    at, blocks, leader, keys, sets = None, 1, 0, [], []
 
     def close() -> pa.RecordBatch:
-        order = {k: i for i, k in enumerate(keys)}
-        links, far = answers(sets, order[at[0]])
-        rows = [(keys[a], keys[b], False) for a, b in links]
+        links, apart = answers(sets, keys.index(leader))
+        rows = [(keys[a], keys[b], None) for a, b in links]
         if blocks > 1:
-            rows += [(at[0], keys[i], True) for i in far.tolist()]
-        a, b, visits = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(visits, pa.bool_())], ["a", "b", "visits"])
+            rows += [(None, keys[i], at[0]) for i in apart.tolist()]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows) if rows else ((), (), ()))], ["a", "b", "grp"])
 
     for batch in batches:
-        for leader, salt, n, key, data in zip(*(batch.column(c).to_pylist() for c in ("leader", "salt", "blocks", "key")), batch.column("data")):
-            if (leader, salt) != at:
+        for *place, n, lead, key, data in zip(*(batch.column(c).to_pylist() for c in ("grp", "salt", "turn", "blocks", "leader", "key")), batch.column("data")):
+            if place != at:
                 if len(keys) > 1:
                     yield close()
-                at, blocks, keys, sets = (leader, salt), n, [], []
+                at, blocks, leader, keys, sets = place, n, lead, [], []
             if key not in keys[-1:]:
                 keys.append(key)
                 sets.append(np.frombuffer(data.as_py(), np.uint64))
@@ -344,10 +399,122 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
-def _linked(members: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
-    """(a, b, visits) of groups given by (leader, salt, blocks, key)."""
-    rows = members.join(sets, "key").repartition(parts, "leader", "salt").sortWithinPartitions("leader", "salt", "key")
-    return rows.select("leader", "salt", "blocks", "key", "data").mapInArrow(_verify, "a long, b long, visits boolean")
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (grp, leader, key) of groups, leaders not among them, as rows of groups: their block is salt; the leader, one row, is in
+    all blocks, which is what a salt to ``last_salt`` says. Turns are the like of it for visits."""
+    counts = members.groupBy("grp", "leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    spread = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    rows = members.select("grp", "key").join(counts, "grp").select("grp", spread.alias("salt"), spread.alias("last_salt"), "blocks", "leader", "key")
+    leads = counts.select("grp", F.lit(0).alias("salt"), (F.col("blocks") - 1).alias("last_salt"), "blocks", "leader", F.col("leader").alias("key"))
+    return rows.unionByName(leads).withColumns({"turn": F.lit(0), "last_turn": F.lit(0)})
+
+
+#: Most bits of the table by which texts are looked up before they are shuffled: 8 MB, whatever the corpus.
+BITS = 1 << 26
+
+
+def _among(df: DataFrame, hashes: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``hash`` may be among ``hashes``: one bit for each value of its lowest bits. The table is broadcast and has at
+    most BITS bits; the more hashes, the more other rows pass, and a join decides."""
+    bits = 1 << 15
+    while bits < min(BITS, 32 * hashes.count()):
+        bits *= 2
+    low = F.expr(f"hash & {bits - 1}")
+    at = lambda c: F.shiftright(c, 15).alias("_part")  # noqa: E731  32,768 bits in a row of the table
+    table = hashes.select(low.alias("bit")).groupBy(at("bit")).agg(F.expr("bitmap_construct_agg(bit & 32767)").alias("_bits"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast((hash & {bits - 1} & 32767) div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.getbit(byte, F.expr("cast(hash & 7 as int)")) == 1
+    return df.withColumn("_part", at(low)).join(F.broadcast(table), "_part").where(hit).select(df.columns)
+
+
+class _Join:
+    """What the steps of one join share: the texts, the order of shingles, and how to get sets of keys."""
+
+    def __init__(self, docs: DataFrame):
+        self.parts = shuffle_partitions(docs.sparkSession)
+        self.texts = docs.select(_doc(docs).alias("doc"), _hash(docs).alias("hash"), "text")
+        self.buckets = max(2 * self.parts, text_total(self.texts) // BUCKET_BYTES)
+        scan = materialize(self.texts.mapInArrow(_scan(self.buckets), _SCAN), "scan")
+        self.rows = scan.where("bucket IS NULL").select("doc", "hash", "n", "d1", "d2")
+        firsts = self.rows.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "hash")).alias("first"))
+        self.classes = materialize(firsts.select("d1", "d2", F.col("first.doc").alias("rep"), F.col("first.hash").alias("hash")), "classes")
+        self.held = docs.sparkSession.sparkContext.broadcast(frequent_shingles(scan))  # FREQUENT entries at most
+
+    def placed(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` (key, grp, salt, turn and ``columns``) as (doc, hash, place), a written table: a document stands for each key."""
+        reps = self.classes.select(F.col("d1").alias("key"), F.col("rep").alias("doc"), "hash")
+        return materialize(rows.join(reps, "key").select("doc", "hash", F.struct("grp", "salt", "turn", "key", *columns).alias("place")), "placed")
+
+    def with_sets(self, placed: DataFrame) -> DataFrame:
+        """The places with the set of each key as ``data``. What is shuffled of the texts is what may stand for a key, and a text is split
+        once for all of its rows."""
+        texts = _among(self.texts, placed.select("hash"))
+        kinds = placed.schema["place"].dataType.simpleString()
+        found = texts.join(placed, ["doc", "hash"]).select("doc", "hash", "place", "text").mapInArrow(_sets, f"place {kinds}, data binary")
+        return found.select("place.*", "data")
+
+    def indexed(self, posts: DataFrame, handler, schema: str) -> DataFrame:
+        """Lists of packed postings, a bucket at a time."""
+        return posts.repartition(max(self.parts, self.buckets // 2), "bucket").groupBy("bucket").applyInArrow(handler, schema)
+
+    def pairs(self) -> DataFrame:
+        """(leader, member) of the groups. A group whose members and leader are all in the group of the leader's own smallest leader holds
+        no pair that is not answered there, and is left out."""
+        posts = self.texts.select("text").mapInArrow(_post(self.buckets, self.held), "bucket int, data binary")
+        pairs = materialize(self.indexed(posts, _lists, "leader long, member long").distinct(), "pairs")
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))  # a leader of very many members is no single task
+        above = pairs.groupBy(F.col("member").alias("leader")).agg(F.min("leader").alias("above")).withColumn("salt", salts)
+        there = pairs.select(F.col("leader").alias("above"), "member", F.lit(1).alias("there"))
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64("member"), F.lit(SALTS)).cast("int"))
+        met = salted.join(above, ["leader", "salt"]).join(there, ["above", "member"], "left")
+        held = met.groupBy("leader").agg(F.count("*").alias("n"), F.count("there").alias("met")).where("n = met").select("leader")
+        gone = held.withColumn("salt", salts)
+        return salted.join(gone, ["leader", "salt"], "left_anti").select("leader", "member")
+
+    def linked(self, groups: DataFrame) -> DataFrame:
+        """(a, b, grp) of groups (grp, salt, last_salt, turn, last_turn, blocks, leader, key)."""
+        placed = self.placed(groups, "last_salt", "last_turn", "blocks", "leader")
+        spans = (F.col("place.last_salt") - F.col("place.salt") + 1) * (F.col("place.last_turn") - F.col("place.turn") + 1).cast("long")
+        size = placed.agg(F.sum(spans)).first()[0] or 0
+        spread = self.with_sets(placed).withColumn("salt", F.explode(F.sequence("salt", "last_salt"))).withColumn("turn", F.explode(F.sequence("turn", "last_turn")))
+        place = ["grp", "salt", "turn"]
+        rows = spread.repartition(max(self.parts, size // (16 * BLOCK)), *place).sortWithinPartitions(*place, "key")
+        return materialize(rows.select(*place, "blocks", "leader", "key", "data").mapInArrow(_verify, "a long, b long, grp long"), "found")
+
+    def visits(self, groups: DataFrame, apart: DataFrame, many: DataFrame) -> DataFrame:
+        """Groups in which the members ``apart`` visit all blocks, so many at a turn as a block holds."""
+        hosts = groups.join(many, "grp").withColumn("last_turn", F.col("turns") - 1).drop("turns")
+        spread = F.pmod(F.xxhash64("key", F.lit(1)), F.col("turns")).cast("int")
+        leads = groups.where("key = leader").select("grp", "salt", "last_salt", "leader")
+        guests = apart.join(many, "grp").join(leads, "grp").withColumns({"turn": spread, "last_turn": spread, "blocks": F.lit(1)}).drop("turns")
+        return hosts.withColumn("blocks", F.lit(1)).unionByName(guests)
+
+    def connect(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) of all groups (grp, leader, key, pos), materialized; leaders are not among the keys."""
+        links = []
+        for depth in range(DEPTH + 1):
+            groups = _dealt(members)
+            found = self.linked(groups)
+            links.append(found.where("grp IS NULL").select("a", "b"))
+            apart = found.where("grp IS NOT NULL").select("grp", F.col("b").alias("key")).distinct()
+            if apart.isEmpty():
+                break
+            many = apart.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("turns"))
+            deep = many.where(F.lit(depth < DEPTH) & (F.col("turns") > FEW))
+            shallow = many.join(deep.select("grp"), "grp", "left_anti")
+            links.append(self.linked(self.visits(groups, apart, shallow)).select("a", "b"))
+            if deep.isEmpty():
+                break
+            # the leader has met all of its members, so its group goes on without it
+            frontier = members.join(deep, "grp", "left_semi").withColumns({"salt": F.lit(0), "turn": F.lit(0)})
+            carried = self.with_sets(self.placed(frontier, "pos")).select("grp", "pos", "key", "data")
+            posts = carried.mapInArrow(_extend(self.buckets, depth, self.held), "bucket int, data binary")
+            lists = materialize(self.indexed(posts, _deeper(depth), "grp long, leader long, key long, pos int"), "lists")
+            members = lists.where("key <> leader")
+        out = links[0]
+        for more in links[1:]:
+            out = out.unionByName(more)
+        return out
 
 
 def _doc(docs: DataFrame) -> Column:
@@ -359,34 +526,10 @@ def _hash(docs: DataFrame) -> Column:
 
 
 def class_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows (doc, hash, n, d1, d2) of the documents, classes (d1, d2, rep) and links (a, b) of their d1."""
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    texts = docs.select(_doc(docs).alias("doc"), _hash(docs).alias("hash"), "text")
-    scan = materialize(texts.mapInArrow(_scan(2 * parts), _SCAN), "scan")
-    rows = scan.where("bucket IS NULL").select("doc", "hash", "n", "d1", "d2")
-    classes = materialize(rows.where("n > 0").groupBy("d1", "d2").agg(F.min("doc").alias("rep")), "classes")
-    held = spark.sparkContext.broadcast(frequent_shingles(scan))  # FREQUENT entries at most
-    posts = texts.select("text").mapInArrow(_post(2 * parts, held), "bucket int, data binary")
-    pairs = posts.groupBy("bucket").applyInArrow(_lists, "leader long, member long").distinct()
-    pairs = materialize(pairs, "pairs")
-    # groups: the leader and its members, in blocks
-    counts = pairs.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    spread = F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int")
-    members = pairs.join(counts, "leader").select("leader", spread.alias("salt"), "blocks", F.col("member").alias("key"))
-    leads = counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), "blocks", F.col("leader").alias("key"))
-    groups = members.unionByName(leads)
-    keys = pairs.select(F.explode(F.array("leader", "member")).alias("key")).distinct()
-    reps = classes.select(F.col("d1").alias("key"), F.col("rep").alias("doc")).join(keys, "key").select("doc").distinct()
-    sets = texts.join(reps, "doc").select("text").mapInArrow(_sets, "key long, data binary").dropDuplicates(["key"])
-    found = materialize(_linked(groups, sets, parts), "found")
-    links = found.where("NOT visits").select("a", "b")
-    visitors = found.where("visits").select(F.col("a").alias("leader"), F.col("b").alias("key")).distinct()
-    if not visitors.isEmpty():
-        guests = visitors.join(counts, "leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("blocks"), "key")
-        hosts = groups.join(visitors.select("leader").distinct(), "leader", "left_semi").withColumn("blocks", F.lit(1))
-        links = links.unionByName(_linked(hosts.unionByName(guests).distinct(), sets, parts).select("a", "b"))
-    return rows, classes, links
+    """Rows (doc, hash, n, d1, d2) of the documents, classes (d1, d2, rep, hash) and links (a, b) of their d1."""
+    join = _Join(docs)
+    groups = join.pairs().select(F.col("leader").alias("grp"), "leader", F.col("member").alias("key"), F.lit(-1).alias("pos"))
+    return join.rows, join.classes, join.connect(groups)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
