@@ -51,6 +51,10 @@ class RankBPE:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             found = json.load(f)
+        splitter = found.get("pre_tokenizer") or {}
+        plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex", True) and not splitter.get("add_prefix_space")
+        if not plain or found.get("normalizer") or found["model"]["type"] != "BPE" or found["model"].get("end_of_word_suffix"):
+            raise ValueError(f"{path} is no plain byte-level vocabulary")
         vocabulary, merges = found["model"]["vocab"], found["model"]["merges"]
         value = {c: b for b, c in byte_alphabet().items()}
         self.special = {x["content"].encode(): x["id"] for x in found.get("added_tokens", [])}

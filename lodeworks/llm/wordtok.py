@@ -11,6 +11,7 @@ library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import filterfalse
@@ -24,6 +25,8 @@ GENERATION, KEPT_LENGTH = 250_000, 48
 
 #: A line of Latin letters, then ASCII punctuation; or else any line.
 _LINES = re.compile(r"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)|.*)$", re.MULTILINE)
+#: ASCII punctuation.
+_MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _loaded: dict[str, "WordEncoder"] = {}
 
 
@@ -35,6 +38,36 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: A mark that ends a stretch behind an ASCII letter or digit, a word of its own.
+_TAIL = re.compile(rb"[,.;:!?](?<=[A-Za-z0-9].)(?![^\x20\x09-\x0D])", re.DOTALL)
+
+
+def _spread(text: bytes) -> bytes:
+    """A text of equal ids with fewer different stretches: ASCII letters in lower case and marks at the end of words apart.
+
+    Letters stay as they are in a text with combining marks, since some compose with a small letter only, or with what may be a special token.
+    """
+    if b"<|" not in text and b"\xcc" not in text and b"\xcd" not in text:
+        text = text.lower()
+    return _TAIL.sub(rb" \g<0>", text)
+
+
+# Normaliser steps and word pattern of the vocabulary files that this module reads.
+NORMALISER = ["NFC", "Replace", "Lowercase"]
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _check(spec: dict, path: str) -> None:
+    """Refuse a file that does not work as this module takes for granted."""
+    normaliser = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    splitter = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    pattern = splitter[0].get("pattern", {}).get("Regex") if splitter else None
+    bytes_after = [x["type"] for x in splitter[1:]] == ["ByteLevel"] and not splitter[1]["add_prefix_space"] and not splitter[1]["use_regex"]
+    model = spec["model"]
+    if (model["type"], model.get("end_of_word_suffix"), normaliser, pattern, bytes_after) != ("BPE", "</w>", NORMALISER, WORDS, True):
+        raise ValueError(f"{path} is no lower-case word-end vocabulary: {normaliser}, {pattern}")
+
+
 class Generations:
     """A bounded map: what the last two generations of lookups did not touch is forgotten."""
 
@@ -62,6 +95,8 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            _check(json.load(f), path)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -75,22 +110,29 @@ class WordEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.stretches, self.parts = Generations(GENERATION), Generations(GENERATION)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _learn_parts(self, parts: list[bytes]) -> None:
         """A word's last token is its only one with a word end, which shows where the next word begins."""
         kept = self.parts.young
         for begin in range(0, len(parts), 4000):
             some = parts[begin : begin + 4000]
-            joined = " ".join([x if x.isascii() else x.translate(self.as_bytes) for x in some])
+            joined = b" ".join(some)
+            joined = joined.decode() if joined.isascii() else joined.decode().translate(self.as_bytes)
             ids = np.array(self.words.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
             data, cuts = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             kept.update(zip(some, [data[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
 
     def _learn(self, missing: list[bytes]) -> dict[bytes, bytes]:
-        got, plain, other = {}, [], []
-        for stretch, m in zip(missing, _LINES.finditer(b"\n".join(missing).decode()), strict=True):
+        plain, odd, other = [], [], []
+        for stretch in missing:
+            word = stretch.rstrip(_MARKS)
+            if word.isalpha() and len(stretch) <= 200:  # of bytes: ASCII letters
+                plain.append((stretch, word.lower(), stretch[len(word) :]))
+            else:
+                odd.append(stretch)
+        for stretch, m in zip(odd, _LINES.finditer(b"\n".join(odd).decode())):
             word, marks = m.groups()
             if word and len(stretch) <= 200:
-                plain.append((stretch, word.lower(), marks))
+                plain.append((stretch, word.lower().encode(), marks.encode()))
             else:
                 other.append(stretch)
         ids = self.parts.settle()
@@ -106,7 +148,7 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, given and returned as bytes."""
-        split = [x.split() for x in texts]  # at space and the controls from tab to carriage return
+        split = [_spread(x).split() for x in texts]  # at space and the controls from tab to carriage return
         known = self.stretches.settle()
         wanted: set[bytes] = set()
         for words in split:
