@@ -132,11 +132,51 @@ def test_toxicity_learns_from_documents_and_finds_the_sentence(spark, empty):
     assert toxicity.score_documents(empty, toxicity.learn(empty, labels)).count() == 0
 
 
+def plain_score(text, model):
+    """The noisy-or of a text, by a loop over characters, sentences and words."""
+    clean = 1.0
+    for sentence in re.split(r"[.!?\n]", (text or "").translate(LOWER)):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", sentence)
+        if not words:
+            continue
+        logit = model.bias
+        for w in words:
+            marked = f"^{w}$"
+            pieces = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+            logit += sum(model.weights.get(x, 0.0) for x in pieces)
+        clean *= 1 - 1 / (1 + np.exp(-max(logit, -500.0)))
+    return 1 - clean
+
+
+def test_toxicity_scores_equal_brute_force(spark, docs, rows):
+    labels = spark.createDataFrame([(i, 1, int("mit" in (t or "").lower() or i % 9 == 0)) for i, t, *_ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert model.weights
+    got = by_id(toxicity.score_documents(docs, model))
+    for i, text, *_ in rows:
+        assert abs(got[i]["score"] - plain_score(text, model)) < 1e-9
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.5)
+
+
+def test_toxicity_learns_from_long_texts_and_takes_any_id(spark):
+    long = "plain words of a long text. " * 6000
+    rows = [(i, (long if i % 2 else "short text. ") + ("you zorkface. " if i % 4 == 0 else "you friend. ")) for i in range(80)]
+    rows += [(4, "repeated id"), (4, "repeated id"), (None, long)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(df, labels)
+    found = toxicity.score_documents(df, model).collect()
+    assert len(found) == len(rows) and dict(toxicity.score_documents(df, model).dtypes)["doc_id"] == "bigint"
+    assert all(r["predicted"] == int(r["doc_id"] % 4 == 0) for r in found if r["doc_id"] not in (4, None))
+
+
 def test_toxicity_query_on_held_out_labels(spark):
-    got = by_id(queries.op2_noisy_or_toxicity(spark, "/root/testdata/sf0.01"))
-    labels = by_id(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
-    held = [(got[i]["predicted"], labels[i]["toxic"]) for i in labels if got[i]["held_out"]]
-    assert sum(a == b for a, b in held) >= 0.9 * len(held)
+    got = by_id(queries.op2_noisy_or_toxicity(spark, "/root/testdata/sf0.1"))
+    labels = by_id(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
+    held = [(got[i]["score"], labels[i]["toxic"]) for i in labels if got[i]["held_out"]]
+    good, bad = (np.array([x for x, y in held if y == k]) for k in (0, 1))
+    area = ((bad[:, None] > good[None]).mean() + (bad[:, None] == good[None]).mean() / 2) if len(bad) else 0
+    assert len(bad) > 20 and area >= 0.9 and (bad >= 0.5).mean() >= 0.85 and (good < 0.5).mean() >= 0.9
 
 
 # 3
@@ -165,6 +205,39 @@ def test_substring_dedup(docs, rows, empty):
     assert substring_dedup.strip_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("load, chunk", [(200, 10 << 20), (50, 4000), (1 << 30, 4000)])
+def test_substring_dedup_with_split_cells_and_small_chunks(docs, rows, monkeypatch, load, chunk):
+    monkeypatch.setattr(substring_dedup, "LOAD", load)
+    monkeypatch.setattr(substring_dedup, "SPLIT_BYTES", chunk)
+    got = {i: (r["n_words"], r["n_removed"], r["text"]) for i, r in by_id(substring_dedup.strip_repeats(docs)).items()}
+    assert got == stripped(rows)
+
+
+def test_layout_bounds_the_load_of_buckets():
+    rng = np.random.default_rng(1)
+    load = rng.integers(0, 100, 1000)
+    load[17] = 100_000
+    plan = substring_dedup.layout(load, 8, 1000)
+    assert plan.splits[17] == 100 and (np.delete(plan.splits, 17) == 1).all()
+    light = np.bincount(np.delete(plan.base, 17), np.delete(load, 17))
+    assert light.max() <= 1100 and plan.buckets == len(light) + 100 and plan.base[17] == len(light)
+    assert substring_dedup.layout(np.zeros(5, int), 8).buckets == 1
+
+
+def test_windows_of_split_cells_meet_in_one_bucket():
+    rng = np.random.default_rng(2)
+    values = rng.integers(0, 2**63, 40).astype(np.uint64)[rng.integers(0, 40, 3000)]
+    values[1000:1200] = values[:200]
+    plan = substring_dedup.Layout(np.arange(substring_dedup.CELLS, dtype=np.int32) * 7, np.full(substring_dedup.CELLS, 7, np.int32), 7 * substring_dedup.CELLS)
+    begins = np.array([0, 900, 2000, 3000])
+    first, windows, bucket = substring_dedup.placed_kmers(values, begins, plan)
+    at = [(f + i, b) for f, n, b in zip(first.tolist(), windows.tolist(), bucket.tolist()) for i in range(n)]
+    assert [i for i, _ in at] == substring_dedup.window_starts(begins, 13).tolist()
+    home = {}
+    for i, b in at:
+        assert home.setdefault(tuple(values[i : i + 13].tolist()), b) == b
+
+
 def test_substring_dedup_with_null_and_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(20))
     df = spark.createDataFrame([(None, text, 1), (4, text + " end", 2), (4, "start " + text, 3), (4, text + " end", 2)], "doc_id long, text string, spans int")
@@ -232,6 +305,74 @@ def test_chains_and_split_groups(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in by_id(ngram_join.near_components(df)).items()} == expected
 
 
+def accidental(n, clusters=0):
+    """Unrelated texts that share one passage of four words, which is rarer than nothing else; some of them in near-copy clusters."""
+    rng = np.random.default_rng(n)
+    rows = [(i, f"s{i} " + "the shared passage here " + " ".join(f"u{i}x{k}" for k in range(30))) for i in range(n)]
+    for c in range(clusters):
+        words = [f"c{c}w{k}" for k in range(60)]
+        for i in range(n // clusters):
+            own = list(words)
+            own[int(rng.integers(0, 60))] = "zz"
+            rows.append((100_000 + c * n + i, " ".join(own)))
+    return rows
+
+
+def second_pass(spark, monkeypatch, rows):
+    """Rows of all tables that hold members of groups, and the largest task's group."""
+    seen = []
+    plain = ngram_join._Join.linked
+
+    def counted(self, groups):
+        spread = groups.selectExpr("grp", "explode(sequence(salt, last_salt)) AS salt", "turn", "last_turn").selectExpr("grp", "salt", "explode(sequence(turn, last_turn)) AS turn")
+        sizes = [r["count"] for r in spread.groupBy("grp", "salt", "turn").count().collect()]
+        seen.append((sum(sizes), max(sizes, default=0)))
+        return plain(self, groups)
+
+    monkeypatch.setattr(ngram_join._Join, "linked", counted)
+    got = {i: r["component_id"] for i, r in by_id(ngram_join.near_components(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    monkeypatch.setattr(ngram_join._Join, "linked", plain)
+    return got, sum(n for n, _ in seen), max(m for _, m in seen)
+
+
+def test_groups_of_unrelated_sets_grow_linearly(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    work = []
+    for n in (900, 1800):
+        got, rows, largest = second_pass(spark, monkeypatch, accidental(n))
+        assert got == {i: i for i in range(n)} and largest <= 4 * 16
+        work.append(rows)
+    assert work[1] <= 2.3 * work[0]
+
+
+@pytest.mark.parametrize("few, depth", [(16, 3), (0, 3), (0, 1), (0, 0)])
+def test_every_way_through_large_groups_is_exact(spark, monkeypatch, few, depth):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "DEPTH", depth)
+    rows = accidental(40, 2) + [(5000 + i, t) for i, t in chained(40)] + [(9000 + i, t) for i, t in corpus_rows()]
+    got, _, largest = second_pass(spark, monkeypatch, rows)
+    assert got == {i: c for i, (_, c) in linked(rows).items()}
+    assert largest <= 24
+
+
+def test_hashes_are_found_by_their_bits(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    some, others = (rng.integers(-(2**63), 2**63, 2000).tolist() for _ in range(2))
+    some += [0, 1, -1, 7, 8, 32767, 32768, 32769, 2**26, 2**26 - 1, -(2**63), 2**63 - 1]
+    frame = lambda values: spark.createDataFrame([(x, str(x)) for x in values], "hash long, t string")
+    for bits in (1 << 26, 1 << 15):
+        monkeypatch.setattr(ngram_join, "BITS", bits)
+        among = lambda values: {r["hash"] for r in ngram_join._among(frame(values), frame(some)).collect()}
+        assert among(some) == set(some) and len(among(others)) < 200
+    assert ngram_join._among(frame(some), frame([])).count() == 0
+
+
+def corpus_rows():
+    return [(i, t) for i, t, *_ in corpus()]
+
+
 def test_list_blocks_find_all_partners():
     rng = np.random.default_rng(2)
     for _ in range(20):
@@ -336,7 +477,7 @@ def test_license_runs_equal_brute_force():
     vocabulary = sorted({w.encode() for _, t in license_scan.TEMPLATES.values() for w in t.split()})
     index = license_scan.TemplateIndex(license_scan.TEMPLATES, {w: int(n) for w, n in zip(vocabulary, rng.integers(0, 50, len(vocabulary)))})
     found = 0
-    for _ in range(200):
+    for _ in range(100):
         name = str(rng.choice(list(license_scan.TEMPLATES)))
         words = [w.encode() for w in license_scan.TEMPLATES[name][1].split() if rng.random() > 0.03]
         words = [*rng.choice(vocabulary, 30).tolist(), *words, b"zzz", *rng.choice(vocabulary, 10).tolist(), *words]
@@ -345,15 +486,23 @@ def test_license_runs_equal_brute_force():
         for n, mine in index.sets.items():
             shares = {i: len(mine & set(words[i : i + index.run[n]])) / len(mine) for i, w in enumerate(words) if w in mine}
             good = {i: c for i, c in shares.items() if c * len(mine) >= index.need[n] - 1e-9}
-            whole = len(mine & set(words)) >= index.need[n]
-            assert {b[1] for b in got} >= {n} if whole else n not in {b[1] for b in got}  # one paragraph
+            own = [b for b in got if b[1] == n]
+            assert bool(own) == bool(good)
             if good:
                 found += 1
-                assert max(b[2] for b in got if b[1] == n) >= max(good.values())
-                assert {b[0] for b in got if b[1] == n} <= {i // 7 for i in good}
+                assert max(b[2] for b in own) == max(good.values()) and {b[0] for b in own} <= {i // 7 for i in good}
     assert found > 100
 
 
+def test_scattered_words_are_no_license(spark):
+    line = "the software is used by a person, released in 2001; under new rules the editor got a license for the mit campus"
+    spread = " and then some more ".join(license_scan.TEMPLATES["gpl-grant"][1].split())
+    texts = [line, spread, "This work is licensed under the\nGNU General Public License", license_scan.TEMPLATES["mit-text"][1].replace(" software", "\n\n# software")]
+    got = by_id(license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [got[i]["blocks"] == [] for i in range(4)] == [True, True, False, False]
+    assert got[2]["labels"] == "gpl" and "mit" in got[3]["labels"].split(",")
+
+
 # 6
 
 
@@ -428,6 +577,22 @@ def test_word_encoder_equals_library():
         assert got == [e.ids for e in t.encode_batch(ODD, add_special_tokens=False)]
 
 
+def test_encoders_refuse_other_vocabularies():
+    with pytest.raises(ValueError):
+        word_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    with pytest.raises(ValueError):
+        rank_bpe.rank_bpe(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_word_encoder_equals_library_on_random_texts():
+    rng = np.random.default_rng(6)
+    pieces = [*"abcXYZ.,;:!?'\"()<|>-_ 5 \n\t", "H\u0331", "\u1e96", "é", "É", "İ", "ß", "ﬁ", "日本", " 's", "'S ", "don't", "<|endoftext|>", "<|EndOfText|>", "\u00a0", "\u0301", "A\u030a", "\x1c", "\x85", "½", "²", ", ", ". "]
+    texts = ["".join(rng.choice(pieces, int(rng.integers(1, 60)))) for _ in range(4000)]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = word_encoder(public_tokenizers.path("word_bpe_49k.json")).encode([x.encode() for x in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_packing(docs, rows, empty):
     ids = library("word_bpe_49k.json", rows, [1])
     pieces = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1).collect()
@@ -446,15 +611,49 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, public_tokenizers.path("word_bpe_49k.json"), 1).count() == 0
 
 
-def test_packing_levels_waste_little(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def packed(spark, cuts):
+    df = spark.createDataFrame([(d, s, n, packing.class_of(n)) for d, s, n in cuts], "doc_id long, start long, length long, class int")
+    sequences = defaultdict(list)
+    for r in packing.harmonic_pack(df).collect():
+        sequences[r["sequence_id"]].append(r)
+    assert sum(map(len, sequences.values())) == len(cuts)
+    for own in sequences.values():
+        own.sort(key=lambda r: r["offset"])
+        assert [r["offset"] for r in own] == [0, *accumulate(r["length"] for r in own)][:-1] and sum(r["length"] for r in own) <= 2048
+    return sequences
+
+
+def kinds(sequences):
+    """Sequences of whole pieces, of full bins of one class, and of part-filled bins."""
+    merged = {k: own for k, own in sequences.items() if k >> 58 == packing.MERGED}
+    for k, own in sequences.items():
+        if k not in merged:
+            assert len({r["class"] for r in own}) == 1 and len(own) == own[0]["class"]  # as many as the class asks for
+    return merged
 
+
+def test_packing_levels_waste_little(spark, monkeypatch):
     monkeypatch.setattr(packing, "GROUP", 50)
     cuts = [(d, s, n) for d in range(3000) for s, n in packing.cut(37 + d * 7919 % 5000)]
-    df = spark.createDataFrame([(d, s, n, packing.class_of(n)) for d, s, n in cuts], "doc_id long, start long, length long, class int")
-    sizes = packing.harmonic_pack(df).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("pieces")).collect()
-    assert sum(r["pieces"] for r in sizes) == len(cuts) and max(r["n"] for r in sizes) <= 2048
-    assert 2048 * len(sizes) <= 1.05 * sum(r["n"] for r in sizes)
+    sequences = packed(spark, cuts)
+    assert 2048 * len(sequences) <= 1.03 * sum(n for _, _, n in cuts)
+    assert len(kinds(sequences)) < 50 and len({k >> 58 for k in sequences}) > 3  # two levels at least
+
+
+@pytest.mark.parametrize("documents", [40, 1000])
+def test_small_tables_are_packed_by_classes_too(spark, documents):
+    cuts = [(d, s, n) for d in range(documents) for s, n in packing.cut(37 + d * 7919 % 5000)]
+    sequences = packed(spark, cuts)
+    merged = kinds(sequences)
+    classes = Counter(r["class"] for own in merged.values() for r in own)
+    assert all(n < k for k, n in classes.items())  # one part-filled bin for each class at most
+    assert sum(classes.values()) < (0.8 if documents < 100 else 0.25) * len(cuts)
+
+
+def test_short_pieces_fill_sequences(spark):
+    cuts = [(d, 0, 1 + d % 5) for d in range(30000)]
+    sequences = packed(spark, cuts)
+    assert 2048 * len(sequences) <= 1.1 * sum(n for _, _, n in cuts)
 
 
 # 8
@@ -493,6 +692,42 @@ def test_rules_reject_what_labels_call_bad(spark, empty):
     assert sorted(r["n_words"] for r in quality_rules.keep_good(clash, labels).collect()) == [r[0] for r in rows if r[2] > 0]
 
 
+def plain_verdict(text, rules):
+    """Base check and rules of one text, by loops; the number of the rule that rejects."""
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat = counts(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    per = lambda n, d: n / max(d, 1)
+    x = {
+        "words": n_words, "word_length": per(word_chars, n_words), "symbol_share": per(n_symbols, word_chars), "dup_line_share": per(n_dup_lines, len(lines)),
+        "repeat_share": per(n_repeat, n_words), "upper_share": per(len(re.findall("[A-Z]", text)), word_chars),
+        "mark_share": per(len(re.findall(r"[!?|~^=+_{}\[\]\\]", text)), word_chars), "digit_share": per(len(re.findall("[0-9]", text)), word_chars),
+    }
+    failed = n_words < 20 or 100 * n_repeat > 30 * n_words
+    fired = next((k for k, rule in enumerate(rules) if all((x[t.feature] >= t.threshold) if t.above else (x[t.feature] <= t.threshold) for t in rule)), None)
+    return failed, not failed and fired is None, fired
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    rules = quality_rules.learn_rules(table, labels)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    got = by_id(quality_rules.quality_verdicts(table, labels))
+    assert rules and {i: (r["base_failed"], r["kept"], r["rule"]) for i, r in got.items()} == {i: plain_verdict(t, rules) for i, t in texts.items()}
+    known = [(r["quality"], got[r["doc_id"]]["kept"]) for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert sum(k for q, k in known if q) >= 0.9 * sum(q for q, _ in known)
+    assert sum(not k for q, k in known if not q) >= 0.8 * sum(not q for q, _ in known)
+
+
+def test_quality_rules_with_long_texts_and_repeated_ids(spark):
+    long = " ".join(f"word{i}" for i in range(40_000))
+    rows = [(i, long if i == 1 else "| ! " * 30 + str(i) if i % 2 else " ".join(f"w{i}x{k}" for k in range(40))) for i in range(200)] + [(3, long), (3, long), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i % 2 == 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    found = quality_rules.quality_verdicts(df, labels).collect()
+    assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] % 2 == 0) for r in found if r["doc_id"] not in (1, 3, None))
+
+
 # 10
 
 
@@ -509,6 +744,11 @@ def test_rank_bpe(docs, rows, empty):
 SPACES = ["a\n ", "a\n  b", "a \n b", "a   b", "a\n \nb", "a  b", "a  ", "a   b c", "é é", "\n", " ", "   ", "ab" * 3000 + " z", "　 x", "a   b", "<|endoftext|>  <|endoftext|>"]
 
 
+def test_rank_bpe_takes_any_id(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, None), (1, "a b")], "doc_id int, text string")
+    assert sorted(((r["doc_id"], r["decoded"]) for r in rank_bpe.encode_texts(df, public_tokenizers.path("byte_bpe_50k.json")).collect()), key=repr) == [(1, ""), (1, "a b"), (None, "a b")]
+
+
 def test_rank_bpe_on_odd_texts():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     bpe = rank_bpe.rank_bpe(public_tokenizers.path("byte_bpe_50k.json"))
@@ -545,6 +785,30 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "substring dedup", "packing"]
 
 
+CLASHES = "digest content salt keep_id group_size doc hash key n d1 d2 spans bucket n_words class row".split()
+
+
+def test_stages_keep_clashing_columns_and_take_empty_tables(spark, docs):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    clash = docs.drop("n_chars").withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clash, DATA)
+        assert out.columns == clash.columns, name
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in out.collect() for c in CLASHES), name
+        assert stage(spark, clash.limit(0), DATA).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, clash.limit(0), DATA).count() == 0
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
