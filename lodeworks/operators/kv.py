@@ -26,10 +26,19 @@ def put_batch(entries: DataFrame, batch: DataFrame, key: str = "key", seq: str =
     return entries.join(fresh.select(key), key, "left_anti").unionByName(fresh.select(entries.columns))
 
 
-def existed(log: DataFrame) -> DataFrame:
-    """For each delete, whether the key was there: the change before it was no delete."""
-    before = F.lag("op").over(Window.partitionBy("key").orderBy("seq"))
-    return log.withColumn("existed", before.isNotNull() & (before != "del")).where(F.col("op") == "del").select("seq", "key", "existed")
+def existed(log: DataFrame, span: int = 1_000_000) -> DataFrame:
+    """For each delete, whether the key was there: the change before it was no delete.
+
+    Changes are looked at in spans of sequence numbers, and the last change of a key's former span is carried over, so the changes of
+    one very hot key are spread over tasks and only its spans' ends meet.
+    """
+    rows = log.select("seq", "key", "op", F.floor(F.col("seq") / span).alias("_span"))
+    rows = rows.withColumn("_before", F.lag("op").over(Window.partitionBy("key", "_span").orderBy("seq")))
+    ends = rows.groupBy("key", "_span").agg(F.max_by("op", "seq").alias("_end"))
+    carried = ends.select("key", "_span", F.lag("_end").over(Window.partitionBy("key").orderBy("_span")).alias("_carried"))
+    before = F.coalesce("_before", "_carried")
+    joined = rows.where(F.col("op") == "del").join(carried, ["key", "_span"])
+    return joined.select("seq", "key", (before.isNotNull() & (before != "del")).alias("existed"))
 
 
 def increments(log: DataFrame, delta: Column, span: int = 1_000_000) -> DataFrame:

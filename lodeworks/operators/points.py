@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,18 +128,22 @@ def within_quota(rows: DataFrame, seq: str, most: int) -> DataFrame:
 def token_bucket(events: DataFrame, rate: float, key: str, at_ms: str, seq: str) -> DataFrame:
     """Events with ``admitted``: a bucket of ``rate`` tokens per key, refilled continuously.
 
-    Each event's admission depends on all before it, so one key's events are decided in one task, in order, and its times are held there.
+    Each event's admission depends on all before it, so one key's events are decided in one task. They pass through it sorted (which spills) and a
+    batch at a time, and what is held is one number for the key, so a hot key takes time but no memory.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at_ms, seq], ignore_index=True)
-        tokens, last, out = rate, None, []
-        for t in pdf[at_ms].to_numpy():
-            tokens = rate if last is None else min(rate, tokens + (t - last) / 1000 * rate)
-            last = t
-            out.append(tokens >= 1)
-            tokens -= out[-1]
-        return pdf.assign(admitted=out)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokens, last, known = rate, None, object()
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf[key].to_numpy(), pdf[at_ms].to_numpy()):
+                if k != known:
+                    tokens, last, known = rate, None, k
+                tokens = rate if last is None else min(rate, tokens + (t - last) / 1000 * rate)
+                last = t
+                out.append(tokens >= 1)
+                tokens -= out[-1]
+            yield pdf.assign(admitted=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-    return events.groupBy(key).applyInPandas(fold, schema + ", admitted boolean")
+    return events.repartition(key).sortWithinPartitions(key, at_ms, seq).mapInPandas(fold, schema + ", admitted boolean")

@@ -38,6 +38,9 @@ def query_terms(text: str, name: str = "", spark=None) -> list[str]:
     return list(dict.fromkeys(stem(w) if found.stemming else w for w in words))
 
 
+#: What tokens are made of.
+LETTER = r"[\p{L}\p{Nd}]"
+
 #: Surface forms of one query's stems that are looked for inside texts; with more, postings are made.
 MOST_FORMS = 2000
 
@@ -58,6 +61,11 @@ def counted_texts(docs: DataFrame, terms: list[str], name: str = "", keep: tuple
     found = analyzer(name)
     if (forms := _forms(docs, terms, found)) is None:
         return None
+    if not found.stopwords and not found.stemming:  # lengths and counts without making the tokens
+        low = docs.select("id", *keep, F.lower("content").alias("_text"))
+        counted = [F.when(F.contains("_text", F.lit(t)), F.regexp_count("_text", F.lit(rf"(?<!{LETTER})\Q{t}\E(?!{LETTER})"))).otherwise(0).cast("long") for t in terms]
+        whole = low.select("id", *keep, F.regexp_count("_text", F.lit(rf"{LETTER}+")).cast("long").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(counted)))
+        return whole.where("dl > 0")
     held = docs.select("id", *keep, found.terms(F.col("content")).alias("_terms")).where(F.size("_terms") > 0)
 
     def count(words: list[str]) -> Column:

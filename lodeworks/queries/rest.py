@@ -573,6 +573,21 @@ def c18_memory_ids(spark, d):
     return keyed.join(keyed.groupBy("m").agg(F.min("id").alias("first_of_memory")), "m").select("id", "first_of_memory")
 
 
+@query("SELECT 'r' || r_regionkey AS name, CASE WHEN r_regionkey = 2 THEN 'a2' ELSE '' END AS aliases FROM region WHERE r_regionkey % 2 = 0")
+def s14_create_and_drop(spark, d):
+    """Collections of all kinds, of which every second is dropped with its alias."""
+    catalog = Catalog(spark, scratch(spark))
+    keys = [r["r_regionkey"] for r in table(spark, d, "region").orderBy("r_regionkey").collect()]
+    for n in keys:
+        catalog.create(Config(f"r{n}", 8, kind=("dense", "mv", "named")[n % 3]))
+    catalog.swap_aliases([("a1", "r1"), ("a2", "r2")])
+    for n in keys:
+        if n % 2:
+            catalog.drop(f"r{n}")
+    left = catalog.aliases()
+    return spark.createDataFrame([(name, ",".join(sorted(a for a, t in left.items() if t == name))) for name in catalog.names()], "name string, aliases string")
+
+
 # one object for all of it
 
 

@@ -273,6 +273,19 @@ def test_counter_restarts_after_delete(spark):
     assert [r["counter"] for r in kv.increments(log, F.lit(2)).orderBy("seq").collect()] == [2, 4, 0, 2]
 
 
+def test_existed_across_spans(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "abc"[int(rng.integers(3))], "del" if rng.random() < 0.4 else "put") for i in range(200)]
+    there, expected = {}, {}
+    for i, key, op in rows:
+        if op == "del":
+            expected[i] = there.get(key, False)
+        there[key] = op != "del"
+    log = spark.createDataFrame(rows, "seq long, key string, op string").repartition(3)
+    for span in (1, 7, 10_000):
+        assert {r["seq"]: r["existed"] for r in kv.existed(log, span).collect()} == expected
+
+
 def test_counters_across_spans(spark):
     from pyspark.sql import functions as F
 
