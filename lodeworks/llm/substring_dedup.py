@@ -36,7 +36,7 @@ from .words import mixed, numbered, window_hashes, window_starts
 
 WINDOW, SEED, LONG_SEED = 13, 4, 8
 #: Text bytes that a task splits at a time; counted cells; words of a bucket; merged super-k-mers that a task remembers.
-SPLIT_BYTES, CELLS, LOAD, REMEMBERED = 10 << 20, 1 << 16, 1 << 20, 20_000
+SPLIT_BYTES, CELLS, LOAD, REMEMBERED = 10 << 20, 1 << 16, 3 << 19, 20_000
 LAST = 2**63 - 1  # stands for a null id
 #: Tasks that buckets are dealt to at most; a task takes its buckets one after the other, so memory does not follow their number.
 MOST_TASKS = 1 << 16
