@@ -48,6 +48,8 @@ SPLIT_BYTES, FREQUENT, RARE, LIST_BLOCK, BLOCK = 8 << 20, 1 << 20, 8, 64, 128
 #: Visitors for each member of a block at most before a group is indexed again; how often; text bytes for each bucket of an index; parts of a leader's pairs.
 FEW, DEPTH, BUCKET_BYTES, SALTS = 16, 3, 32 << 20, 16
 LAST = 2**63 - 1
+#: Tasks that buckets are dealt to at most.
+MOST_TASKS = 1 << 16
 #: Columns that documents do not have.
 _DOC, _HASH = "__lodeworks_doc", "__lodeworks_hash"
 _SCAN = "doc long, hash long, n long, d1 long, d2 long, bucket int, data binary"
@@ -454,8 +456,9 @@ class _Join:
         return found.select("place.*", "data")
 
     def indexed(self, posts: DataFrame, handler, schema: str) -> DataFrame:
-        """Lists of packed postings, a bucket at a time."""
-        return posts.repartition(max(self.parts, self.buckets // 2), "bucket").groupBy("bucket").applyInArrow(handler, schema)
+        """Lists of packed postings, a bucket at a time; each bucket is a task, as long as they are not too many."""
+        dealt = posts.repartitionById(self.buckets, "bucket") if self.buckets <= MOST_TASKS else posts.repartition(MOST_TASKS, "bucket")
+        return dealt.groupBy("bucket").applyInArrow(handler, schema)
 
     def pairs(self) -> DataFrame:
         """(leader, member) of the groups. A group whose members and leader are all in the group of the leader's own smallest leader holds
