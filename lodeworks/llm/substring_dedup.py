@@ -334,7 +334,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     load[loads.column("cell").to_numpy()] = loads.column("load").to_numpy()
     plan = layout(load, 2 * parts)
     packed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_split(spark.sparkContext.broadcast(plan)), _PACKED)
-    dealt = packed.repartition(max(parts, min(plan.buckets, MOST_TASKS)), "bucket")
+    # a task for each bucket, not by hash, which would bring several together by chance
+    dealt = packed.repartitionById(plan.buckets, "bucket") if plan.buckets <= MOST_TASKS else packed.repartition(MOST_TASKS, "bucket")
     marks = dealt.groupBy("bucket").applyInArrow(_count, "doc long, key long, span long")
     return marks.groupBy("doc", "key").agg(F.collect_list("span").alias("spans"))  # as many as a document has super-k-mers
 
