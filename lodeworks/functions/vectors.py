@@ -55,13 +55,23 @@ def distance(metric: str, v: Column, q: Column) -> Column:
     return F.lit(1.0) - F.when(n == 0, F.lit(0.0)).otherwise(dot(v, q) / n)
 
 
+def row_distances(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``distance`` of each row to one vector, in double precision; rows are summed each on its own."""
+    if metric == "l2":
+        return ((x - q) ** 2).sum(1)
+    dots = (x * q).sum(1)
+    if metric == "dot":
+        return -dots
+    n = np.sqrt((x * x).sum(1)) * float(np.sqrt((q * q).sum()))
+    return 1.0 - np.divide(dots, n, out=np.zeros_like(n), where=n > 0)
+
+
 def distance_to(metric: str, v: Column, query) -> Column:
     """``distance`` of a column to one stated vector, an Arrow batch at a time; rows are summed each on its own, so equal vectors tie exactly.
     Null where the vector is null; a vector of another width is an error."""
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     q = np.asarray(query, float)
-    length = float(np.sqrt((q * q).sum()))
 
     @F.arrow_udf("double")
     def run(vectors: pa.Array) -> pa.Array:
@@ -69,16 +79,7 @@ def distance_to(metric: str, v: Column, query) -> Column:
         flat = there.flatten().to_numpy(zero_copy_only=False)
         if len(flat) != len(there) * len(q):
             raise ValueError(f"vectors are not of {len(q)} dimensions")
-        x = flat.reshape(len(there), len(q)).astype(float)
-        if metric == "l2":
-            out = ((x - q) ** 2).sum(1)
-        else:
-            dots = (x * q).sum(1)
-            if metric == "dot":
-                out = -dots
-            else:
-                n = np.sqrt((x * x).sum(1)) * length
-                out = 1.0 - np.divide(dots, n, out=np.zeros_like(n), where=n > 0)
+        out = row_distances(metric, flat.reshape(len(there), len(q)).astype(float), q)
         if not vectors.null_count:
             return pa.array(out)
         known = vectors.is_valid().to_numpy(zero_copy_only=False)

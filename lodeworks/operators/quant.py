@@ -1,14 +1,16 @@
 """Trained quantization and inverted files: approximate pruning with an exact second look.
 
-Training reads a bounded sample (``TRAINING`` vectors); codes, cells and searches cover all points.
+Training reads a bounded sample (``TRAINING`` vectors); codes, cells and searches cover all points. A pool of the best by codes, or of the
+nearest cells, may lack some of the true nearest; ``completed`` finds those by what each code may be off.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +115,11 @@ def pq_encode(points: DataFrame, books: np.ndarray) -> DataFrame:
     return points.select("id", "vector").mapInPandas(run, "id long, codes array<int>")
 
 
+def pq_restored(x: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that the codes of ``x`` stand for."""
+    return np.hstack([b[V.distances("l2", p, b).argmin(1)] for p, b in zip(np.split(x, len(books), axis=1), books)])
+
+
 def pq_search(codes: DataFrame, books: np.ndarray, query: Sequence[float], k: int) -> DataFrame:
     """k best by table lookups of squared distances."""
     parts = np.split(np.asarray(query, float), books.shape[0])
@@ -178,6 +185,56 @@ def rescored(candidates: DataFrame, points: DataFrame, query: Sequence[float], k
     return search.within(points, candidates, query, k, metric)
 
 
+#: What sums in double precision may be off, in units of the distance and of 1.
+_SLACK = 1e-9
+
+
+def lower_bounds(metric: str, x: np.ndarray, coded: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """What the distances of ``x`` to the query are at least, by the vectors ``coded`` that stand for them and by how far off those are."""
+    off = np.sqrt(((x - coded) ** 2).sum(1))
+    if metric == "l2":
+        return np.maximum(np.sqrt(((coded - query) ** 2).sum(1)) - off, 0.0) ** 2
+    length = np.sqrt((query * query).sum())
+    most = (coded * query).sum(1) + length * off
+    if metric == "dot":
+        return -most
+    n = np.sqrt((x * x).sum(1)) * length
+    return 1.0 - np.divide(most, n, out=np.zeros_like(n), where=n > 0)
+
+
+def completed(hits: DataFrame, points: DataFrame, restore: Callable[[np.ndarray], np.ndarray], query: Sequence[float], k: int, metric: str = "cosine") -> DataFrame:
+    """(id, distance) of the k nearest, exactly, from ``hits``, which an approximate search found and measured exactly.
+
+    ``restore`` gives the vectors that stand for some vectors. A point whose lower bound by its code lies beyond the k-th hit is ruled out; any
+    other one of ``points`` is measured, in one pass that moves k rows for each task. Where codes are coarse for how the points lie, few
+    are ruled out and the pass measures most of them.
+    """
+    if k <= 0:
+        return hits.select("id", "distance").limit(0)
+    found = hits.select("id", "distance").orderBy("distance", "id").limit(k).collect()
+    reach = found[-1]["distance"] if len(found) == k else np.inf
+    known, q = np.array([r["id"] for r in found], np.int64), np.asarray(query, float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, best = np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            flat, names = batch.column("vector").flatten().to_numpy(zero_copy_only=False), batch.column("id").to_numpy(zero_copy_only=False)
+            for begin in range(0, batch.num_rows, search.PRODUCT):
+                own = names[begin : begin + search.PRODUCT]
+                x = flat[begin * len(q) : (begin + len(own)) * len(q)].reshape(len(own), len(q)).astype(float)
+                limit = min(reach, best[-1]) if len(best) == k else reach
+                open_ = ~(lower_bounds(metric, x, restore(x), q) > limit + _SLACK * (1 + abs(limit))) & ~np.isin(own, known)
+                if open_.any():
+                    ids, best = np.concatenate([ids, own[open_]]), np.concatenate([best, V.row_distances(metric, x[open_], q)])
+                    order = np.lexsort((ids, best))[:k]
+                    ids, best = ids[order], best[order]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(best)], ["id", "distance"])
+
+    rest = points.where("vector IS NOT NULL").select("id", "vector").mapInArrow(run, "id long, distance double")
+    known_rows = points.sparkSession.createDataFrame([(r["id"], r["distance"]) for r in found], "id long, distance double")
+    return rest.unionByName(known_rows).orderBy("distance", "id").limit(k)
+
+
 def train_ivf(points: DataFrame, cells: int, metric: str = "cosine") -> np.ndarray:
     return kmeans(training_matrix(points), cells, unit=metric == "cosine")
 
@@ -194,10 +251,22 @@ def ivf_assign(points: DataFrame, centres: np.ndarray) -> DataFrame:
     return points.withColumn("cell", nearest("vector"))
 
 
+def probed(centres: np.ndarray, query: Sequence[float], probes: int) -> list[int]:
+    """The cells nearest to the query."""
+    return np.argsort(V.distances("l2", centres, np.asarray(query, float)[None])[:, 0], kind="stable")[:probes].tolist()
+
+
 def ivf_search(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int = 12, metric: str = "cosine") -> DataFrame:
     """Exact kNN within the nearest cells."""
-    cells = np.argsort(V.distances("l2", centres, np.asarray(query, float)[None])[:, 0], kind="stable")[:probes]
-    return search.knn(assigned.where(F.col("cell").isin(*cells.tolist())), query, k, metric)
+    return search.knn(assigned.where(F.col("cell").isin(*probed(centres, query, probes))), query, k, metric)
+
+
+def ivf_search_all(assigned: DataFrame, centres: np.ndarray, query: Sequence[float], k: int, probes: int = 12, metric: str = "cosine") -> DataFrame:
+    """(id, distance): exact kNN. The nearest cells say how far the k-th hit is at most; a point of another cell is measured unless its
+    distance to its centre rules it out."""
+    near = ivf_search(assigned, centres, query, k, probes, metric)
+    others = assigned.where(~F.col("cell").isin(*probed(centres, query, probes)))
+    return completed(near, others, lambda x: centres[V.distances("l2", x, centres).argmin(1)], query, k, metric)
 
 
 #: Growth of the table from which drift is looked at, and of the mean distance to the nearest centre from which cells are trained again.
@@ -274,19 +343,23 @@ def train_residual(points: DataFrame, parts: int, layers: int = 2, centroids: in
     return out
 
 
+def residual_restored(x: np.ndarray, layers: list[np.ndarray]) -> np.ndarray:
+    """The vectors that the layers' codes of ``x`` stand for."""
+    out = np.zeros_like(x)
+    for books in layers:
+        width = books.shape[2]
+        for i, book in enumerate(books):
+            part = slice(i * width, (i + 1) * width)
+            out[:, part] += book[V.distances("l2", x[:, part] - out[:, part], book).argmin(1)]
+    return out
+
+
 def residual_decode(points: DataFrame, layers: list[np.ndarray]) -> DataFrame:
     """(id, vector) as the layers' codes restore it."""
     held = points.sparkSession.sparkContext.broadcast(layers)
 
     @F.pandas_udf("array<double>")
     def restore(vectors: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        out = np.zeros_like(x)
-        for books in held.value:
-            width = books.shape[2]
-            for i, book in enumerate(books):
-                part = slice(i * width, (i + 1) * width)
-                out[:, part] += book[V.distances("l2", x[:, part] - out[:, part], book).argmin(1)]
-        return pd.Series(list(out))
+        return pd.Series(list(residual_restored(np.stack(vectors.to_numpy()).astype(float), held.value)))
 
     return points.select("id", restore("vector").alias("vector"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions import vectors as V
@@ -215,6 +216,41 @@ def test_ann_recall(corpus):
     assert hits["pq"] >= 0.9 * 80 and hits["ivf"] >= 0.9 * 80
 
 
+@pytest.mark.parametrize("metric", V.METRICS)
+def test_coarse_codes_and_cells_lose_no_neighbour(spark, corpus, metric):
+    x, df = corpus
+    x = x.astype(np.float32)
+    far = df.withColumn("vector", F.transform("vector", lambda v: v + F.lit(100.0).cast("float"))).withColumn("id", F.col("id") + 1000)
+    every = df.unionByName(far).union(spark.createDataFrame([(2000, None, 0), (2001, [0.0] * 16, 0), (2002, [float(v) for v in x[17]], 0)], df.schema))
+    known = every.where("vector IS NOT NULL")
+    books, layers, centres = quant.train_pq(df, 2, 4), quant.train_residual(df, 2, centroids=3), quant.train_ivf(df, 8, metric)
+    rotation = np.linalg.qr(np.random.default_rng(1).normal(size=(16, 16)))[0]
+    ways = [lambda v: quant.pq_restored(v, books), lambda v: quant.residual_restored(v, layers), lambda v: quant.pq_restored(v @ rotation, books) @ rotation.T]
+    lost = 0
+    for point in (0, 17):
+        expected = [(r["id"], r["distance"]) for r in search.knn(every, x[point], 10, metric).collect()]
+        near = quant.rescored(quant.pq_search(quant.pq_encode(known, books), books, x[point], 10), known, x[point], 10, metric)
+        cells = quant.ivf_search(quant.ivf_assign(known, centres), centres, x[point], 10, 1, metric)
+        lost += sum([(r["id"], r["distance"]) for r in hits.collect()] != expected for hits in (near, cells))
+        found = [quant.completed(near, every, way, x[point], 10, metric) for way in ways]
+        found += [quant.completed(near.limit(3), every, ways[0], x[point], 10, metric), quant.ivf_search_all(quant.ivf_assign(known, centres), centres, x[point], 10, 1, metric)]
+        for hits in found:
+            assert [(r["id"], r["distance"]) for r in hits.collect()] == expected
+    assert lost  # what the pools alone give
+    assert quant.completed(near, every, ways[0], x[0], 0, metric).count() == 0
+    assert quant.completed(near, every, ways[0], x[0], 5000, metric).count() == known.count()
+
+
+def test_codes_rule_out_what_lies_apart():
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(size=(50, 8)), rng.normal(size=(50, 8)) + 50])
+    coded, asked = x.round(1), x[3]
+    for metric in ("l2", "dot", "cosine"):
+        low, exact = quant.lower_bounds(metric, x, coded, asked), V.row_distances(metric, x, asked)
+        assert (low <= exact + 1e-9).all() and np.abs(low - exact).max() < 0.2 * (1 + np.abs(exact).max())
+    assert (quant.lower_bounds("l2", x[50:], coded[50:], asked) > V.row_distances("l2", x[:50], asked).max()).all()
+
+
 def test_scalar_codes(corpus):
     x, df = corpus
     row = quant.scalar_codes(df).where("id = 3").first()
