@@ -127,7 +127,10 @@ def search(posts: DataFrame, terms: list[str], k: int, k1: float = K1, b: float
     joined = hits.join(F.broadcast(stats), ["term", *by])  # rows: query terms times partitions
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = joined.groupBy("id").agg(F.sum(idf * tf).alias("score"))
+    wanted = list(dict.fromkeys(terms))
+    parts = joined.groupBy("id").agg(*(F.sum(F.when(F.col("term") == t, idf * tf)).alias(f"_{i}") for i, t in enumerate(wanted)))
+    # added in the order of the terms, so that equal texts have equal scores and tie
+    scores = parts.select("id", reduce(lambda x, y: x + y, [F.coalesce(f"_{i}", F.lit(0.0)) for i in range(len(wanted))], F.lit(0.0)).alias("score"))
     if admitted is not None:
         scores = scores.join(admitted.select("id"), "id", "left_semi")
     return scores.orderBy(F.col("score").desc(), "id").limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodeworks.functions import text as T
 from lodeworks.functions import vectors as V
-from lodeworks.operators import apps, fusion, kv, points, quant, scroll, search
+from lodeworks.operators import apps, fusion, kv, points, quant, scroll, search, text_search
 from lodeworks.plans import filters as L
 from lodeworks.plans import query_api as A
 from lodeworks.sources import files
@@ -508,3 +508,14 @@ def test_text_files(spark, tmp_path):
     assert files.list_objects(spark, str(tmp_path), "b").count() == 1
     page = spark.sql("SELECT '<html><script>x<y</script><p>a&nbsp;b</p> <b>c</b></html>' AS h").select(files.strip_tags("h").alias("t")).first()
     assert page["t"] == "a&nbsp;b c"
+
+
+def test_equal_postings_tie_whatever_order_their_terms_come_in(spark):
+    words = ["alpha", "beta", "gamma", "delta"]
+    rng = np.random.default_rng(2)
+    kinds = [tuple(int(n) for n in rng.integers(1, 9, 4)) for _ in range(8)]
+    rows = [(i, w, kinds[i % 8][j], 40 + i % 8) for i in range(400) for j, w in enumerate(words)]
+    posts = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "id long, term string, tf long, dl long").repartition(7)
+    found = text_search.search(posts, words + words[:1], 400).collect()
+    assert len({r["score"] for r in found}) == 8
+    assert [(-r["score"], r["id"]) for r in found] == sorted((-r["score"], r["id"]) for r in found)
