@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -37,8 +38,38 @@ def tokens(text: Column) -> Column:
 
 
 def without_stopwords(words: Column, stopwords: tuple[str, ...] = STOPWORDS) -> Column:
-    listed = F.array(*[F.lit(w) for w in stopwords if "'" not in w])  # tokens hold no apostrophe
-    return F.filter(words, lambda w: ~F.array_contains(listed, w))
+    return F.filter(words, lambda w: ~w.isin(*(x for x in stopwords if "'" not in x)))  # one lookup a word; tokens hold no apostrophe
+
+
+#: What tokens are made of.
+LETTER = r"[\p{L}\p{Nd}]"
+
+
+def one_of(words: Iterable[str]) -> str:
+    """A pattern of any of some words, by their common beginnings."""
+    tree: dict = {}
+    for word in words:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [re.escape(c) + pattern(n) for c, n in sorted(node.items()) if c]
+        return f"(?:{'|'.join(ways)})" + "?" * ("" in node) if ways else ""
+
+    return pattern(tree)
+
+
+def is_token(word: str) -> bool:
+    """Whether a word can be a token."""
+    return bool(word) and all((kind := unicodedata.category(c))[0] == "L" or kind == "Nd" for c in word)
+
+
+def token_pattern(stopwords: tuple[str, ...] = ()) -> str:
+    """A pattern of every token of a lower-case text that is no stop word."""
+    listed = one_of(w for w in stopwords if is_token(w))
+    return rf"(?<!{LETTER})(?!{listed}(?!{LETTER})){LETTER}++" if listed else f"{LETTER}++"
 
 
 # Porter2 (Snowball English), on lower-case words

@@ -6,12 +6,14 @@ aggregates of a few numbers are shuffled. ``postings`` with ``search`` is for an
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import Analyzer, analyzer, stem, stems, tokens, without_stopwords
+from ..functions.text import LETTER, Analyzer, analyzer, is_token, one_of, stem, stems, token_pattern, tokens, without_stopwords
 
 K1, B = 1.2, 0.75
 
@@ -38,9 +40,6 @@ def query_terms(text: str, name: str = "", spark=None) -> list[str]:
     return list(dict.fromkeys(stem(w) if found.stemming else w for w in words))
 
 
-#: What tokens are made of.
-LETTER = r"[\p{L}\p{Nd}]"
-
 #: Surface forms of one query's stems that are looked for inside texts; with more, postings are made.
 MOST_FORMS = 2000
 
@@ -48,8 +47,11 @@ MOST_FORMS = 2000
 def _forms(docs: DataFrame, terms: list[str], found: Analyzer) -> dict[str, list[str]] | None:
     """The words of the texts that have each term as their stem; None if they are more than MOST_FORMS."""
     if not found.stemming:
-        return {t: [t] for t in terms}
-    words = docs.select(F.explode(F.array_distinct(found.terms(F.col("content")))).alias("term")).distinct()
+        return {t: [t] * (t not in found.stopwords) for t in terms}
+    # a stem begins as its word does; letters beyond ASCII are let through, as their lower case may differ
+    begins = f"[{''.join(sorted({re.escape(t[0]) for t in terms if t}))}\\x{{80}}-\\x{{10FFFF}}]"
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("content"), F.lit(rf"(?<!{LETTER})(?={begins}){LETTER}++"), F.lit(0))).alias("term")).distinct()
+    words = words.where(~F.col("term").isin(*found.stopwords)) if found.stopwords else words
     rows = stems(words).where(F.col("stem").isin(*terms)).limit(MOST_FORMS + 1).collect()
     if len(rows) > MOST_FORMS:
         return None
@@ -61,17 +63,18 @@ def counted_texts(docs: DataFrame, terms: list[str], name: str = "", keep: tuple
     found = analyzer(name)
     if (forms := _forms(docs, terms, found)) is None:
         return None
-    if not found.stopwords and not found.stemming:  # lengths and counts without making the tokens
-        low = docs.select("id", *keep, F.lower("content").alias("_text"))
-        counted = [F.when(F.contains("_text", F.lit(t)), F.regexp_count("_text", F.lit(rf"(?<!{LETTER})\Q{t}\E(?!{LETTER})"))).otherwise(0).cast("long") for t in terms]
-        whole = low.select("id", *keep, F.regexp_count("_text", F.lit(rf"{LETTER}+")).cast("long").alias("dl"), *(c.alias(f"tf{i}") for i, c in enumerate(counted)))
-        return whole.where("dl > 0")
-    held = docs.select("id", *keep, found.terms(F.col("content")).alias("_terms")).where(F.size("_terms") > 0)
+    # lengths and counts without making the tokens; conditions that Spark moves below them, and so works out again, are cheap ones
+    token = F.lit(token_pattern(found.stopwords))
+    low = docs.select("id", *keep, F.lower("content").alias("_text")).where(F.rlike("_text", token))
 
     def count(words: list[str]) -> Column:
-        return F.size(F.filter("_terms", lambda w: w.isin(*words))) if words else F.lit(0)
+        words = [w for w in words if is_token(w)]
+        if not words:
+            return F.lit(0)
+        occurs = F.regexp_count("_text", F.lit(rf"(?<!{LETTER}){one_of(words)}(?!{LETTER})"))
+        return F.when(F.contains("_text", F.lit(os.path.commonprefix(words))), occurs).otherwise(0)
 
-    return held.select("id", *keep, F.size("_terms").cast("long").alias("dl"), *(count(forms[t]).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
+    return low.select("id", *keep, F.regexp_count("_text", token).cast("long").alias("dl"), *(count(forms[t]).cast("long").alias(f"tf{i}") for i, t in enumerate(terms)))
 
 
 def search_texts(docs: DataFrame, terms: list[str], k: int, name: str = "", k1: float = K1, b: float = B, admitted: Column | DataFrame | None = None, partition: str | None = None) -> DataFrame:

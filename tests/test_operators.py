@@ -534,3 +534,25 @@ def test_key_ttl_equals_sql_where_a_length_is_null_or_none(spark, tmp_path):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     expected = duck.execute(f"SELECT {', '.join(found.columns)} FROM ({registry.oracle_sql()['x2_key_ttl']}) ORDER BY id").fetchall()
     assert [tuple(r) for r in found.orderBy("id").collect()] == expected
+
+
+def test_english_search_over_texts_agrees_with_postings(spark):
+    texts = ["The licensed works of others", "the THE of", "", None, "licenses; license-licensing work", "worked_other 'others' theirs", "élan works don't", "workshop licensee otherwise", "l icense w ork 42 o"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string")
+    for name, asked in (("english", "the licensed works of others"), ("english", "élan 42 lying"), ("stopped", "works the élan"), ("simple", "the works license")):
+        terms = text_search.query_terms(asked, name, spark)
+        one = text_search.search_texts(docs, terms, 40, name).collect()
+        two = text_search.search(text_search.postings(docs, name), terms, 40).collect()
+        assert [r["id"] for r in one] == [r["id"] for r in two] and len(one) >= 3
+        assert np.allclose([r["score"] for r in one], [r["score"] for r in two])
+
+
+def test_token_patterns_agree_with_tokens(spark):
+    texts = ["a an the and ant thee", "can't we'll", "THE End_of x2 ²", "ｆｕｌｌ Ünï a", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for stops in ((), T.STOPWORDS, ("a", "ant", "c++", "The", "x2")):
+        pattern = F.lit(T.token_pattern(stops))
+        words = T.without_stopwords(T.tokens(F.col("t")), stops) if stops else T.tokens(F.col("t"))
+        for r in rows.select(F.regexp_extract_all(F.lower("t"), pattern, F.lit(0)).alias("found"), words.alias("words")).collect():
+            assert r["found"] == r["words"]
+    assert T.one_of([]) == ""
