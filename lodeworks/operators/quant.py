@@ -273,16 +273,23 @@ def ivf_search_all(assigned: DataFrame, centres: np.ndarray, query: Sequence[flo
 GROWTH, DRIFT = 2.0, 1.5
 
 
-def mean_cell_distance(assigned: DataFrame, centres: np.ndarray) -> float:
-    """Mean squared distance of all points to the centre of their cell; one partial aggregation."""
-    held = assigned.sparkSession.sparkContext.broadcast(centres)
+def mean_cell_distance(points: DataFrame, centres: np.ndarray) -> float:
+    """Mean squared distance of all points to their nearest centre, 0 of none: a task finds cells and distances in one go, some points at a
+    time, and leaves a count and a sum."""
+    held, width = points.sparkSession.sparkContext.broadcast(centres), centres.shape[1]
 
-    @F.pandas_udf("double")
-    def error(vectors: pd.Series, cells: pd.Series) -> pd.Series:
-        x = np.stack(vectors.to_numpy()).astype(float)
-        return pd.Series(((x - held.value[cells.to_numpy()]) ** 2).sum(1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
+            for begin in range(0, batch.num_rows, search.PRODUCT):
+                x = flat[begin * width : (begin + search.PRODUCT) * width].reshape(-1, width).astype(float)
+                total += float(((x - held.value[V.distances("l2", x, held.value).argmin(1)]) ** 2).sum())
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total])], ["n", "total"])
 
-    return assigned.select(error("vector", "cell").alias("e")).agg(F.avg("e")).first()[0] or 0.0
+    row = points.where("vector IS NOT NULL").select("vector").mapInArrow(run, "n long, total double").agg(F.sum("total") / F.sum("n")).first()
+    return row[0] or 0.0
 
 
 def drifted(trained_points: int, trained_error: float, points: int, error: float, growth: float = GROWTH, drift: float = DRIFT) -> bool:
@@ -294,8 +301,10 @@ def drifted(trained_points: int, trained_error: float, points: int, error: float
 
 def retrain_on_drift(old: DataFrame, new: DataFrame, centres: np.ndarray, growth: float = GROWTH, drift: float = DRIFT) -> tuple[np.ndarray, bool]:
     """The centres for ``new``, a grown table of which ``old`` was the trained part, and whether they were trained again."""
-    before = ivf_assign(old, centres)
-    if drifted(before.count(), mean_cell_distance(before, centres), new.count(), mean_cell_distance(ivf_assign(new, centres), centres), growth, drift):
+    sizes = old.count(), new.count()
+    if not drifted(sizes[0], 0.0, sizes[1], np.inf, growth, drift):  # not grown enough, whatever the distances are
+        return centres, False
+    if drifted(sizes[0], mean_cell_distance(old, centres), sizes[1], mean_cell_distance(new, centres), growth, drift):
         return train_ivf(new, len(centres), "l2"), True
     return centres, False
 

@@ -556,3 +556,13 @@ def test_token_patterns_agree_with_tokens(spark):
         for r in rows.select(F.regexp_extract_all(F.lower("t"), pattern, F.lit(0)).alias("found"), words.alias("words")).collect():
             assert r["found"] == r["words"]
     assert T.one_of([]) == ""
+
+
+def test_drift_is_the_mean_distance_to_the_nearest_centre(spark, corpus):
+    x, df = corpus
+    x = x.astype(np.float32).astype(float)
+    centres = quant.train_ivf(df, 8, "l2")
+    slow = V.distances("l2", x, centres).min(1).mean()
+    assert math.isclose(quant.mean_cell_distance(df.repartition(3), centres), slow, rel_tol=1e-9)
+    assert quant.mean_cell_distance(df.limit(0), centres) == 0.0
+    assert quant.retrain_on_drift(df, df.where("id % 2 = 0"), centres)[1] is False
