@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -246,13 +247,20 @@ def chunk_text(text: str, target: int = 512, overlap: int = 64) -> list[str]:
     return out
 
 
+#: Texts that are cut at once.
+CHUNKED = 64
+
+
 def chunks(docs: DataFrame, id_column: str, text_column: str, target: int = 512, overlap: int = 64, cutter: Callable = chunk_text) -> DataFrame:
     """(source, index, content) of every document's chunks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(s, i, c) for s, t in zip(batch["source"], batch["text"]) if t for i, c in enumerate(cutter(t, target, overlap))]
-            yield pd.DataFrame(rows, columns=["source", "index", "content"])
+            for begin in range(0, batch.num_rows, CHUNKED):  # whatever a batch holds, the chunks of a few texts are in memory
+                part = batch.slice(begin, CHUNKED).to_pydict()
+                rows = [(s, i, c) for s, t in zip(part["source"], part["text"]) if t for i, c in enumerate(cutter(t, target, overlap))]
+                source, index, content = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(source, pa.string()), pa.array(index, pa.int32()), pa.array(content, pa.string())], ["source", "index", "content"])
 
     picked = docs.select(F.col(id_column).cast("string").alias("source"), F.col(text_column).alias("text"))
-    return picked.mapInPandas(run, "source string, index int, content string")
+    return picked.mapInArrow(run, "source string, index int, content string")

@@ -566,3 +566,11 @@ def test_drift_is_the_mean_distance_to_the_nearest_centre(spark, corpus):
     assert math.isclose(quant.mean_cell_distance(df.repartition(3), centres), slow, rel_tol=1e-9)
     assert quant.mean_cell_distance(df.limit(0), centres) == 0.0
     assert quant.retrain_on_drift(df, df.where("id % 2 = 0"), centres)[1] is False
+
+
+def test_chunks_are_cut_a_few_texts_at_a_time(spark, monkeypatch):
+    texts = ["", None, "one two\n\nthree", " ".join(map(str, range(300)))] * 5
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, content string").coalesce(1)
+    monkeypatch.setattr(T, "CHUNKED", 3)
+    found = [tuple(r) for r in T.chunks(rows, "id", "content", 128, 16).orderBy(F.col("source").cast("long"), "index").collect()]
+    assert found == [(str(i), n, c) for i, t in enumerate(texts) if t for n, c in enumerate(T.chunk_text(t, 128, 16))]
