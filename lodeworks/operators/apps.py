@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import fnv1a, fnv1a_many, partition_of
+from ..functions.vectors import fnv1a_many, partition_of
 from . import points, search
 
 _operators: dict[str, tuple[str, Callable]] = {}
@@ -156,7 +156,7 @@ class Embedder:
                 raise ValueError(f"an embedder of {dim} dimensions gave {found.shape[1]}")
             return pd.Series(list(found))
 
-        return run(text)
+        return run.asNondeterministic()(text)  # else a condition on the vector is moved below joins and embeds every text once more
 
     def one(self, text: str) -> list[float]:
         return np.asarray(self.embed([text]), float)[0].tolist()
@@ -165,11 +165,18 @@ class Embedder:
 def hash_embedder(dim: int = 64) -> Embedder:
     """Deterministic vectors without a model: each word adds 1 to the dimension that its FNV-1a number picks; unit length."""
 
+    place: dict[str, int] = {}  # of the words so far; emptied when they are many
+
     def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dim))
-        for row, text in zip(out, texts):
-            for word in text.lower().split():
-                row[fnv1a(word.encode()) % dim] += 1
+        for begin in range(0, len(texts), 16):
+            words = [text.lower().split() for text in texts[begin : begin + 16]]
+            if len(place) > 500_000:
+                place.clear()
+            fresh = [w for w in set().union(*words) if w not in place]
+            place.update(zip(fresh, (fnv1a_many([w.encode() for w in fresh], 32) % dim).tolist()))
+            for row, own in zip(out[begin:], words):
+                row += np.bincount(np.fromiter(map(place.__getitem__, own), np.int64, len(own)), minlength=dim)
         length = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, length, out=out, where=length > 0)
 

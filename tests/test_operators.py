@@ -574,3 +574,32 @@ def test_chunks_are_cut_a_few_texts_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(T, "CHUNKED", 3)
     found = [tuple(r) for r in T.chunks(rows, "id", "content", 128, 16).orderBy(F.col("source").cast("long"), "index").collect()]
     assert found == [(str(i), n, c) for i, t in enumerate(texts) if t for n, c in enumerate(T.chunk_text(t, 128, 16))]
+
+
+def test_a_text_is_embedded_once(spark):
+    told = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        told.add(len(texts))
+        return np.array([[len(x), 1.0] for x in texts]).reshape(len(texts), 2)
+
+    texts = spark.createDataFrame([(i, "x" * (i + 1)) for i in range(60)], "id long, content string")
+    store = apps.TextStore(texts, apps.Embedder(2, embed)).delete(texts.where("id % 2 = 0"))
+    told.value = 0
+    assert store.search("xx", 5).count() == 5
+    assert told.value <= 30 + 1  # the texts that are left, and the one that is asked for
+
+
+def test_hash_embedder_counts_words_by_their_numbers():
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"W{n}é" for n in rng.integers(0, 300, int(size))) for size in rng.integers(0, 60, 70)] + ["", "  ", "y" * 5000 + " b"]
+    found = apps.hash_embedder(32).embed(texts)
+    for row, text in zip(found, texts):
+        slow = np.zeros(32)
+        for word in text.lower().split():
+            slow[V.fnv1a(word.encode()) % 32] += 1
+        assert np.allclose(row, slow / (np.linalg.norm(slow) or 1), atol=0)
+    words = [b"", b"a", b"y" * 70, b"y" * 64, b"y" * 65, "é".encode()]
+    for bits in (32, 64):
+        assert [int(n) % 2**bits for n in V.fnv1a_many(words, bits)] == [V.fnv1a(w, bits) for w in words]
+    assert len(V.fnv1a_many([])) == 0
