@@ -603,3 +603,11 @@ def test_hash_embedder_counts_words_by_their_numbers():
     for bits in (32, 64):
         assert [int(n) % 2**bits for n in V.fnv1a_many(words, bits)] == [V.fnv1a(w, bits) for w in words]
     assert len(V.fnv1a_many([])) == 0
+
+
+def test_stopwords_query_moves_texts_once(spark, capsys):
+    from lodeworks import registry
+
+    registry.queries()["t2_stopwords"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
